@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from sedge.llm import exact_dedup, language, packing, pieces, quality
+from sedge.llm import exact_dedup, language, licenses, packing, pieces, privacy, quality, similar, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.query,
         "op2_language": language.query,
         "op3_sentencepiece": pieces.query,
+        "op4_personal_data": privacy.query,
         "op5_quality": quality.query,
         "op6_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_similar": similar.query,
+        "op9_toxicity": toxicity.query,
+        "op10_topk": topk.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op7_exact_dedup": exact_dedup.SQL, "op8_similar": similar.SQL, "op10_topk": topk.SQL}

@@ -23,8 +23,8 @@ from sedge.llm.sampling import bounded_sample
 from sedge.workspace import small_batches
 
 #: Documents to learn from, at most about so many; a fifth of them only calibrate.
-SAMPLE = 3000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 14, 16, 6, 0.5, 11
+SAMPLE = 2000
+BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 14, 16, 4, 0.5, 11
 NGRAMS = (1, 2, 3, 4)
 #: Share of rightly predicted calibration documents that the threshold may reject.
 REJECTED = 0.001

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+
 def bounded_sample(docs: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     """At most `most` rows, spread over the table by a hash of the id: the same rows on every run.
 
