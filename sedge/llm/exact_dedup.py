@@ -32,11 +32,11 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     """One row per input row: id, keep_id, group_size, kept, text_sha256 and n_points.
 
     Of equal texts the one with the most code points in its original text stays, then the smallest id.
-    Null counts as the empty text, and all empty texts are one group. Ids must be unique and not null; other
-    columns are ignored, whatever their names. An empty table gives an empty result.
+    Null counts as the empty text, and all empty texts are one group. Ids are integers, one for each text; rows without
+    an id are left out, a repeated row counts again. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "exact-dedup")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("original"))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("original"))
     norm = normalised(F.col("original"))
     # The fingerprints of a document's chunks, in order; texts stay behind.
     recipes = scratch.keep(
@@ -60,7 +60,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         recipes.select("id", F.posexplode("prints").alias("pos", "print"))
         .join(store.hint("merge"), "print")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_doc", "chunk_pos"))).alias("parts"))
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "chunk_doc", "chunk_pos"))).alias("parts"))
         .select("id", F.transform("parts", lambda p: F.struct(p["chunk_doc"].alias("d"), p["chunk_pos"].alias("p"))).alias("recipe"))
     )
     lists = scratch.keep(

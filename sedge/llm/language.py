@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sedge.llm.sampling import bounded_sample
+from sedge.llm.sampling import bounded_sample, id_and_text
 from sedge.workspace import small_batches
 
 #: Documents to learn from, at most about so many; a fifth of them only calibrate.
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """id, lang_pred, score and accepted of every whole text, one row per input row.
 
     accepted is false where the language is unknown or the confidence is under the model's threshold. Ties go to
-    the first language in alphabetical order; other columns are ignored.
+    the first language in alphabetical order; other columns are ignored; rows without an id are left out.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
@@ -176,7 +176,21 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pd.DataFrame({id_col: batch["_id"], "lang_pred": langs, "score": scores, "accepted": [x != UNKNOWN and s >= own.model.threshold for x, s in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(predict, f"{id_col} {kind}, lang_pred string, score double, accepted boolean")
+    return id_and_text(docs, id_col, text_col).mapInPandas(predict, f"{id_col} {kind}, lang_pred string, score double, accepted boolean")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The documents whose language the model accepts, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Predictor(shared.value)
+        for batch in batches:
+            yield pd.Series([lang != UNKNOWN and score >= own.model.threshold for lang, score in map(own.predict, batch)], dtype=bool)
+
+    return docs.where(accepts(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

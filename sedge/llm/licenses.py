@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sedge.llm.sampling import id_and_text
 from sedge.workspace import small_batches
 
 COVERAGE = 0.8
@@ -157,7 +158,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
             rows = [(i, *f) for i, t in zip(batch["_id"], batch["_text"], strict=True) for f in own.scan(t)]
             yield pd.DataFrame(rows, columns=[id_col, "license", "coverage", "first_word", "end_word"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(scan, f"{id_col} {kind}, license string, coverage double, first_word long, end_word long")
+    return id_and_text(docs, id_col, text_col).mapInPandas(scan, f"{id_col} {kind}, license string, coverage double, first_word long, end_word long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
+from sedge.llm.sampling import id_and_text
 from sedge.workspace import small_batches
 
 WINDOW, SHORTEST_TIER, STEP_TOKENS, END_ID = 2048, 128, 16 * 2048, 1
@@ -204,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, s
         packer.finish()
         yield pd.DataFrame(packer.rows, columns=names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(pack, f"{id_col} {kind}, {COLUMNS}")
+    return id_and_text(docs, id_col, text_col).mapInPandas(pack, f"{id_col} {kind}, {COLUMNS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sedge.llm.sampling import id_and_text
 from sedge.workspace import small_batches
 
 MARK = "▁"
@@ -189,7 +190,7 @@ def encode_texts(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("
     """Encode every whole text and decode it again; one row per input row with the id and the named outputs.
 
     Null and empty texts give no ids and an empty decoded text. Digests are taken in the task that made the ids,
-    so that ids need not leave it. Repeated rows are treated alike; other columns are ignored.
+    so that ids need not leave it. Repeated rows are treated alike; other columns are ignored; rows without an id are left out.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
@@ -211,7 +212,7 @@ def encode_texts(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("
                     columns[o].append(make[o](*done))
             yield pd.DataFrame({id_col: batch["_id"], **columns})
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(encode, schema)
+    return id_and_text(docs, id_col, text_col).mapInPandas(encode, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

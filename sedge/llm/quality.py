@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sedge.llm.sampling import bounded_sample
+from sedge.llm.sampling import bounded_sample, id_and_text
 from sedge.workspace import small_batches
 
 #: Labelled documents to learn from at most, and preference pairs drawn from them.
@@ -143,7 +143,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pd.DataFrame({id_col: batch["_id"], "score": s, "predicted": (s >= CUT).astype("int32")})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(score, f"{id_col} {kind}, score double, predicted int")
+    return id_and_text(docs, id_col, text_col).mapInPandas(score, f"{id_col} {kind}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,3 +14,8 @@ def bounded_sample(docs: DataFrame, most: int, id_col: str = "doc_id") -> DataFr
     n = docs.select(id_col).count()
     share = min(slots, int(slots * 0.9 * most / max(n, 1)) + 1)
     return docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < share).limit(most)
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text) of the rows that have an id; whatever else the table holds stays behind."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

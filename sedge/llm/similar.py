@@ -23,13 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from sedge.llm.sampling import id_and_text
 from sedge.workspace import Scratch, small_batches
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch; 2**22 single bytes are broadcast, whatever the input.
 SKETCH_BITS = 22
 #: Pivots a shingle meets in each round; None: every remaining pair.
-ROUNDS = (1, 2, 16, None)
+ROUNDS = (1, 2, 8, None)
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -147,12 +148,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
     """id, n_shingles and component_id (smallest id reachable over links, itself included) of every row.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. Null and empty texts and
-    texts without words have no shingles and link with nothing. Ids are unique integers; other columns are ignored.
+    texts without words have no shingles and link with nothing. Ids are integers; rows without one are left out, a
+    repeated row is answered again; other columns are ignored.
     An empty table gives an empty result.
     """
     scratch = Scratch(spark, "similar")
     small_batches(spark, 256)
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    base = id_and_text(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
     levels = frequencies(base, SKETCH_BITS, words)
     sets = scratch.keep(shingle_sets(base, levels, percent, words), "sets")
     # A class: the documents of one set, named by the smallest id.
@@ -217,7 +219,7 @@ def _pairs(postings: DataFrame, roots: DataFrame, pivots: int | None, percent: i
         side = own
     else:
         # Pivots by hash, a new draw each round; the partial aggregate keeps a few rows of a hot shingle, not all.
-        ranked = own.withColumn("draw", F.xxhash64("grp", F.lit(salt)))
+        ranked = own.withColumn("draw", F.xxhash64("token", "grp", F.lit(salt)))
         side = ranked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("draw", "grp"))).where(F.col("r") <= pivots).drop("r", "draw")
     # Shingles whose groups are all of one component have nothing left to test.
     open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
