@@ -27,39 +27,87 @@ from sedge.llm.sampling import id_and_text
 from sedge.workspace import Scratch, small_batches
 
 WORDS, PERCENT = 5, 80
-#: Counters of the sketch; 2**22 single bytes are broadcast, whatever the input.
-SKETCH_BITS = 22
+#: Counters of the sketch; 2**20 single bytes are broadcast, whatever the input.
+SKETCH_BITS = 20
 #: Pivots a shingle meets in each round; None: every remaining pair.
-ROUNDS = (1, 2, 8, None)
-
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_KEPT = 400_000
-_hashes: dict[str, int] = {}
+ROUNDS = (1, 4, 64, None)
+
+_PRIME, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
+#: Bytes hashed at once, but for a longer text.
+_AT_ONCE = 1 << 19
+_powers: dict[str, np.ndarray] = {}
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers["up"]) < n:
+        size = max(n, 2 * _AT_ONCE)
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                steps = np.full(size, np.uint64(base))
+                steps[0] = 1
+                _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _PRIME
+    return h ^ (h >> np.uint64(29))
+
+
+def _sets(raw: list[bytes], n: int) -> list[np.ndarray]:
+    """Shingle sets of lower-cased texts: words are hashed by differences of running sums over all bytes at once."""
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    before = np.empty_like(space)
+    before[0], before[1:] = True, space[:-1]
+    first = np.flatnonzero(~space & before)
+    past = np.flatnonzero(space & ~before)
+    up, down = _tables(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        words = _mixed((sums[past] - sums[first]) * down[first])
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        edges = np.searchsorted(first, np.concatenate([[0], ends]))
+        whole = np.full(max(len(words) - n + 1, 0), np.uint64(n))
+        for k in range(n if len(whole) else 0):
+            whole = _mixed(whole ^ words[k : k + len(whole)])
+        found = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo >= n:
+                found.append(np.unique(whole[lo : hi - n + 1]))
+            elif hi == lo:
+                found.append(np.zeros(0, np.uint64))
+            else:
+                one = np.full(1, np.uint64(hi - lo))
+                for w in words[lo:hi]:
+                    one = _mixed(one ^ w)
+                found.append(one)
+    return found
 
 
-def _word_hash(word: str) -> int:
-    if len(_hashes) > _KEPT:
-        _hashes.clear()
-    found = _hashes[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return found
+def shingle_sets_of(texts: list[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams; of the whole sequence if it has fewer words; none
+    without words. Words are runs between ASCII white space, A-Z lower-cased."""
+    some, size = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+        if some and size + len(raw) > _AT_ONCE:
+            yield from _sets(some, n)
+            some, size = [], 0
+        some.append(raw)
+        size += len(raw)
+    if some:
+        yield from _sets(some, n)
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams; the whole sequence if it has fewer words; none without words."""
-    words = [w for w in (text or "").translate(_UPPER).translate(_SPACES).split(" ") if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _hashes
-    h = np.array([known[w] if w in known else _word_hash(w) for w in words], dtype=np.uint64)
-    size = min(n, len(h))
-    with np.errstate(over="ignore"):
-        out = np.full(len(h) - size + 1, np.uint64(size))
-        for k in range(size):
-            out = (out ^ h[k : k + len(out)]) * _PRIME
-            out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return next(shingle_sets_of([text], n))
+
+
+#: A prefix's shingles are known by 56 bits of their hash; two that share them only make a candidate more.
+_TOKEN = np.uint64((1 << 56) - 1)
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -77,17 +125,16 @@ def frequencies(docs: DataFrame, bits: int, words: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for text in batch["_text"]:
-                places = (shingles(text, words) >> np.uint64(64 - bits)).astype(np.int64)
-                total[places] += 1  # a document counts once on a counter
+            for found in shingle_sets_of(batch["_text"].tolist(), words):
+                total[(found >> np.uint64(64 - bits)).astype(np.int64)] += 1  # a document counts once on a counter
         step = 1 << 12
         parts = [(k, total[k * step : (k + 1) * step]) for k in range(len(total) // step)]
         parts = [(k, p) for k, p in parts if p.any()]
         for at in range(0, len(parts), 64):
-            yield pd.DataFrame({"part": [k for k, _ in parts[at : at + 64]], "counts": [p.astype("<u4").tobytes() for _, p in parts[at : at + 64]]})
+            yield pd.DataFrame({"part": [k for k, _ in parts[at : at + 64]], "counts": [np.minimum(p, 0xFFFF).astype("<u2").tobytes() for _, p in parts[at : at + 64]]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, "<u4").astype(np.uint64) for c in pdf["counts"]], axis=0)
+        total = np.sum([np.frombuffer(c, "<u2").astype(np.uint64) for c in pdf["counts"]], axis=0)
         level = np.minimum(np.round(8 * np.log2(total + 1)), 255).astype(np.uint8)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "levels": [level.tobytes()]})
 
@@ -107,10 +154,14 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, percent: int, words: int)
         own = shared.value
         for batch in batches:
             rows = []
-            for text in batch["_text"]:
-                s = shingles(text, words)
-                order = np.lexsort((s, own[(s >> shift).astype(np.int64)])) if len(s) else np.zeros(0, int)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[order[: prefix_length(len(s), percent) if len(s) else 0]].view(np.int64)))
+            for s in shingle_sets_of(batch["_text"].tolist(), words):
+                p = prefix_length(len(s), percent) if len(s) else 0
+                # Level first, then the hash: one order for all documents.
+                rank = own[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                if p < len(s):
+                    rank = np.partition(rank, p)[:p]
+                rank.sort()
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (rank & _TOKEN).astype(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "set_key", "prefix"])
             out.insert(0, "id", batch["_id"].to_numpy())
             yield out
@@ -156,26 +207,36 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
     small_batches(spark, 256)
     base = id_and_text(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
     levels = frequencies(base, SKETCH_BITS, words)
-    sets = scratch.keep(shingle_sets(base, levels, percent, words), "sets")
+    made = scratch.keep(shingle_sets(base, levels, percent, words), "made")
     # A class: the documents of one set, named by the smallest id.
-    classes = scratch.keep(sets.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("cls"), F.min_by("prefix", "id").alias("prefix")).select("cls", "set_key", "n", "prefix"), "classes")
+    classes = scratch.keep(made.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("cls"), F.min_by("prefix", "id").alias("prefix")).select("cls", "set_key", "n", "prefix"), "classes", sweep=True)
+    sets = scratch.keep(made.drop("prefix"), "sets")
+    scratch.drop(made)
     # A group: the classes of one prefix and size.
     keyed = classes.select("cls", "n", "prefix", F.sha2(F.concat_ws(",", F.col("prefix").cast("array<string>"), F.col("n").cast("string")), 256).alias("g"))
-    groups = keyed.groupBy("g", "n").agg(F.min("cls").alias("grp"), F.min_by("prefix", "cls").alias("prefix"))
-    members = scratch.keep(keyed.select("cls", "g").join(groups.select("g", "grp").hint("merge"), "g").select("cls", "grp"), "members")
-    posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    # Shingles that only one group holds in its prefix lead nowhere.
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    postings = scratch.keep(posted.join(shared.hint("merge"), "token").select("token", "grp", "n", "pos"), "postings")
-    # Sets of the classes that can have partners; a group with several classes is its own partner.
-    several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    wanted = members.join(postings.select("grp").union(several).distinct().hint("merge"), "grp").select("cls", "grp")
+    grouped = keyed.groupBy("g").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("k"))
+    members = scratch.keep(keyed.select("cls", "n", "g").join(grouped.hint("merge"), "g").select("cls", "n", "grp", "k"), "members", sweep=True)
+    heads = members.where("cls = grp").select("grp", "n")
+    posted = classes.select("cls", F.posexplode("prefix").alias("pos", "token"))
+    if not members.where("k > 1").isEmpty():
+        posted = posted.join(heads.select(F.col("grp").alias("cls")).hint("merge"), "cls", "left_semi")
+    # Shingles that only one group holds in its prefix lead nowhere; both sides read one shuffle.
+    posted = posted.select("token", F.col("cls").alias("grp"), "pos").repartition("token")
+    shared = posted.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    met = scratch.keep(posted.join(shared.hint("merge"), "token", "left_semi"), "met", sweep=True)
+    postings = scratch.keep(met.join(heads.hint("merge"), "grp").select("token", "grp", "n", "pos"), "postings")
+    # Whole sets are needed of groups that meet one of a size near their own, and of groups with several classes.
+    by_size = W.partitionBy("token").orderBy("n", "grp")
+    near = postings.select("grp", "n", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    near = near.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("grp")
+    several = members.where("k > 1").select("grp").distinct()
+    wanted = members.select("cls", "grp").join(near.union(several).distinct().hint("merge"), "grp")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["_id"], "grp": batch["grp"], "s": [shingles(t, words).tobytes() for t in batch["_text"]]})
+            yield pd.DataFrame({"cls": batch["_id"], "grp": batch["grp"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
 
-    full = scratch.keep(base.join(wanted.hint("merge"), base["_id"] == wanted["cls"]).select("_id", "grp", "_text").mapInPandas(whole, "cls long, grp long, s binary"), "whole")
+    full = scratch.keep(base.join(wanted.hint("merge"), base["_id"] == wanted["cls"]).select("_id", "grp", "_text").mapInPandas(whole, "cls long, grp long, s binary"), "whole", sweep=True)
     # Classes of one group first, each group being a posting of its own, then groups.
     inside = scratch.keep(full.join(several.hint("merge"), "grp").select(F.col("grp").alias("token"), F.col("cls").alias("grp"), (F.length("s") / 8).cast("int").alias("n"), F.lit(0).alias("pos")), "inside")
     none_several = several.limit(0)
@@ -200,7 +261,7 @@ def _search(scratch: Scratch, postings: DataFrame, full: DataFrame, several: Dat
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["x", "y"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
-        fresh = scratch.keep(_verified(pairs, full, percent), "links")
+        fresh = scratch.keep(_verified(pairs, full, percent), "links", sweep=True)
         found = fresh if found is None else found.unionByName(fresh)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if pivots is None or fresh.isEmpty():
