@@ -29,12 +29,15 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, frame: DataFrame, label: str) -> DataFrame:
+    def keep(self, frame: DataFrame, label: str, sweep: bool = False) -> DataFrame:
+        """sweep: let go of the shuffle files behind the table, which Spark frees when the driver collects garbage."""
         self.n += 1
         path = f"{self.root}/{self.n}-{label}"
         frame.write.parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._sedge_path = path
+        if sweep:
+            self.spark._jvm.System.gc()
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
