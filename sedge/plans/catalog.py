@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from sedge.operators import reports, retrieval
+
+MODULES: tuple = (retrieval, reports)
 
 
 def queries() -> dict:
