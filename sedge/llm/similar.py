@@ -30,7 +30,7 @@ WORDS, PERCENT = 5, 80
 #: Counters of the sketch; 2**20 single bytes are broadcast, whatever the input.
 SKETCH_BITS = 20
 #: Pivots a shingle meets in each round; None: every remaining pair.
-ROUNDS = (1, 4, 64, None)
+ROUNDS = (2, 32, None)
 
 _PRIME, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 #: Bytes hashed at once, but for a longer text.
@@ -236,7 +236,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
         for batch in batches:
             yield pd.DataFrame({"cls": batch["_id"], "grp": batch["grp"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
 
-    full = scratch.keep(base.join(wanted.hint("merge"), base["_id"] == wanted["cls"]).select("_id", "grp", "_text").mapInPandas(whole, "cls long, grp long, s binary"), "whole", sweep=True)
+    found = base.join(wanted.hint("merge"), base["_id"] == wanted["cls"]).select("_id", "grp", "_text").mapInPandas(whole, "cls long, grp long, s binary")
+    full = scratch.keep_bucketed(found, "whole", "grp")
     # Classes of one group first, each group being a posting of its own, then groups.
     inside = scratch.keep(full.join(several.hint("merge"), "grp").select(F.col("grp").alias("token"), F.col("cls").alias("grp"), (F.length("s") / 8).cast("int").alias("n"), F.lit(0).alias("pos")), "inside")
     none_several = several.limit(0)

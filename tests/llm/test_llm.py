@@ -1,0 +1,303 @@
+"""Operators of the training-data subpackage: brute force, round trips, held-out accuracy and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from sedge.llm import boosting, exact_dedup, language, licenses, packing, pieces, privacy, quality, similar, topk, toxicity
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one two three four five six"), (6, "One  two three\tfour five six"), (7, "word " * 30_000),
+    (8, "word " * 30_000), (9, "日本語 テキスト 🎉 \x00 �"), (10, "12345 $$$ 67"), (None, "no id"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, a repeated row, and columns whose names the operators use themselves."""
+    rows = [(i, t, "en" if i else None, None, 0, "x", 1.0, 3) for i, t in ODD]
+    return spark.createDataFrame(rows + rows[4:5], "doc_id long, text string, lang string, source string, n_chars long, id string, score double, n int")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def documents(spark):
+    return {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+# 1
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = (last + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def test_licenses(spark, odd, none):
+    found = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    planted = {"CC-BY-NC-4.0", "GPL-3.0", "Apache-2.0", "MIT"}
+    want = {(i, k) for i, t in documents(spark).items() for k in planted if licenses.TEMPLATES[k] in t}
+    assert want and want <= found
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    long = licenses.TEMPLATES["MIT-text"].replace("free of charge", "at no cost").replace("software", "work", 1)
+    assert [f[0] for f in scanner.scan("Before it. " * 50 + long + " after it" * 50)] == ["MIT-text"]
+    assert scanner.scan("the license of a thing and the version of another") == []
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2)]
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+        assert len(pairs) <= lcs(a, b)
+    assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
+
+
+# 2
+def test_language(spark, odd, none):
+    found = language.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert found.count() == 200
+    assert found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    model = language.fit_language(spark.read.parquet(f"{SF}/documents.parquet"), F.lit(True))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == got[10] == ("und", 0.0) and got[5][0] != "und" and len(got) == 10
+    assert language.identify(none, model).count() == 0 and language.accepted(odd, model).columns == odd.columns
+    assert language.fit_language(none, F.lit(True)).languages == []
+
+
+# 3
+def test_pieces(spark, odd, none):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path)
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(["abcdefgh ", "the in er ▁\n  x", "aaaa  ", "日本🎉é\x00 a", "<s></s>0x0A "])) for _ in range(rng.randint(0, 30)))
+        ids = library.encode(text)
+        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids) == own.run(text)[2]
+    for r in pieces.query(spark, SF).collect():
+        ids = library.encode(documents_cache(spark)[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    got = {r.doc_id: r for r in pieces.encode_texts(odd, path).collect()}
+    assert got[1].n_tokens == 0 and got[1].decoded == "" and got[7].decoded == "word " * 30_000
+    assert pieces.encode_texts(none, path).count() == 0
+
+
+_cache = {}
+
+
+def documents_cache(spark):
+    if not _cache:
+        _cache.update(documents(spark))
+    return _cache
+
+
+# 4
+def slow_base(text):
+    text, found = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        s = sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and s % 10 == 0:
+            found.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append(("phone", m.start(), m.end()))
+    return sorted(found, key=lambda f: (f[1], privacy.BASE.index(f[0])))
+
+
+def test_personal_data(spark, odd, none):
+    texts = documents_cache(spark)
+    for r in privacy.query(spark, SF).collect():
+        base = slow_base(texts[r.doc_id])
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in privacy.BASE)
+        assert set(joined.split(",")) <= set(r.spans.split(",")) or not joined
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a@b.co", "@", "x.y", "1.2.3.4", "300.1.1.1.2", "+1 (555) 0", "4111 1111 1111 1111", "-", " ", "9", "é"]) for _ in range(rng.randint(0, 12)))
+        assert [(k, s, e) for s, e, k, ok in sorted(privacy.base_matches(text), key=lambda b: (b[0], privacy.BASE.index(b[2]))) if ok] == slow_base(text)
+    model = privacy.fit_privacy(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert privacy.find_personal_data(odd, model, redact=True).count() == 11 and privacy.find_personal_data(none, model).count() == 0
+    assert privacy.redacted("mail a@b.co now", [(5, 11, "email")]) == "mail [EMAIL] now"
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(int)
+    p = boosting.BoostedTrees(trees=20).fit(x, y).predict(x)
+    assert ((p > 0.5) == y).mean() > 0.97
+
+
+# 5
+def test_quality(spark, odd, none):
+    found = quality.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in found]) > 0.9
+    model = quality.fit_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    got = quality.score_quality(odd, model).collect()
+    assert len(got) == 11 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert quality.score_quality(none, model).count() == 0
+
+
+# 6
+def check_packing(rows, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = {i: np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        by_doc[r.doc_id].append((r.start, r.length))
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    assert set(by_doc) == set(texts)
+    for parts, size in [(by_doc[i], len(ids[i])) for i in texts] + [(p, None) for p in by_seq.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == size if size else at <= 2048 and at & (at - 1) == 0
+
+
+def test_packing(spark, odd, none):
+    check_packing(packing.query(spark, SF).collect(), documents_cache(spark))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    check_packing(packing.pack_documents(odd.dropDuplicates(["doc_id"]), path).collect(), {i: t for i, t in ODD if i})
+    assert packing.pack_documents(none, path).count() == 0
+    strange = "It's a t'est's. x'., ÀÉ. 12,3!! <|endoftext|>. İ. \x1c a\x85b ǅ."
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    assert next(packing.WordIds(path).encode([strange])) == np.asarray(tokenizer.encode(strange, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# 7
+def test_exact_dedup(spark, odd, none):
+    groups = defaultdict(list)
+    for i, t in documents_cache(spark).items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    want = {i: (min(g)[1], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.query(spark, SF).collect()} == want
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark, odd).collect()}
+    assert got[1] == got[2] == got[3] == (3, 3) and got[5] == (5, 2)
+    assert got[7] == got[8] == (7, 2) and len(got) == 10
+    assert exact_dedup.exact_groups(spark, none).count() == 0
+
+
+# 8
+def brute_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                r, s = sorted((root(a), root(b)))
+                parent[s] = r
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def test_similar(spark, odd, none):
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar.query(spark, SF).collect()} == brute_components(documents_cache(spark))
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(60)]
+    texts = {}
+    for i in range(60):  # near copies of one text, of which many pairs do not link
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = str(rng.random())
+        texts[i] = " ".join(w)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar.similar_documents(spark, frame).collect()} == brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar.similar_documents(spark, odd).collect()}
+    assert got == brute_components({i: t for i, t in ODD if i})
+    assert similar.similar_documents(spark, none).count() == 0
+
+
+# 9
+def test_toxicity(spark, odd, none):
+    found = toxicity.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in found]) > 0.9
+    texts = ["the stupid idiot spoke"] * 5 + ["a kind word was here", "some other words then", "the thing is done"] * 20
+    model = toxicity.train([f"{t} {k}" for k, t in enumerate(texts)], [1] * 5 + [0] * 60)
+    restorer = toxicity.Restorer(model.chars)
+    assert restorer.word("1d10t") == "idiot" and restorer.word("$tuuupid!") == "stupid" and restorer.word("then") == "then"
+    assert "stupid" in restorer.words("you s t u p i d one")
+    got = toxicity.score_toxicity(odd, model, restored=True).collect()
+    assert len(got) == 11 and all(0 <= r.score <= 1 for r in got) and toxicity.score_toxicity(none, model).count() == 0
+
+
+# 10
+def test_topk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8)]
+    rows += [(600 + i, [0.5] * 8) for i in range(9)]  # ties
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sound = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v in rows if v and v[0] is not None and np.isfinite(v).all()}
+    want = set()
+    for q in (i for i in sound if i % 50 == 0):
+        best = sorted((-int(sound[q] @ v), i) for i, v in sound.items() if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_k(spark, frame, lambda i: i % 50 == 0).collect()} == want
+    assert topk.top_k(spark, frame.limit(0), lambda i: i % 50 == 0).count() == 0
+    assert topk.top_k(spark, frame.where("vec_id in (0, 1, 2)"), lambda i: i % 50 == 0).count() == 2
+
+
+# pipeline
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = documents_cache(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert set(out.columns) == set(corpus_pipeline.COLUMNS)
+        before, docs = {r.doc_id: r.text for r in docs.collect()}, out
+        after = {r.doc_id: r.text for r in docs.collect()}
+        if name == "exact dedup":
+            groups = defaultdict(list)
+            for i, t in before.items():
+                groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+            assert set(after) == {min(g)[1] for g in groups.values()}
+        if name == "near copies":
+            assert set(after) == {i for i, (_, c) in brute_components(before).items() if i == c}
+        if name == "language":
+            assert len(after) > 0.98 * len(before)
+        if name == "personal data":
+            assert set(after) == set(before) and not any(slow_base(t) for t in after.values())
+        if name != "personal data":
+            assert all(after[i] == before[i] for i in after)
+    check_packing(corpus_pipeline.pack(spark, docs, SF).collect(), after)
+    assert set(after) <= set(texts)
