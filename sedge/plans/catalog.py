@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedge.operators import reports, retrieval
+from sedge.operators import lines, reports, retrieval
 
-MODULES: tuple = (retrieval, reports)
+MODULES: tuple = (retrieval, reports, lines)
 
 
 def queries() -> dict:
