@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedge.operators import lines, reports, retrieval
+from sedge.operators import batches, lines, reports, retrieval
 
-MODULES: tuple = (retrieval, reports, lines)
+MODULES: tuple = (retrieval, reports, lines, batches)
 
 
 def queries() -> dict:
