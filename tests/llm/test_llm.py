@@ -250,8 +250,11 @@ def test_similar(spark, odd, none):
 
 # 9
 def test_toxicity(spark, odd, none):
-    found = toxicity.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
-    assert np.mean([r.predicted == r.toxic for r in found]) > 0.9
+    # The smallest tables have too few toxic labels to learn from (10 documents): held-out accuracy is taken at sf0.1.
+    larger = SF.replace("0.001", "0.1")
+    found = toxicity.query(spark, larger).where("held_out").join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in found]) > 0.97
+    assert np.mean([r.predicted for r in found if r.toxic]) > 0.8
     texts = ["the stupid idiot spoke"] * 5 + ["a kind word was here", "some other words then", "the thing is done"] * 20
     model = toxicity.train([f"{t} {k}" for k, t in enumerate(texts)], [1] * 5 + [0] * 60)
     restorer = toxicity.Restorer(model.chars)
