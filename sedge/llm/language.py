@@ -25,7 +25,7 @@ from sedge.workspace import small_batches
 #: Documents to learn from, at most about so many; a fifth of them only calibrate.
 SAMPLE = 2000
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 14, 16, 4, 0.5, 11
-NGRAMS = (1, 2, 3, 4)
+NGRAMS = (1, 2, 3)
 #: Share of rightly predicted calibration documents that the threshold may reject.
 REJECTED = 0.001
 KEPT = 500_000
