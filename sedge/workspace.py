@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,12 +41,19 @@ class Scratch:
             self.spark._jvm.System.gc()
         return kept
 
-    def keep_bucketed(self, frame: DataFrame, label: str, key: str) -> DataFrame:
-        """A table dealt into buckets by a key: joins on the key move the other side only."""
+    def keep_joined(self, frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str, make: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+        """Rows of a frame whose key is wanted, made into a table in buckets by wanted_key, which make() must keep equal to key.
+
+        The join deals rows by the hash that buckets go by, so each task writes one bucket and its rows move once;
+        later joins on the key move the other side only.
+        """
         self.n += 1
         name = f"sedge_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        frame.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{self.n}-{label}").saveAsTable(name)
+        some = wanted.select(F.col(wanted_key).alias("_wanted")).repartition(buckets, "_wanted").hint("merge")
+        dealt = frame.repartition(buckets, key)
+        made = make(dealt.join(some, dealt[key] == some["_wanted"], "left_semi"))
+        made.write.bucketBy(buckets, wanted_key).sortBy(wanted_key).option("path", f"{self.root}/{self.n}-{label}").saveAsTable(name)
         self.spark._jvm.System.gc()
         return self.spark.table(name)
 
