@@ -225,35 +225,39 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
     shared = posted.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     met = scratch.keep(posted.join(shared.hint("merge"), "token", "left_semi"), "met", sweep=True)
     postings = scratch.keep(met.join(heads.hint("merge"), "grp").select("token", "grp", "n", "pos"), "postings")
+    # Prefixes have done their work; names of classes stay.
+    named = scratch.keep(classes.select("cls", "set_key"), "named")
+    scratch.drop(classes, met)
     # Whole sets are needed of groups that meet one of a size near their own, and of groups with several classes.
     by_size = W.partitionBy("token").orderBy("n", "grp")
     near = postings.select("grp", "n", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
     near = near.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("grp")
-    several = members.where("k > 1").select("grp").distinct()
-    wanted = members.select("cls", "grp").join(near.union(several).distinct().hint("merge"), "grp")
+    several = scratch.keep(members.where("k > 1").select("grp").distinct(), "several")
+    wanted = members.select("cls", "grp").join(near.union(several).distinct().hint("merge"), "grp").select("cls")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["_id"], "grp": batch["grp"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
+            yield pd.DataFrame({"cls": batch["_id"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
 
-    found = base.join(wanted.hint("merge"), base["_id"] == wanted["cls"]).select("_id", "grp", "_text").mapInPandas(whole, "cls long, grp long, s binary")
-    full = scratch.keep_bucketed(found, "whole", "grp")
+    full = scratch.keep_joined(base, "_id", wanted, "cls", lambda f: f.select("_id", "_text").mapInPandas(whole, "cls long, s binary"), "whole")
     # Classes of one group first, each group being a posting of its own, then groups.
-    inside = scratch.keep(full.join(several.hint("merge"), "grp").select(F.col("grp").alias("token"), F.col("cls").alias("grp"), (F.length("s") / 8).cast("int").alias("n"), F.lit(0).alias("pos")), "inside")
-    none_several = several.limit(0)
-    found = _search(scratch, postings, full, scratch.keep(several, "several"), percent, rounds)
+    inside = scratch.keep(members.where("k > 1").select(F.col("grp").alias("token"), F.col("cls").alias("grp"), "n", F.lit(0).alias("pos")), "inside")
+    found = _search(scratch, postings, full, members.select("grp", "cls"), several, percent, rounds)
     if not inside.isEmpty():
-        found = found.unionByName(_search(scratch, inside, full.withColumn("grp", F.col("cls")), none_several, percent, rounds))
+        found = found.unionByName(_search(scratch, inside, full, None, several.limit(0), percent, rounds))
     stars = connected(found, scratch)
-    by_class = classes.select("cls", "set_key").join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"))
+    by_class = named.join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"))
     by_class = scratch.keep(by_class, "components")
     none = sets.where("n = 0").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     some = sets.where("n > 0").select("id", "n", "set_key").join(by_class.hint("merge"), "set_key").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
     return some.unionByName(none)
 
 
-def _search(scratch: Scratch, postings: DataFrame, full: DataFrame, several: DataFrame, percent: int, rounds: tuple) -> DataFrame:
-    """Links (a, b) between classes that join all whose groups' postings meet: pivots first, then what is still apart."""
+def _search(scratch: Scratch, postings: DataFrame, full: DataFrame, groups: DataFrame | None, several: DataFrame, percent: int, rounds: tuple) -> DataFrame:
+    """Links (a, b) between classes that join all whose groups' postings meet: pivots first, then what is still apart.
+
+    groups: (grp, cls); None where every group is one class of the same name.
+    """
     nodes = postings.select(F.col("grp").alias("node")).distinct()
     roots = scratch.keep(nodes.select("node", F.col("node").alias("root")), "roots")
     found, tested = None, None
@@ -262,7 +266,7 @@ def _search(scratch: Scratch, postings: DataFrame, full: DataFrame, several: Dat
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["x", "y"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
-        fresh = scratch.keep(_verified(pairs, full, percent), "links", sweep=True)
+        fresh = scratch.keep(_verified(pairs, full, groups, percent), "links", sweep=True)
         found = fresh if found is None else found.unionByName(fresh)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if pivots is None or fresh.isEmpty():
@@ -307,11 +311,15 @@ def _may_link(percent: int) -> Column:
     return (100 * small >= percent * large) & role & place
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, full: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) between the classes of paired groups, with their groups."""
-    left = full.select(F.col("grp").alias("x"), F.col("cls").alias("a"), F.col("s").alias("sa"))
-    right = full.select(F.col("grp").alias("y"), F.col("cls").alias("b"), F.col("s").alias("sb"))
-    met = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").select("x", "y", "a", "b", "sa", "sb")
+    if groups is None:
+        expanded = pairs.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b"))
+    else:
+        expanded = pairs.join(groups.select(F.col("grp").alias("x"), F.col("cls").alias("a")).hint("merge"), "x").join(groups.select(F.col("grp").alias("y"), F.col("cls").alias("b")).hint("merge"), "y")
+    left = full.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
+    right = full.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
+    met = expanded.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y", "a", "b", "sa", "sb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
