@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.operators import batches, lines, reports, retrieval
+from sedge.operators import batches, documents, lines, reports, retrieval
+from sedge.streaming import keyed
 
-MODULES: tuple = (retrieval, reports, lines, batches)
+MODULES: tuple = (retrieval, reports, lines, batches, documents, keyed)
 
 
 def queries() -> dict:
