@@ -15,7 +15,7 @@ def scan_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length and modificationTime of all files below a folder; contents are not read."""
+    """path, length and modificationTime of all files below a folder; contents are not read. Empty files are left out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
 
