@@ -122,9 +122,13 @@ def _read(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def event_status() -> Column:
+    """The job status that an event stands for."""
+    return F.coalesce(*(F.when(F.col("event_type") == a, b) for a, b in _STATUS))
+
+
 def _status_events(spark, d):
-    status = F.coalesce(*(F.when(F.col("event_type") == a, b) for a, b in _STATUS))
-    return _read(spark, d, "events").select(F.col("user_id").alias("task"), "ts", "event_id", status.alias("status"))
+    return _read(spark, d, "events").select(F.col("user_id").alias("task"), "ts", "event_id", event_status().alias("status"))
 
 
 _STATUS = (("view", "pending"), ("click", "processing"), ("purchase", "completed"), ("error", "failed"), ("signup", "cancelled"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.operators import batches, documents, lines, paragraphs, reports, retrieval
+from sedge.operators import batches, documents, lines, paragraphs, records, reports, retrieval
 from sedge.streaming import keyed
 
-MODULES: tuple = (retrieval, reports, lines, batches, documents, paragraphs, keyed)
+MODULES: tuple = (retrieval, reports, lines, batches, documents, paragraphs, records, keyed)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sedge.operators import batches
+from sedge.operators import batches, documents
 from sedge.workspace import Scratch
 
 
@@ -35,6 +35,44 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int, key: str =
     return rows.groupBy(key).applyInPandasWithState(judge, f"{key} long, event_id long, accepted boolean", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
+def task_status_stream(events: DataFrame, key: str = "task") -> DataFrame:
+    """The state of every job that a batch touches, after its events in order (time, id): status, completed_at, events applied.
+
+    The state is three values and the time of the newest event: events of a later batch that are older than it are
+    passed over. A batch's events are folded as they arrive in sorted blocks of one key.
+    """
+
+    def fold(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, done, applied, seen = state.get if state.exists else (None, None, 0, None)
+        batch = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        for new, us in zip(batch["status"], batch["us"], strict=True):
+            if (seen is not None and us < seen) or (new == "processing" and status == "cancelled"):
+                continue
+            if new == "completed":
+                done = int(us) if done is None else done
+            elif new in ("pending", "processing"):
+                done = None
+            status, applied, seen = new, applied + 1, int(us)
+        state.update((status, done, applied, seen))
+        yield pd.DataFrame({key: [keys[0]], "status": [status], "us": pd.array([done], "Int64"), "applied": [applied]})
+
+    rows = events.select(key, "event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, status string, us long, applied long", "status string, done long, applied long, seen long", "append", GroupStateTimeout.NoTimeout)
+    return out.select(key, "status", F.timestamp_micros("us").cast("timestamp_ntz").alias("completed_at"), "applied")
+
+
+def incremental_index(docs: DataFrame, folder: str, progress: str) -> None:
+    """Chunks of the documents that have come since the last call, appended to a collection.
+
+    Each batch has a folder of its own that a repeated batch writes anew, so a lost driver leaves no row twice.
+    """
+
+    def append(batch: DataFrame, n: int) -> None:
+        documents.chunk_documents(batch).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    docs.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
 def drained(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """What a stream holds now, written by a query that ends once it has caught up."""
     scratch = Scratch(spark, name)
@@ -50,5 +88,24 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-QUERIES = {"rate_limit_stream": lambda s, d: drained(rate_limit_stream(_events(s, d), 3, 86400), s, "rate-limit")}
-ORACLES = {"rate_limit_stream": batches.ORACLES["rate_limit"]}
+def _status(s, d):
+    events = _events(s, d).select(F.col("user_id").alias("task"), "ts", "event_id", batches.event_status().alias("status"))
+    states = drained(task_status_stream(events), s, "task-status")
+    # Every batch adds a row to a job that it touched; the last counts.
+    return states.groupBy("task").agg(F.max_by(F.struct("status", "completed_at"), "applied").alias("s"), F.max("applied").alias("applied")).select("task", "s.*", "applied")
+
+
+def _index(s, d):
+    given = s.read.parquet(f"{d}/documents.parquet").schema
+    docs = s.readStream.schema(given).parquet(f"{d}/documents.parque[t]").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    root = Scratch(s, "index").root
+    incremental_index(docs, f"{root}/chunks", f"{root}/progress")
+    return s.read.parquet(f"{root}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"rate_limit_stream": lambda s, d: drained(rate_limit_stream(_events(s, d), 3, 86400), s, "rate-limit"), "task_status_stream": _status, "incremental_index": _index}
+ORACLES = {
+    "rate_limit_stream": batches.ORACLES["rate_limit"],
+    "task_status_stream": batches.ORACLES["status_transition"],
+    "incremental_index": f"WITH RECURSIVE {documents._CHUNKS} SELECT doc_id, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY doc_id",
+}
