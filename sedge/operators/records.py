@@ -10,6 +10,7 @@ from sedge.operators import lines as L
 LOOKED_FOR, PREVIEW = ("pdf", "md", "txt"), 2000
 #: Defaults of a paragraph style (fixed values).
 DEFAULTS = {"line_spacing": 1.5, "line_spacing_rule": "multiple", "space_before_pt": 0.0, "space_after_pt": 0.0, "alignment": "left", "first_line_indent_chars": 0.0, "left_indent_cm": 0.0, "right_indent_cm": 0.0, "keep_together": False, "keep_with_next": False, "widow_control": True}
+#: What stands for a context without results (fixed value).
 NO_CONTEXT = "无 RAG 检索结果，请使用国标默认值。"
 
 
