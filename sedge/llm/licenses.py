@@ -1,17 +1,19 @@
 """License scans by Patience alignment.
 
 Template and text are compared as words. Words that occur once in both are anchors; the longest increasing
-subsequence of their places keeps those in order, and the gaps between them are aligned the same way. Coverage is
-the share of the template's words that are aligned. Only stretches of a text that hold enough of a template's words
-to reach the coverage asked for are aligned at all, so long texts without a license cost one pass over their words.
+subsequence of their places keeps those in order, and the gaps between them are aligned the same way; a gap without
+such a word is aligned by its longest common subsequence. Coverage is the share of the template's words that are
+aligned. Only stretches of a text that hold enough of a template's words to reach the coverage asked for are aligned
+at all, so long texts without a license cost one pass over their words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -74,6 +76,29 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _longest_common(template: list[str], a: int, a_end: int, text: list[str], b: int, b_end: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two gaps, for those where no word occurs once in both."""
+    words = set(template[a:a_end])
+    at = [j for j in range(b, b_end) if text[j] in words]
+    rest = [[0] * (len(at) + 1)]
+    for i in range(a_end - 1, a - 1, -1):
+        below, row = rest[-1], [0] * (len(at) + 1)
+        for n in range(len(at) - 1, -1, -1):
+            row[n] = below[n + 1] + 1 if template[i] == text[at[n]] else max(below[n], row[n + 1])
+        rest.append(row)
+    rest.reverse()
+    pairs, i, n = [], a, 0
+    while i < a_end and n < len(at):
+        if template[i] == text[at[n]]:
+            pairs.append((i, at[n]))
+            i, n = i + 1, n + 1
+        elif rest[i - a + 1][n] >= rest[i - a][n + 1]:
+            i += 1
+        else:
+            n += 1
+    return pairs
+
+
 def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     """Aligned places (in template, in text), rising in both."""
     found: list[tuple[int, int]] = []
@@ -92,6 +117,7 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
         place = {w: j for j, w in enumerate(text[b:b_end], b) if once_b[w] == 1}
         anchors = _rising([(i, place[w]) for i, w in enumerate(template[a:a_end], a) if once_a[w] == 1 and w in place])
         if not anchors:
+            found += _longest_common(template, a, a_end, text, b, b_end)
             continue
         found += anchors
         edges = [(a - 1, b - 1), *anchors, (a_end, b_end)]
@@ -99,48 +125,66 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _apart(found: Iterable[tuple], key: Callable[[tuple], tuple]) -> list[tuple]:
+    """Stretches that do not overlap, the first by key taken first, in the order of the text.
+
+    Those taken lie apart, so only the neighbours of a new one can overlap it.
+    """
+    kept: list[tuple] = []
+    for f in sorted(found, key=key):
+        at = bisect_left(kept, f[2], key=lambda o: o[2])
+        if (at == 0 or kept[at - 1][3] <= f[2]) and (at == len(kept) or kept[at][2] >= f[3]):
+            kept.insert(at, f)
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.templates = {k: words_of(t) for k, t in templates.items()}
-        self.coverage = coverage
-        self.owners: dict[str, list[str]] = {}
-        for name, words in self.templates.items():
-            for w in set(words):
-                self.owners.setdefault(w, []).append(name)
-        # A match holds a word that few templates share; the commonest words of a language start no search.
-        self.rare = {w for w, o in self.owners.items() if w.startswith(("licen", "permission", "redistribut", "gnu", "software"))}
+        self.counts = {k: Counter(t) for k, t in self.templates.items()}
+        self.need = {k: max(1, math.ceil(coverage * len(t) - 1e-9)) for k, t in self.templates.items()}
+        self.known = {w for t in self.templates.values() for w in t}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last) of every stretch that covers a template enough, the best ones only."""
-        if not text:
-            return []
-        lowered = text.lower()
-        if not any(r in lowered for r in ("licen", "permission", "redistribut", "gnu", "software")):
-            return []
         words = words_of(text)
-        at = [k for k, w in enumerate(words) if w in self.rare]
+        held = self.known.intersection(words)
         found = []
-        for name, template in self.templates.items():
-            need, own = self.coverage * len(template), set(template)
-            reach = len(template) + len(template) // 4 + 2
-            done = -1
-            for k in at:
-                if words[k] not in own or k < done:
-                    continue
-                low, high = max(done, k - reach, 0), min(len(words), k + reach)
-                if sum(w in own for w in words[low:high]) < need:
-                    continue
-                pairs = align(template, words[low:high])
-                if len(pairs) >= need and pairs[-1][1] - pairs[0][1] <= 2 * reach:
-                    first, last = low + pairs[0][1], low + pairs[-1][1] + 1
-                    found.append((name, len(pairs) / len(template), first, last, len(pairs)))
-                    done = last
+        for name, own in self.counts.items():
+            if sum(n for w, n in own.items() if w in held) >= self.need[name]:
+                # Of one template's stretches the one aligned most closely stays: a longer one may mix in the copy behind.
+                size = len(self.templates[name])
+                found += _apart(self._stretches(name, words), lambda f, size=size: (-f[4] / max(size, f[3] - f[2]), -f[4], f[2]))
         # Of stretches that overlap, the one that aligns the most words stays; of equals the better covered, then by name.
-        kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[4], -f[1], f[0], f[2])):
-            if all(f[3] <= o[2] or f[2] >= o[3] for o in kept):
-                kept.append(f)
-        return sorted((f[:4] for f in kept), key=lambda f: (f[2], f[0]))
+        return [f[:4] for f in _apart(found, lambda f: (-f[4], -f[1], f[0], f[2]))]
+
+    def _stretches(self, name: str, words: list[str]) -> Iterator[tuple[str, float, int, int, int]]:
+        """Stretches of a text that align enough of one template, with the number of aligned words."""
+        template, own, need = self.templates[name], self.counts[name], self.need[name]
+        size = len(template)
+        reach = size + size // 4 + 2
+        # At most size - need words are missing, so the first aligned word is one of these.
+        starts = set(template[: size - need + 1])
+        places = [k for k, w in enumerate(words) if w in own]
+        done = 0
+        for n, k in enumerate(places):
+            if k < done or words[k] not in starts:
+                continue
+            inside = places[n : bisect_left(places, k + 2 * reach, n)]
+            if len(inside) < need or sum(min(c, own[w]) for w, c in Counter(words[j] for j in inside).items()) < need:
+                continue
+            best, dense = [], 0.0
+            for length in (size, reach, 2 * reach):
+                pairs = align(template, words[k : k + length])
+                if len(pairs) >= need and len(pairs) / max(size, pairs[-1][1] - pairs[0][1] + 1) > dense:
+                    best, dense = pairs, len(pairs) / max(size, pairs[-1][1] - pairs[0][1] + 1)
+                if len(best) == size:
+                    break
+            if best:
+                first, last = k + best[0][1], k + best[-1][1] + 1
+                yield name, len(best) / size, first, last, len(best)
+                if len(best) == last - first == size:
+                    done = last  # nothing that starts within a whole copy is better
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,6 +72,18 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_without_stem_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    names = lambda text: [f[0] for f in scanner.scan(text)]
+    assert names("Available under CC BY 4.0.") == ["CC-BY-4.0"] and names("Released under the MIT terms") == ["MIT"]
+    own = licenses.Scanner({"CC0": "To the extent possible all copyright and related rights to this work are waived"}, 0.8)
+    assert [f[:2] for f in own.scan("Note: to the extent possible all copyright and neighbouring rights to this work are waived here")] == [("CC0", 13 / 14)]
+    mit = licenses.TEMPLATES["MIT"]
+    assert scanner.scan("some words that stand before it " + mit + " " + mit) == [("MIT", 1.0, 6, 6 + len(words_of_mit := licenses.words_of(mit))), ("MIT", 1.0, 6 + len(words_of_mit), 6 + 2 * len(words_of_mit))]
+    long = licenses.TEMPLATES["MIT-text"].replace("free of charge", "at no cost")
+    assert names("before " + f"{long} " * 3 + "after") == ["MIT-text"] * 3
+
+
 # 2
 def test_language(spark, odd, none):
     found = language.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
