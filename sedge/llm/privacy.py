@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,8 +46,8 @@ _plus_phone = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]
 _card_part = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _spelt = re.compile(r"[A-Za-z0-9._%+-]{2,40}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{2,40}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.|\sdot\s)\s?[A-Za-z0-9-]{2,20}){1,3}")
 _number = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![\w-])")
-_named = re.compile(r"(?i)\b(pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|key)\b\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,128})")
-_key = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{20,128})(?![A-Za-z0-9+/_-])")
+_named = re.compile(r"(?i)\b(pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|key)\b\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,})")
+_key = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{20,}+)(?![A-Za-z0-9+/_-])")
 _names = re.compile(r"(?i)(pass|pwd|token|secret|key|card|tel|phone|call|mail|contact|ssn|iban|account|ip|host|addr)")
 
 
@@ -108,7 +110,7 @@ def proposals(text: str, base: list[tuple[int, int, str, bool]]) -> list[tuple[i
         if kind == "card" and not ok and e - s < 7:
             continue
         out.add((s, e, kind))
-        if not ok and kind in ("card", "phone") and e - s <= 400:
+        if not ok and kind in ("card", "phone"):
             near, until = max(0, s - 1), min(len(text), e + 1)
             for pattern, of in ((_card_part, "card"), (_plus_phone, "phone")):
                 out |= {(m.start(), m.end(), of) for m in pattern.finditer(text, near, until)}
@@ -141,7 +143,7 @@ def describe(text: str, start: int, end: int, kind: str, hide: bool = False) ->
     span = text[start:end]
     n = len(span)
     digits = _only_digits(span)
-    counts = [span.count(c) for c in set(span)] if n <= 200 else [1]
+    counts = Counter(span).values()
     before, after = text[max(0, start - 24) : start], text[end : end + 12]
     letters = sum(c.isalpha() for c in span)
     edge = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in "=:\"'" else 5
@@ -187,6 +189,29 @@ def rewritten(text: str, start: int, end: int, kind: str, turn: int) -> tuple[st
     return text[:start] + span + text[end:], start, start + len(span)
 
 
+class Taken:
+    """Places that spans cover, as intervals that lie apart; a line may hold thousands."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at == len(self.ends) or self.starts[at] >= end
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_right(self.ends, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 @dataclass
 class PrivacyModel:
     trees: BoostedTrees | None = None
@@ -194,19 +219,19 @@ class PrivacyModel:
 
     def added(self, text: str, base: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
         """Proposals over their kind's threshold that touch no passing base span, the surest first."""
-        taken = [(s, e) for s, e, _, ok in base if ok]
+        taken = Taken([(s, e) for s, e, _, ok in base if ok])
         passing = {(s, e, k) for s, e, k, ok in base if ok}
         if self.trees is None:
             return []
-        asked = [p for p in proposals(text, base) if p not in passing and not any(p[0] < e and s < p[1] for s, e in taken)]
+        asked = [p for p in proposals(text, base) if p not in passing and taken.free(*p[:2])]
         if not asked:
             return []
         scores = self.trees.predict(np.array([describe(text, *p) for p in asked]))
         out = []
         for score, p in sorted(zip(scores, asked, strict=True), key=lambda x: (-x[0], x[1])):
-            if score >= self.thresholds.get(p[2], 2.0) and not any(p[0] < e and s < p[1] for s, e in taken):
+            if score >= self.thresholds.get(p[2], 2.0) and taken.free(*p[:2]):
                 out.append(p)
-                taken.append(p[:2])
+                taken.add(*p[:2])
         return out
 
     def spans(self, text: str | None) -> tuple[list[tuple], list[tuple]]:

@@ -159,6 +159,27 @@ def test_personal_data(spark, odd, none):
     assert privacy.redacted("mail a@b.co now", [(5, 11, "email")]) == "mail [EMAIL] now"
 
 
+def luhn_card(rng):
+    d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(d + c for c in "0123456789" if privacy.luhn(d + c))
+
+
+def test_long_lines_and_keys_are_proposed_whole(spark):
+    rng = random.Random(5)
+    cards = [luhn_card(rng) for _ in range(3000)]
+    line = "cards " + " ".join(cards)
+    found = {(s, e) for s, e, k in privacy.proposals(line, privacy.base_matches(line)) if k == "card"}
+    assert {(6 + 17 * i, 22 + 17 * i) for i in range(3000)} <= found
+    key = "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(300))
+    for text in (f"token={key} end", f"see {key} end"):
+        at = text.index(key)
+        assert (at, at + 300, "secret") in privacy.proposals(text, privacy.base_matches(text))
+    model = privacy.fit_privacy(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"))
+    base, added = model.spans(line)
+    assert not [b for b in base if b[3]] and sum(k == "card" for _, _, k in added) > 2900
+    assert key[-20:] not in privacy.redacted(f"the token={key} end", model.spans(f"the token={key} end")[1])
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
