@@ -6,7 +6,8 @@ that look like keys. Boosted trees score each proposal from its format and its c
 calibrated on held-out proposals, selects what is added; base spans that pass their own checks always stay.
 
 Labels come from the data: a proposal is positive where a checksum, a range or a naming key proves it, negative where
-the check fails. Positives are also shown rewritten (no plus sign, spelt-out signs) and both with their proof
+the check fails; one that nothing can prove (most spelt addresses, numbers without a plus sign) does not teach. A token
+that looks like a key but has no naming key counts as negative. Positives are also shown rewritten (no plus sign, spelt-out signs) and both with their proof
 hidden, so that the trees learn what such spans and their surroundings look like.
 """
 
@@ -45,11 +46,17 @@ _bare_phone = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]
 _plus_phone = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
 _card_part = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _spelt = re.compile(r"[A-Za-z0-9._%+-]{2,40}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{2,40}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.|\sdot\s)\s?[A-Za-z0-9-]{2,20}){1,3}")
-_number = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![\w-])")
+_number = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])")
 _named = re.compile(r"(?i)\b(pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|key)\b\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,})")
 _key = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{20,}+)(?![A-Za-z0-9+/_-])")
 _names = re.compile(r"(?i)(pass|pwd|token|secret|key|card|tel|phone|call|mail|contact|ssn|iban|account|ip|host|addr)")
 
+_named_mail = re.compile(r"(?i)\b(?:e-?mail|mail(?: ?to)?|contact)\W{1,3}$")
+_named_phone = re.compile(r"(?i)\b(?:tel(?:ephone)?|phone|mobile|fax|call)\W{1,3}$")
+_named_id = re.compile(r"(?i)\b(?:ssn|social security(?: number)?|iban|account|id)\W{1,3}$")
+_country = re.compile(r"\+[0-9]{1,3}[ .-]?$")
+_at_signs = (" at ", "(at)", "[at]", "{at}", "at\n", "\nat", "at\t", "\tat", "at\r", "\rat")
+
 
 def luhn(digits: str) -> bool:
     odd = [int(c) for c in digits[-1::-2]]
@@ -114,8 +121,7 @@ def proposals(text: str, base: list[tuple[int, int, str, bool]]) -> list[tuple[i
             near, until = max(0, s - 1), min(len(text), e + 1)
             for pattern, of in ((_card_part, "card"), (_plus_phone, "phone")):
                 out |= {(m.start(), m.end(), of) for m in pattern.finditer(text, near, until)}
-    low = " at " in text or "(at)" in text or "[at]" in text or "{at}" in text
-    if low:
+    if any(sign in text for sign in _at_signs):
         out |= {(m.start(), m.end(), "email") for m in _spelt.finditer(text) if re.search(r"dot|\.", m[0])}
     if any(e - s >= 2 for s, e, k, _ in base if k == "card"):
         out |= {(m.start(), m.end(), "phone") for m in _bare_phone.finditer(text)}
@@ -136,6 +142,16 @@ def proposals(text: str, base: list[tuple[int, int, str, bool]]) -> list[tuple[i
 
 
 FEATURES = 24
+_lettered = str.maketrans("0123456789", "abcdefghij")
+
+
+def _sign(span: str) -> float:
+    """How an address is written: 1 with its sign, 0 as a sentence that ends, else 2 plain or 4 bracketed, 1 more with spelt dots."""
+    if "@" in span:
+        return 1.0
+    if re.search(r"\.\s|\s\.", span):
+        return 0.0
+    return (4.0 if re.search(r"[(\[{]at[)\]}]", span) else 2.0) + bool(re.search(r"[(\[{]dot[)\]}]|\sdot\s", span))
 
 
 def describe(text: str, start: int, end: int, kind: str, hide: bool = False) -> list[float]:
@@ -149,7 +165,7 @@ def describe(text: str, start: int, end: int, kind: str, hide: bool = False) ->
     edge = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in "=:\"'" else 5
     parts = [p for p in re.split(r"[^0-9]+", span) if p]
     proof = [
-        float(luhn(digits)) if kind == "card" and 13 <= len(digits) <= 19 else -1.0,
+        float(proves(kind, span)) if kind == "card" else float(proves_id(span)) if kind == "id" else -1.0,
         float(all(len(p) <= 3 and int(p) <= 255 for p in parts)) if kind == "ip" else -1.0,
         float(bool(re.search(r"[=:]\s?[\"']?$", before))),
         float(span[0] == "+"),
@@ -157,27 +173,55 @@ def describe(text: str, start: int, end: int, kind: str, hide: bool = False) ->
     return [
         float(KINDS.index(kind)), float(n), float(len(digits)), len(digits) / n, letters / n, sum(c.isupper() for c in span) / n,
         float(sum(not c.isalnum() for c in span)), float(len(parts)), float(max(map(len, parts), default=0)), float(min(map(len, parts), default=0)),
-        -sum(c / n * math.log2(c / n) for c in counts), float("@" in span or "at)" in span or "at]" in span or " at " in span), float(span.count(".")), float("(" in span), float(span.count("-")), float(" " in span),
+        -sum(c / n * math.log2(c / n) for c in counts), _sign(span) if kind == "email" else 0.0, float(span.count(".")), float("(" in span), float(span.count("-")), float(" " in span),
         float(edge(before[-1:])), float(edge(after[:1])), float(bool(_names.search(before))), float(sum(c.isdigit() for c in before)),
         *([-1.0, -1.0, 0.0, 0.0] if hide else proof),
     ]
 
 
-def label(text: str, start: int, end: int, kind: str) -> int:
-    span = text[start:end]
-    if kind in BASE and not (kind == "email" and "@" not in span):
-        return int(proves(kind, span)) if kind != "phone" or span[0] == "+" else 0
-    if kind == "secret":
-        return int(span.startswith("AKIA") and len(span) == 20 or bool(re.search(r"(?i)(pass\w*|pwd|token|secret|key)\s?[=:]\s?[\"']?$", text[max(0, start - 24) : start])))
-    return 0
+def iban(span: str) -> bool:
+    """Whether an account number's check digits fit (mod 97)."""
+    plain = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def proves_id(span: str) -> bool:
+    """Check digits of an account number; areas, groups and serials that identity numbers are given out with."""
+    if span[0].isalpha():
+        return iban(span)
+    area, group, serial = span.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def label(text: str, start: int, end: int, kind: str) -> int | None:
+    """1 where a check or a naming key proves a proposal, 0 where the check fails, None where nothing can tell."""
+    span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 2]
+    if kind == "email" and "@" not in span:
+        if _named_mail.search(before):
+            return 1
+        # White space beside a plain dot ends a sentence, not a label of an address.
+        return 0 if re.search(r"\.\s|\s\.", span) else None
+    if kind == "phone" and span[0] != "+":
+        if _country.search(before):
+            return None  # the rest of a number with its plus sign
+        if re.match(r"[ .-]?[0-9]", after) or re.search(r"[0-9][ .-]?$", before):
+            return 0  # a part of a longer number
+        return 1 if _named_phone.search(before) else None
+    if kind in BASE:
+        return int(proves(kind, span))
+    if kind == "id":
+        return int(proves_id(span) or bool(_named_id.search(before)))
+    return int(span.startswith("AKIA") and len(span) == 20 or bool(re.search(r"(?i)(pass\w*|pwd|token|secret|key)\s?[=:]\s?[\"']?$", before)))
 
 
 def rewritten(text: str, start: int, end: int, kind: str, turn: int) -> tuple[str, int, int] | None:
     """The same span written another way in its surroundings, for the trees to learn from."""
     span = text[start:end]
     if kind == "email":
-        span = span.replace("@", (" (at) ", "[at]", " at ")[turn % 3])
-        span = span.replace(".", (" (dot) ", "[dot]", " dot ")[turn % 3]) if turn % 2 else span
+        # A plain "at" with a plain dot is also how prose names a site, so it is not taught.
+        span = span.replace("@", (" (at) ", "[at]", " at ", "{at}")[turn % 4])
+        span = span.replace(".", (" (dot) ", "[dot]", " dot ", "{dot}")[turn % 4]) if turn % 4 == 2 or turn // 4 % 2 else span
+        span = span.translate(_lettered) if turn // 8 % 2 else span  # names without digits, as prose has them
     elif kind == "phone" and span[0] == "+":
         span = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", span)
         span = span.replace("(", "").replace(")", "").replace(" ", "-") if turn % 2 else span
@@ -236,12 +280,20 @@ class PrivacyModel:
 
     def spans(self, text: str | None) -> tuple[list[tuple], list[tuple]]:
         """(passing base spans, added spans) of a whole text; null is empty."""
-        if not text or not (_digits.search(text) or "@" in text or " at " in text or "at)" in text or "at]" in text):
+        if not text:
             return [], []
         base = base_matches(text)
         return [b for b in base if b[3]], self.added(text, base)
 
 
+def bar(scores: np.ndarray, y: np.ndarray) -> float:
+    """Halfway between the lowest score from which on proposals are precise enough and the next lower one: 0.5 at least."""
+    good = [c for c in np.unique(np.floor(scores * 1000) / 1000) if c >= 0.5 and y[scores >= c].mean() >= PRECISION]
+    if not good:
+        return 0.98
+    return float(max(0.5, (good[0] + max(scores[scores < good[0]], default=0.0)) / 2))
+
+
 def train(examples: list[tuple[str, list[float], int]]) -> PrivacyModel:
     """examples: (kind, features, label) in a fixed order."""
     y = np.array([e[2] for e in examples])
@@ -255,9 +307,8 @@ def train(examples: list[tuple[str, list[float], int]]) -> PrivacyModel:
     for kind in KINDS:
         own = np.array([e[0] == kind for e in examples])[~fit]
         s, t = scores[own], y[~fit][own]
-        good = [c for c in np.unique(np.floor(s * 1000) / 1000) if c >= 0.5 and t[s >= c].mean() >= PRECISION] if t.sum() >= 5 else []
         # Where a kind has too few examples of its own, the bar is what all kinds need.
-        thresholds[kind] = float(min(good, default=0.98))
+        thresholds[kind] = bar(s, t) if t.sum() >= 5 else bar(scores, y[~fit])
     return PrivacyModel(trees, thresholds)
 
 
@@ -272,6 +323,8 @@ def fit_privacy(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", t
                 turn = int(doc)
                 for s, e, kind in proposals(text, base_matches(text)):
                     y = label(text, s, e, kind)
+                    if y is None:
+                        continue
                     rows.append((turn, kind, describe(text, s, e, kind), y))
                     if y or kind in ("card", "ip"):
                         rows.append((turn, kind, describe(text, s, e, kind, True), y))

@@ -180,6 +180,51 @@ def test_long_lines_and_keys_are_proposed_whole(spark):
     assert key[-20:] not in privacy.redacted(f"the token={key} end", model.spans(f"the token={key} end")[1])
 
 
+def planted_forms(rng, i):
+    """A text of no sense with one span of each form that the base formats do not see, and the spans."""
+    word = lambda n=6: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    iban = next(f"DE{c:02d}{body}" for c in range(2, 99) if privacy.iban(f"DE{c:02d}{body}"))
+    forms = {
+        "iban": iban, "ssn": f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "spelt": f"{word()} (at) {word(8)} (dot) com",
+        "spelt_at": f"{word()} at {word(8)} dot org", "bare": f"{rng.randint(200, 999)}-555-{digits(4)}",
+    }
+    text, spans = word(), {}
+    for name, span in forms.items():
+        text += f" {word()} {word(4)} "
+        spans[name] = (len(text), len(text) + len(span))
+        text += span
+    return text + f" {word()} {word()}", spans
+
+
+def test_planted_forms_are_selected(spark):
+    rng = random.Random(8)
+    made = [planted_forms(rng, i) for i in range(400)]
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text")
+    model = privacy.fit_privacy(docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, (t, _) in enumerate(made[:300])], "doc_id long, text string")))
+    got, clean = defaultdict(list), []
+    for text, spans in made[300:]:
+        added = {(s, e) for s, e, _ in model.spans(text)[1]}
+        for name, span in spans.items():
+            got[name].append(any(s <= span[0] and span[1] <= e for s, e in added))
+    recall = {name: np.mean(hits) for name, hits in got.items()}
+    print(recall, model.thresholds)
+    assert all(r >= 0.9 for r in recall.values())
+    assert model.spans("they met at noon. Then all left. It ended at home.\nThey slept") == ([], [])
+
+
+def test_unprovable_proposals_do_not_teach():
+    def told(text, kind):
+        return [privacy.label(text, s, e, k) for s, e, k in privacy.proposals(text, privacy.base_matches(text)) if k == kind]
+
+    assert told("ask jane (at) host dot org", "email") == [None] and told("they met at noon. Then", "email") == [0]
+    assert told("ring 212-555-0199 now", "phone") == [None] and told("phone: 212-555-0199 now", "phone") == [1]
+    assert told("x DE89370400440532013000 y", "id") == [1] and told("x DE88370400440532013000 y", "id") == [0]
+    assert told("x 123-45-6789 y", "id") == [1] and told("x 900-45-6789 y", "id") == [0]
+    assert told("name{at}host dot org", "email") == [None] and told("password: longsecretword", "secret") == [1]
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
