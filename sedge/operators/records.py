@@ -102,8 +102,12 @@ def _append(s, d):
 
 
 def _resolve(s, d):
+    return _resolve_of(s, d, "event_id % 3 = 0")
+
+
+def _resolve_of(s, d, which):
     files = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("stem"), F.expr("case event_type when 'view' then 'txt' when 'click' then 'md' when 'purchase' then 'pdf' else 'docx' end").alias("ext"))
-    return resolve_first_existing(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("stem")), files.where("event_id % 3 = 0"))
+    return resolve_first_existing(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("stem")), files.where(which))
 
 
 def _preview(s, d):
@@ -145,7 +149,7 @@ def _defaults(s, d):
 
 
 QUERIES = {
-    "append_chunks": _append, "resolve_first_existing": _resolve, "coalesce_preview": _preview, "vector_hit_to_chunk": _hits, "restore_tables": _restore,
+    "append_chunks": _append, "resolve_first_existing": _resolve, "resolve_first_existing_whole": lambda s, d: _resolve_of(s, d, "true"), "coalesce_preview": _preview, "vector_hit_to_chunk": _hits, "restore_tables": _restore,
     "attach_table_images": _attach, "assemble_prompt": _prompt, "apply_style_defaults": _defaults,
     "load_sections": lambda s, d: load_sections(L.noisy_lines(s, d)).select("doc_id", "section_index", "section_title", F.md5("text").alias("md5")),
 }
@@ -154,6 +158,7 @@ _CH = "c AS (SELECT doc_id, text, source, CASE WHEN doc_id % 5 <> 0 THEN doc_id
 ORACLES = {
     "append_chunks": "SELECT source, count(*) + count(*) FILTER (doc_id % 2 = 0) AS n FROM documents GROUP BY source",
     "resolve_first_existing": "WITH f AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END) AS r FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT p_partkey AS id, CASE r WHEN 1 THEN 'pdf' WHEN 2 THEN 'md' WHEN 3 THEN 'txt' END AS ext FROM part LEFT JOIN f ON user_id = p_partkey",
+    "resolve_first_existing_whole": "WITH f AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END) AS r FROM events GROUP BY 1) SELECT p_partkey AS id, CASE r WHEN 1 THEN 'pdf' WHEN 2 THEN 'md' WHEN 3 THEN 'txt' END AS ext FROM part LEFT JOIN f ON user_id = p_partkey",
     "coalesce_preview": "SELECT doc_id AS id, md5(CASE WHEN doc_id % 2 = 0 AND (doc_id % 5 = 0 OR coalesce(length(text), 0) <= 2000) THEN 'file ' || text WHEN doc_id % 5 <> 0 THEN text END) AS md5 FROM documents",
     "vector_hit_to_chunk": f"WITH {_CH} SELECT doc_id AS hit, coalesce(i, j) AS idx FROM c LEFT JOIN t ON t.text = CASE WHEN doc_id % 3 = 0 THEN c.text || '?' ELSE c.text END LEFT JOIN p ON p.source IS NOT DISTINCT FROM c.source AND p.k = c.k WHERE coalesce(i, j) IS NOT NULL",
     "restore_tables": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 ELSE 2 END AS restored, CASE doc_id % 3 WHEN 2 THEN 1 ELSE 0 END AS missing, md5(text || CASE WHEN doc_id % 3 = 0 THEN ' {T0} and {T1}' ELSE ' <table>0</table> and <table>1</table>' END) AS md5 FROM documents",

@@ -91,6 +91,12 @@ def session_message_counts(sessions: DataFrame, messages: DataFrame, key: str =
     return sessions.join(counted.hint("merge"), key, "left").withColumn("messages", F.coalesce("messages", F.lit(0)))
 
 
+def session_messages(messages: DataFrame, limit: int | None = None, key: str = "conv_id") -> DataFrame:
+    """Every session's messages numbered by turn from 1; a limit holds for each session."""
+    numbered = messages.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("turn", "role")))
+    return numbered.where(F.col("n") <= limit) if limit else numbered
+
+
 def template_match(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """The template of each wanted standard: equal standard, then a standard or else a name that holds its number.
 
@@ -203,6 +209,8 @@ QUERIES = {
     "cleanup_candidates": lambda s, d: cleanup_candidates(_folders(s, d), tasks(s, d), F.lit(_CUT).cast("timestamp_ntz")),
     "disk_usage": lambda s, d: _folders(s, d).agg(F.round(F.sum(F.when(F.col("id") % 4 == 0, F.col("bytes"))) / 1048576, 2).alias("outputs_mb"), F.round(F.sum(F.when(F.col("id") % 4 != 0, F.col("bytes"))) / 1048576, 2).alias("uploads_mb")).withColumn("total_mb", F.round(F.col("outputs_mb") + F.col("uploads_mb"), 2)),
     "session_message_counts": lambda s, d: session_message_counts(_sessions(s, d), _read(s, d, "conversations").where("role <> 'system' and conv_id % 3 <> 0")),
+    "session_messages": lambda s, d: session_messages(_read(s, d, "conversations")).select("conv_id", "n", "turn", "role"),
+    "session_message_counts_whole": lambda s, d: session_message_counts(_sessions(s, d).unionByName(_read(s, d, "customer").select(F.col("c_custkey").alias("conv_id"))).distinct(), _read(s, d, "conversations").where("role <> 'system'")),
     "cascade_delete": lambda s, d: _read(s, d, "conversations").join(_sessions(s, d).where("conv_id % 5 = 0").hint("merge"), "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("left_messages")),
     "template_match": lambda s, d: template_match(_wanted(s, d), templates(s, d)),
     "kb_registry_sync": _sync,
@@ -231,6 +239,8 @@ ORACLES = {
     "cleanup_candidates": f"WITH {TASKS_SQL}, {_FOLD}, b AS (SELECT f.*, t.id IS NULL AS orphan, coalesce(CASE WHEN t.id IS NULL THEN mtime < TIMESTAMP '{_CUT}' ELSE status IN ('completed', 'failed', 'cancelled') AND created_at < TIMESTAMP '{_CUT}' END, false) AS del FROM folders f LEFT JOIN tasks t USING (id)) SELECT count(*) FILTER (del) AS deleted_count, round(coalesce(sum(bytes) FILTER (del), 0) / 1048576, 2) AS freed_mb, count(*) AS scanned_count, count(*) FILTER (orphan) AS orphaned_count FROM b",
     "disk_usage": f"WITH {_FOLD}, p AS (SELECT round(sum(bytes) FILTER (id % 4 = 0) / 1048576, 2) AS outputs_mb, round(sum(bytes) FILTER (id % 4 <> 0) / 1048576, 2) AS uploads_mb FROM folders) SELECT *, round(outputs_mb + uploads_mb, 2) AS total_mb FROM p",
     "session_message_counts": "SELECT conv_id, count(*) FILTER (role <> 'system' AND conv_id % 3 <> 0) AS messages FROM conversations GROUP BY conv_id",
+    "session_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS n, turn, role FROM conversations",
+    "session_message_counts_whole": "WITH i AS (SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer) SELECT i.conv_id, count(role) AS messages FROM i LEFT JOIN (SELECT conv_id, role FROM conversations WHERE role <> 'system') USING (conv_id) GROUP BY 1",
     "cascade_delete": "SELECT conv_id, count(*) AS left_messages FROM conversations WHERE conv_id % 5 <> 0 GROUP BY conv_id",
     "template_match": f"""WITH {TEMPLATES_SQL}, w AS (SELECT DISTINCT 'GB/T ' || (o_orderkey % 3000) || CASE WHEN o_orderkey % 7 = 0 THEN '-2008' ELSE '' END AS wanted FROM orders),
 k AS (SELECT wanted, list_reduce(regexp_extract_all(wanted, '[0-9]+'), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END, '') AS kw FROM w),

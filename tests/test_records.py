@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sedge.operators import records as R
+from sedge.operators import records as R, reports
 from sedge.sources.corpus import scan_content_list
 
 
@@ -30,3 +30,10 @@ def test_restoring_nothing(spark):
     docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     kept = spark.createDataFrame([], "doc_id long, n int, placeholder string, table_html string")
     assert [tuple(r) for r in R.restore_tables(docs, kept).orderBy("doc_id").collect()] == [(1, "x", 0, 0), (2, None, 0, 0)]
+
+
+def test_every_session_keeps_its_messages(spark):
+    messages = spark.range(600).selectExpr("id div 3 as conv_id", "id % 3 as turn", "'user' as role")
+    assert reports.session_messages(messages).count() == 600
+    limited = reports.session_messages(messages, limit=2)
+    assert limited.count() == 400 and limited.where("turn > 1").count() == 0
