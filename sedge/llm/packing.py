@@ -5,7 +5,7 @@ a long document first fills whole windows, and what remains of it goes to the ti
 collects pieces until one of its own sequences can be filled without padding; a long window that a document
 leaves open is filled from the shorter tiers, longest piece first, cutting the last one. What a partition has
 left at its end is cut into sequences of powers of two, which need no padding. Sequences are dealt to step
-groups of equal token counts.
+groups of equal token counts within a partition only: each partition may leave one short group a tier and size.
 
 Ids never leave the task that made them: only lengths, places and checksums are returned, so nothing is shuffled.
 """
