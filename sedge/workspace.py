@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: A key is hot when it holds more than one row in so many; then there are fewer hot keys than this, at any size of table.
+HOT_SHARE = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sedge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,13 +27,15 @@ class Scratch:
     """Parquet tables of one operator run under the shared folder.
 
     keep() writes a frame and reads it back: lineage ends there, a lost executor costs no recomputation
-    beyond the table, and later joins see true sizes. drop() deletes tables that are no longer read.
+    beyond the table, and later joins see true sizes. drop() deletes tables that are no longer read, answer() keeps
+    an operator's result and deletes all the rest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.live: list[DataFrame] = []
 
     def keep(self, frame: DataFrame, label: str, sweep: bool = False) -> DataFrame:
         """sweep: let go of the shuffle files behind the table, which Spark frees when the driver collects garbage."""
@@ -36,7 +43,8 @@ class Scratch:
         path = f"{self.root}/{self.n}-{label}"
         frame.write.parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
-        kept._sedge_path = path
+        kept._sedge_path, kept._sedge_table = path, None
+        self.live.append(kept)
         if sweep:
             self.spark._jvm.System.gc()
         return kept
@@ -48,20 +56,45 @@ class Scratch:
         later joins on the key move the other side only.
         """
         self.n += 1
-        name = f"sedge_{uuid.uuid4().hex}"
+        name, path = f"sedge_{uuid.uuid4().hex}", f"{self.root}/{self.n}-{label}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         some = wanted.select(F.col(wanted_key).alias("_wanted")).repartition(buckets, "_wanted").hint("merge")
         dealt = frame.repartition(buckets, key)
         made = make(dealt.join(some, dealt[key] == some["_wanted"], "left_semi"))
-        made.write.bucketBy(buckets, wanted_key).sortBy(wanted_key).option("path", f"{self.root}/{self.n}-{label}").saveAsTable(name)
+        made.write.bucketBy(buckets, wanted_key).sortBy(wanted_key).option("path", path).saveAsTable(name)
         self.spark._jvm.System.gc()
-        return self.spark.table(name)
+        kept = self.spark.table(name)
+        kept._sedge_path, kept._sedge_table = path, name
+        self.live.append(kept)
+        return kept
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for frame in frames:
+            if frame._sedge_table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {frame._sedge_table}")
             path = jvm.org.apache.hadoop.fs.Path(frame._sedge_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        gone = {f._sedge_path for f in frames}
+        self.live = [f for f in self.live if f._sedge_path not in gone]
+
+    def answer(self, frame: DataFrame) -> DataFrame:
+        """An operator's result as a table; every other table of the run goes, and the shuffle files behind them."""
+        kept = self.keep(frame, "answer", sweep=True)
+        self.drop(*(f for f in self.live if f is not kept))
+        return kept
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+    """Inner join (or left_semi) with a side that has each key once and knows its hot ones.
+
+    There are fewer than HOT_SHARE hot keys, whatever the size of the tables: they are broadcast, so their many rows
+    on the left stay where they lie. The others are shuffled by key.
+    """
+    few = right.where(hot)
+    some = left.join(F.broadcast(few), key, how)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).hint("merge"), key, how)
+    return some.unionByName(rest)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
