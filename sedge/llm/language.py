@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
-A word's subwords are its character n-grams between word ends. Each is hashed to a row of an embedding table, a
-text is the average of its subwords' rows, and a linear softmax gives the languages. Table and softmax are
+A word's subwords are its character n-grams, word ends included. Each is hashed to a row of an embedding table, a
+text is the average of its subwords' rows, and a linear softmax gives the languages. Hashes are rolled over the
+characters of many texts at once; no word is looked at by itself. Table and softmax are
 trained together by stochastic gradient descent in numpy. A temperature, fitted on documents that training did
 not see, makes the highest probability a calibrated confidence; the rejection threshold is a low quantile of the
 confidence of those documents that were predicted rightly.
@@ -10,8 +11,6 @@ confidence of those documents that were predicted rightly.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,33 +23,55 @@ from sedge.workspace import small_batches
 
 #: Documents to learn from, at most about so many; a fifth of them only calibrate.
 SAMPLE = 2000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 14, 16, 4, 0.5, 11
-NGRAMS = (1, 2, 3)
+BUCKET_BITS, DIM, EPOCHS, RATE, SEED = 15, 16, 4, 0.5, 11
+BUCKETS = 1 << BUCKET_BITS
+NGRAMS = (1, 2, 3, 4)
 #: Share of rightly predicted calibration documents that the threshold may reject.
 REJECTED = 0.001
-KEPT = 500_000
+#: Characters hashed at once.
+AT_ONCE = 1 << 17
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+_latin = re.compile("[A-Za-z]").search
+_SPACE, _BASE, _MIX = np.uint32(32), np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams; case is folded, digits and signs count as one each."""
-    marked = "<" + word.lower() + ">"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
+def has_letter(text: str) -> bool:
+    return bool(_latin(text)) or any(map(str.isalpha, text))
 
 
-def bag(text: str, memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def prepared(text: str) -> str:
+    """Lower-cased words with one space around each."""
+    return f" {' '.join(text.lower().split())} "
+
+
+def hashed(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram length the starts and buckets of the n-grams of prepared texts: a space may only be an end, and
+    of one character it is none."""
+    space = codes == _SPACE
+    letter = ~space
+    inner = np.ones(len(codes), bool)  # no space between the first and the last character
+    rolled = np.zeros(len(codes), np.uint32)
+    for n in range(1, max(NGRAMS) + 1):
+        size = len(codes) - n + 1
+        if size <= 0:
+            return
+        rolled = (rolled[:size] * _BASE) + codes[n - 1 :] + np.uint32(1)
+        if n > 2:
+            inner = inner[:size] & letter[n - 2 : n - 2 + size]
+        good = letter if n == 1 else letter[:size] | letter[1:] if n == 2 else inner[:size]
+        if n in NGRAMS:
+            at = np.flatnonzero(good)
+            mixed = (rolled[at] ^ np.uint32(n)) * _MIX
+            yield at, ((mixed ^ (mixed >> np.uint32(15))) * _BASE >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    counts: Counter = Counter()
-    for word, n in Counter(text.split()).items():
-        if word not in memo:
-            memo[word] = subwords(word)
-        for b in memo[word]:
-            counts[b] += n
-    rows = np.fromiter(counts.keys(), dtype=np.int32, count=len(counts))
-    shares = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-    return rows, shares / max(shares.sum(), 1)
+    codes = np.frombuffer(prepared(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = [b for _, b in hashed(codes)]
+    rows, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, int))
+    return rows, (counts / max(counts.sum(), 1)).astype(np.float32)
 
 
 @dataclass
@@ -72,8 +93,7 @@ def train(texts: list[str], labels: list[str]) -> LanguageModel:
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    memo: dict[str, list[int]] = {}
-    bags = [bag(t, memo) for t in texts]
+    bags = [bag(t) for t in texts]
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(bags))
@@ -123,39 +143,56 @@ def fit_language(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, id_co
 
 
 class Predictor:
-    """Keeps each word's summed scores, so that a text costs one lookup a word."""
+    """Languages of whole texts: bucket scores are summed between the texts' ends, many texts at once."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.width = len(model.languages) + 1
-        self.reset()
-
-    def reset(self) -> None:
-        self.row: dict[str, int] = {}
-        self.sums = np.zeros((4096, self.width), np.float32)
-
-    def learn(self, word: str) -> int:
-        at = len(self.row)
-        if at >= len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        found = subwords(word)
-        self.sums[at, :-1] = self.model.scores[found].sum(0)
-        self.sums[at, -1] = len(found)
-        self.row[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, confidence); a null text or one without letters is unknown with confidence 0."""
-        if text is None or not self.model.languages or not _letter(text):
-            return UNKNOWN, 0.0
-        if len(self.row) > KEPT:
-            self.reset()
-        row = self.row
-        rows = [row[w] if w in row else self.learn(w) for w in text.split()]
-        total = self.sums[rows].sum(0, dtype=np.float64)
-        p = self.model.probabilities(total[:-1] / max(total[-1], 1) + self.model.bias)
-        k = int(p.argmax())
-        return self.model.languages[k], float(p[k])
+        self.scores = model.scores.astype(np.float64)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, confidence) of each; a null text or one without letters is unknown with confidence 0."""
+        found = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.model.languages:
+            return found
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            if text is None or not has_letter(text):
+                continue
+            some.append(k)
+            size += len(text)
+            if size > AT_ONCE:
+                self._decide([texts[i] for i in some], some, found)
+                some, size = [], 0
+        if some:
+            self._decide([texts[i] for i in some], some, found)
+        return found
+
+    def _decide(self, texts: list[str], places: list[int], found: list[tuple[str, float]]) -> None:
+        ready = [prepared(t) for t in texts]
+        lengths = np.array([len(r) for r in ready])
+        codes = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sums, counts = self.totals(codes, np.cumsum(lengths) - lengths)
+        p = self.model.probabilities(sums / np.maximum(counts, 1)[:, None] + self.model.bias)
+        best = p.argmax(1)
+        for k, place in enumerate(places):
+            found[place] = self.model.languages[best[k]], float(p[k, best[k]])
+
+    def totals(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed scores and numbers of subwords of the texts that start at the given places; a long stretch goes in parts."""
+        sums, counts = np.zeros((len(starts), self.scores.shape[1])), np.zeros(len(starts), np.int64)
+        reach = max(NGRAMS) - 1
+        for low in range(0, len(codes), AT_ONCE):
+            high = min(low + AT_ONCE, len(codes))
+            for at, buckets in hashed(codes[low : high + reach]):
+                mine = at < high - low  # the rest belongs to the part that follows
+                at, buckets = at[mine] + low, buckets[mine]
+                if not len(at):
+                    continue
+                edges = np.searchsorted(at, starts)
+                held = np.flatnonzero(np.diff(np.append(edges, len(at))))
+                sums[held] += np.add.reduceat(self.scores[buckets], edges[held], axis=0)
+                counts[held] += np.diff(np.append(edges, len(at)))[held]
+        return sums, counts
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Predictor(shared.value)
         for batch in batches:
-            found = [own.predict(t) for t in batch["_text"]]
+            found = own.predict(batch["_text"].tolist())
             scores = np.array([s for _, s in found], dtype=float)
             langs = [x for x, _ in found]
             yield pd.DataFrame({id_col: batch["_id"], "lang_pred": langs, "score": scores, "accepted": [x != UNKNOWN and s >= own.model.threshold for x, s in found]})
@@ -188,7 +225,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def accepts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Predictor(shared.value)
         for batch in batches:
-            yield pd.Series([lang != UNKNOWN and score >= own.model.threshold for lang, score in map(own.predict, batch)], dtype=bool)
+            yield pd.Series([lang != UNKNOWN and score >= own.model.threshold for lang, score in own.predict(batch.tolist())], dtype=bool)
 
     return docs.where(accepts(F.col(text_col)))
 
