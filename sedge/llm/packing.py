@@ -12,13 +12,16 @@ Ids never leave the task that made them: only lengths, places and checksums are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -27,48 +30,116 @@ from sedge.llm.sampling import id_and_text
 from sedge.workspace import small_batches
 
 WINDOW, SHORTEST_TIER, STEP_TOKENS, END_ID = 2048, 128, 16 * 2048, 1
-#: Distinct words kept by a worker; when full the store starts anew.
-KEPT = 600_000
+#: Words with rare characters kept by a worker; when full the store starts anew.
+KEPT = 100_000
+
+
+#: Fixed values of the tokenizer's file: how it prepares text and cuts it into pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {
+    "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+END_OF_WORD = "</w>"
+
+# The same pieces in lower-cased text up to U+012F: letters, numbers, white space and signs of that range by name.
+_space = "\t-\r \x85\xa0"
+_letter, _number = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letter}]+|[{_number}]|[^{_space}{_letter}{_number}]+")
+_odd = re.compile("[^\x00-\u012f]")
+_odd_word = re.compile(f"[^{_space}]*[^\x00-\u012f][^{_space}]*")
+
+
+def merge_engine(file: dict) -> tiktoken.Encoding | None:
+    """The file's merges for text whose pieces are each followed by one space; None if its rules are others than these."""
+    model, cutter = file["model"], file["pre_tokenizer"]
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    known = (model["type"], model["end_of_word_suffix"], file["normalizer"]) == ("BPE", END_OF_WORD, NORMALIZER)
+    if not known or (cutter["type"], cutter.get("pretokenizers")) != ("Sequence", [PIECES, byte_level]):
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = {pair: k for k, pair in enumerate(pairs)}
+    byte_of = {c: bytes([b]) for b, c in byte_characters().items()}
+    ranks = {}
+    for token, at in model["vocab"].items():
+        ends = token.endswith(END_OF_WORD)
+        letters = list(token.removesuffix(END_OF_WORD))
+        if any(c not in byte_of for c in letters):
+            return None
+        if merged_alone([*letters[:-1], letters[-1] + END_OF_WORD] if ends else letters, order) == [token]:
+            ranks[b"".join(byte_of[c] for c in letters) + b" " * ends] = at
+    first = [ranks.get(bytes([b])) for b in range(256)] + [ranks.get(bytes([b, 32])) for b in range(256)]
+    merged = [model["vocab"][a + b] for a, b in pairs]
+    # Ids serve as ranks: bytes, then bytes that end a word, then merges in their order. A lone space is in no piece.
+    if None in first or max(first[:256]) > min(first[256:]) or max(first[256:]) > min(merged) or merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("pieces", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 signs as they are, the rest from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def merged_alone(parts: list[str], order: dict[tuple[str, str], int]) -> list[str]:
+    """What the merges make of a list of symbols: always the first listed pair, leftmost first."""
+    while len(parts) > 1:
+        rank, k = min((order.get(pair, len(order)), k) for k, pair in enumerate(zip(parts, parts[1:])))
+        if rank == len(order):
+            break
+        parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+    return parts
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes. The tokenizer drops white space and never joins across it,
-    so each word between spaces or line feeds is encoded once and kept."""
+    """Ids of a text as little-endian 32-bit bytes, equal to those of the tokenizer's own encode().
+
+    Text in characters whose case, class and normal form have long been fixed is cut into pieces here and merged by
+    tiktoken's engine over the same vocabulary; white-space words with other characters go to the tokenizer itself, as
+    does everything if the file's rules are not those that this class knows.
+
+    The engine joins two neighbours whenever their concatenation is in its table, the tokenizer only by the merge that
+    the file lists. Both do the same when the table holds just the tokens that merging their own characters arrives
+    at: as long as no merge crosses a stretch's ends, it passes through the states it would pass through alone.
+    A space never lies in a piece, so it stands for the end of a word, and joining it to the last byte ranks first.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def core(self, word: str) -> tuple[str, str]:
-        """A word as (lower-cased letters or digits, stops after them): the tokenizer parts the two itself."""
-        head = word.rstrip(".,!")
-        if head and head[-1].isalnum() and head[-1].lower().isalnum():  # no mark that would join the stops
-            return (head.lower() if head.isascii() else head), word[len(head) :]
-        return word, ""
-
-    def learn(self, words: set[str]) -> None:
-        parts = {w: self.core(w) for w in words}
-        fresh = list({x for pair in parts.values() for x in pair if x not in self.kept})
-        coded = dict(zip(fresh, [np.asarray(c.ids, dtype="<u4").tobytes() for c in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)], strict=True))
-        for word, (head, stops) in parts.items():
-            self.kept[word] = (coded[head] if head in coded else self.kept[head]) + (coded[stops] if stops in coded else self.kept[stops])
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Of each text in turn; null is empty."""
-        split = [t.replace("\n", " ").split(" ") if t else [""] for t in texts]
-        for start in range(0, len(split), 64):
-            some = split[start : start + 64]
-            missing = {w for words in some for w in words if w not in self.kept}
-            if len(self.kept) + len(missing) > KEPT:
-                self.kept = {"": b""}
-                missing = {w for words in some for w in words if w}
-            if missing:
-                self.learn(missing)
-            kept = self.kept
-            for words in some:
-                yield b"".join([kept[w] for w in words])
+        with open(path, encoding="utf-8") as f:
+            self.engine = merge_engine(json.load(f))
+        self.kept: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def odd(self, word: str) -> bytes:
+        if word not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept = {}
+            self.kept[word] = self.whole(word)
+        return self.kept[word]
+
+    def plain(self, text: str) -> bytes:
+        pieces = _piece.findall(text.lower())
+        return self.engine.encode_to_numpy(" ".join(pieces) + " ").astype("<u4", copy=False).tobytes() if pieces else b""
+
+    def encode(self, text: str | None) -> bytes:
+        """Null is empty."""
+        if not text:
+            return b""
+        if self.engine is None:
+            return self.whole(text)
+        if not _odd.search(text):
+            return self.plain(text)
+        out, at = [], 0
+        for m in _odd_word.finditer(text):
+            out += [self.plain(text[at : m.start()]), self.odd(m[0])]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
 
 
 _words: dict[str, WordIds] = {}
@@ -198,8 +269,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, s
         packer = Packer(TaskContext.get().partitionId() << 32, window, shortest_tier, step_tokens)
         names = [id_col, *(c.split()[0] for c in COLUMNS.split(", "))]
         for batch in batches:
-            for doc, ids in zip(batch["_id"], own.encode(batch["_text"].tolist()), strict=True):
-                packer.add(doc, ids + end)
+            for doc, text in zip(batch["_id"], batch["_text"], strict=True):
+                packer.add(doc, own.encode(text) + end)
             yield pd.DataFrame(packer.rows, columns=names)
             packer.rows = []
         packer.finish()

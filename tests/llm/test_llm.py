@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage: brute force, round trips, held-out accuracy and odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -96,6 +97,38 @@ def test_language(spark, odd, none):
     assert language.fit_language(none, F.lit(True)).languages == []
 
 
+def slow_subwords(text):
+    """Buckets of the character n-grams of a text's words, a space at either end of each."""
+    for word in text.lower().split():
+        marked = [ord(c) for c in f" {word} "]
+        for n in language.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                gram = marked[i : i + n]
+                if gram != [32]:
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x01000193 + c + 1) % 2**32
+                    h = (h ^ n) * 0x9E3779B1 % 2**32
+                    yield (h ^ (h >> 15)) * 0x01000193 % 2**32 >> (32 - language.BUCKET_BITS)
+
+
+def test_language_scores_by_definition(spark):
+    texts = [t for t in documents_cache(spark).values() if t][:60] + ["½ ²", "a", "", None, "日本 x", "x\u2003y ÀB"]
+    model = language.train(texts[:60], ["en", "de", "fr"] * 20)
+    got = language.Predictor(model).predict(texts)
+    assert got[60] == got[62] == got[63] == ("und", 0.0)
+    for text, (lang, score) in zip(texts, got):
+        if text and any(c.isalpha() for c in text):
+            buckets = list(slow_subwords(text))
+            p = model.probabilities(model.scores[buckets].astype(float).mean(0) + model.bias)
+            assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-9
+    long = " ".join(t for t in texts[:60])
+    long = long * (1 + 300_000 // len(long))
+    (lang, score), (_, again) = language.Predictor(model).predict([long, long])
+    rows, shares = language.bag(long)
+    assert abs(score - model.probabilities(shares.astype(float) @ model.scores[rows] + model.bias).max()) < 1e-4 and abs(score - again) < 1e-9
+
+
 # 3
 def test_pieces(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -270,7 +303,19 @@ def test_packing(spark, odd, none):
     strange = "It's a t'est's. x'., ÀÉ. 12,3!! <|endoftext|>. İ. \x1c a\x85b ǅ."
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    assert next(packing.WordIds(path).encode([strange])) == np.asarray(tokenizer.encode(strange, add_special_tokens=False).ids, "<u4").tobytes()
+    own = packing.WordIds(path)
+    whole = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.engine is not None and own.encode(strange) == whole(strange)
+    rng = random.Random(6)
+    vocabulary = [w.replace("</w>", " ") for w in tokenizer.get_vocab()]
+    signs = [chr(c) for c in range(0x130)] + list(" \u3000éÉßİıſ中文😀\u0300\u0301\u0308\xad'''''\n\x1c\x85\xa0²½Σςﬁ")
+    for _ in range(4000):
+        alphabet = rng.choice([signs, list("abcdehistrnd' "), list("'stremvld ab")])
+        for text in ("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))), rng.choice(vocabulary) + rng.choice(vocabulary)):
+            assert own.encode(text) == whole(text)
+    foreign = json.loads(open(path, encoding="utf-8").read())
+    foreign["normalizer"] = None
+    assert packing.merge_engine(foreign) is None
 
 
 # 7
