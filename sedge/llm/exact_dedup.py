@@ -5,13 +5,17 @@ A normalised text is cut where its own characters say so, so equal stretches giv
 they stand. Each distinct chunk moves once, to be compared with the others of the same fingerprint; it then
 has a verified identifier (the place of its first occurrence). A document becomes the ordered list of its
 chunk identifiers, and only those lists are compared: no whole text is moved.
+
+Chunks and lists that more than a thousandth of all rows hold are fewer than a thousand: they are broadcast to
+their rows, which would else meet in one task. What a list weighs times its rows is part of the table, so hot lists
+together weigh less than a thousand lists of average size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sedge.workspace import Scratch
+from sedge.workspace import HOT_SHARE, Scratch, join_hot
 
 #: A chunk ends after one of these letter pairs, between the two lengths; else at the greater length.
 CUT_AFTER = "(?:qu|ux|tz|ck|wh|yo|gu|bl|nt|[.!?])"
@@ -49,16 +53,16 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         base.select("id", F.posexplode(chunks_of(norm)).alias("pos", "chunk"))
         .select(F.sha2("chunk", 256).alias("print"), "chunk", F.struct("id", "pos").alias("place"))
         .groupBy("print", "chunk")
-        .agg(F.min("place").alias("place"))
+        .agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
         .groupBy("print")
-        .agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("texts"))
+        .agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     )
     # A fingerprint with two texts would make its identifier wrong: the job stops rather than merge them.
     verified = F.when(F.col("texts") > 1, F.raise_error(F.lit("two chunks share a fingerprint")).cast("boolean")).otherwise(F.lit(True))
-    store = scratch.keep(store.where(verified).select("print", F.col("place.id").alias("chunk_doc"), F.col("place.pos").alias("chunk_pos")), "store")
+    store = scratch.keep(store.where(verified).select("print", F.col("place.id").alias("chunk_doc"), F.col("place.pos").alias("chunk_pos"), "n"), "store", sweep=True)
+    chunks = store.agg(F.sum("n")).first()[0] or 0
     placed = (
-        recipes.select("id", F.posexplode("prints").alias("pos", "print"))
-        .join(store.hint("merge"), "print")
+        join_hot(recipes.select("id", F.posexplode("prints").alias("pos", "print")), store, "print", F.col("n") > chunks / HOT_SHARE)
         .groupBy("id")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "chunk_doc", "chunk_pos"))).alias("parts"))
         .select("id", F.transform("parts", lambda p: F.struct(p["chunk_doc"].alias("d"), p["chunk_pos"].alias("p"))).alias("recipe"))
@@ -68,15 +72,15 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         .withColumn("recipe", F.coalesce("recipe", F.array().cast("array<struct<d:bigint,p:int>>"))),
         "lists",
     )
+    scratch.drop(recipes, store)
     # Equal lists are equal texts. The hot list is summed where it lies before it is shuffled.
     groups = scratch.keep(
         lists.groupBy("recipe").agg(F.max(F.struct(F.col("n_points"), (-F.col("id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size"),
         "groups",
     )
-    return lists.join(groups.hint("merge"), "recipe").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256", "n_points"
-    )
+    found = join_hot(lists, groups, "recipe", F.col("group_size") > lists.count() / HOT_SHARE)
+    return scratch.answer(found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256", "n_points"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
