@@ -10,6 +10,8 @@
    component, and pairs inside a component need no test any more. Rounds with more pivots follow, and the last one
    meets every remaining pair of different components. So a large group of near copies costs its size times a few
    pivots, not its square, and yet no link between components is lost.
+5. Shingles that the sketch gives to more than a thousandth of all documents are hot. Their postings are dealt by
+   shingle, size band and a salt; what they are to meet is repeated for the salts and the neighbouring bands.
 
 Verification compares whole sets. Links are shingle-exact up to collisions of 64-bit hashes within one pair.
 """
@@ -18,19 +20,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sedge.llm.sampling import id_and_text
-from sedge.workspace import Scratch, small_batches
+from sedge.workspace import HOT_SHARE, Scratch, join_hot, small_batches
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch; 2**20 single bytes are broadcast, whatever the input.
 SKETCH_BITS = 20
 #: Pivots a shingle meets in each round; None: every remaining pair.
 ROUNDS = (2, 32, None)
+#: Tasks over which one size band of a hot shingle is dealt.
+SALTS = 16
 
 _PRIME, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 #: Bytes hashed at once, but for a longer text.
@@ -145,8 +150,13 @@ def frequencies(docs: DataFrame, bits: int, words: int) -> np.ndarray:
     return levels
 
 
-def shingle_sets(docs: DataFrame, levels: np.ndarray, percent: int, words: int) -> DataFrame:
-    """(id, n, set_key, prefix) of every document; the prefix's shingles come rarest first, as 64-bit integers."""
+def level_of(count: float) -> int:
+    return int(min(round(8 * np.log2(count + 1)), 255))
+
+
+def shingle_sets(docs: DataFrame, levels: np.ndarray, percent: int, words: int, hot_level: int = 255) -> DataFrame:
+    """(id, n, set_key, prefix, hot_from) of every document; the prefix's shingles come rarest first, as 64-bit integers,
+    and those from place hot_from on are above hot_level."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(len(levels)).bit_length() + 1)
 
@@ -161,12 +171,13 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, percent: int, words: int)
                 if p < len(s):
                     rank = np.partition(rank, p)[:p]
                 rank.sort()
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (rank & _TOKEN).astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "set_key", "prefix"])
+                hot_from = int(np.searchsorted(rank, np.uint64(hot_level + 1) << np.uint64(56))) if hot_level < 255 else len(rank)
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (rank & _TOKEN).astype(np.int64), hot_from))
+            out = pd.DataFrame(rows, columns=["n", "set_key", "prefix", "hot_from"])
             out.insert(0, "id", batch["_id"].to_numpy())
             yield out
 
-    return docs.mapInPandas(make, "id long, n int, set_key binary, prefix array<bigint>")
+    return docs.mapInPandas(make, "id long, n int, set_key binary, prefix array<bigint>, hot_from int")
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,7 +202,9 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(edges)
         edges = after
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            stars = edges.toDF("node", "root")
+            stars._sedge_path, stars._sedge_table = edges._sedge_path, None
+            return stars
         before = state
 
 
@@ -206,95 +219,140 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
     scratch = Scratch(spark, "similar")
     small_batches(spark, 256)
     base = id_and_text(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
+    many = docs.count() / HOT_SHARE
     levels = frequencies(base, SKETCH_BITS, words)
-    made = scratch.keep(shingle_sets(base, levels, percent, words), "made")
+    made = scratch.keep(shingle_sets(base, levels, percent, words, level_of(many)), "made")
     # A class: the documents of one set, named by the smallest id.
-    classes = scratch.keep(made.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("cls"), F.min_by("prefix", "id").alias("prefix")).select("cls", "set_key", "n", "prefix"), "classes", sweep=True)
-    sets = scratch.keep(made.drop("prefix"), "sets")
+    own_prefix = F.min_by(F.struct("prefix", "hot_from"), "id")
+    classes = made.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("docs"), own_prefix.alias("p"))
+    classes = scratch.keep(classes.select("cls", "set_key", "n", "docs", "p.prefix", "p.hot_from"), "classes", sweep=True)
+    sets = scratch.keep(made.drop("prefix", "hot_from"), "sets")
+    named = scratch.keep(classes.select("cls", "set_key", "docs"), "named")
     scratch.drop(made)
     # A group: the classes of one prefix and size.
-    keyed = classes.select("cls", "n", "prefix", F.sha2(F.concat_ws(",", F.col("prefix").cast("array<string>"), F.col("n").cast("string")), 256).alias("g"))
-    grouped = keyed.groupBy("g").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("k"))
-    members = scratch.keep(keyed.select("cls", "n", "g").join(grouped.hint("merge"), "g").select("cls", "n", "grp", "k"), "members", sweep=True)
-    heads = members.where("cls = grp").select("grp", "n")
-    posted = classes.select("cls", F.posexplode("prefix").alias("pos", "token"))
-    if not members.where("k > 1").isEmpty():
-        posted = posted.join(heads.select(F.col("grp").alias("cls")).hint("merge"), "cls", "left_semi")
-    # Shingles that only one group holds in its prefix lead nowhere; both sides read one shuffle.
-    posted = posted.select("token", F.col("cls").alias("grp"), "pos").repartition("token")
-    shared = posted.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    met = scratch.keep(posted.join(shared.hint("merge"), "token", "left_semi"), "met", sweep=True)
-    postings = scratch.keep(met.join(heads.hint("merge"), "grp").select("token", "grp", "n", "pos"), "postings")
+    keyed = classes.select("cls", "n", F.sha2(F.concat_ws(",", F.col("prefix").cast("array<string>"), F.col("n").cast("string")), 256).alias("g"))
+    grouped = scratch.keep(keyed.groupBy("g").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("k")).where("k > 1"), "grouped")
+    alone = grouped.isEmpty()
+    heads, members = classes.select(F.col("cls").alias("grp"), "n"), None
+    if not alone:
+        members = scratch.keep(join_hot(keyed, grouped, "g", F.col("k") > many).select("cls", "n", "grp", "k"), "members")
+        heads = heads.join(members.where("cls <> grp").select(F.col("cls").alias("grp")).hint("merge"), "grp", "left_anti")
+    posted = classes.select(F.col("cls").alias("grp"), "hot_from", F.posexplode("prefix").alias("pos", "token"))
+    # Shingles that only one group holds in its prefix lead nowhere; both sides read one shuffle. Hot ones stay as they are.
+    cold = posted.where("pos < hot_from").select("token", "grp", "pos").repartition("token")
+    shared = cold.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    met = scratch.keep(cold.join(shared.hint("merge"), "token", "left_semi"), "met", sweep=True)
+    postings = scratch.keep(met.join(heads.hint("merge"), "grp").select("token", "grp", "n", "pos"), "postings", sweep=True)
+    hot = scratch.keep(posted.where("pos >= hot_from").join(heads.hint("merge"), "grp").select("token", "grp", "n", "pos"), "hot", sweep=True)
     # Prefixes have done their work; names of classes stay.
-    named = scratch.keep(classes.select("cls", "set_key"), "named")
-    scratch.drop(classes, met)
+    scratch.drop(classes, met, grouped)
     # Whole sets are needed of groups that meet one of a size near their own, and of groups with several classes.
     by_size = W.partitionBy("token").orderBy("n", "grp")
     near = postings.select("grp", "n", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
     near = near.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("grp")
-    several = scratch.keep(members.where("k > 1").select("grp").distinct(), "several")
-    wanted = members.select("cls", "grp").join(near.union(several).distinct().hint("merge"), "grp").select("cls")
+    near = near.unionByName(hot.select("grp"))
+    if alone:
+        wanted = near.distinct().select(F.col("grp").alias("cls"))
+    else:
+        wanted = near.unionByName(members.select(F.col("cls").alias("grp"))).distinct().select(F.col("grp").alias("cls"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"cls": batch["_id"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
 
     full = scratch.keep_joined(base, "_id", wanted, "cls", lambda f: f.select("_id", "_text").mapInPandas(whole, "cls long, s binary"), "whole")
-    # Classes of one group first, each group being a posting of its own, then groups.
-    inside = scratch.keep(members.where("k > 1").select(F.col("grp").alias("token"), F.col("cls").alias("grp"), "n", F.lit(0).alias("pos")), "inside")
-    found = _search(scratch, postings, full, members.select("grp", "cls"), several, percent, rounds)
-    if not inside.isEmpty():
-        found = found.unionByName(_search(scratch, inside, full, None, several.limit(0), percent, rounds))
+    found = _search(scratch, postings, hot, full, members, percent, rounds)
+    scratch.drop(postings, hot)
+    if not alone:
+        # Classes of one group meet each other, each group being a posting of its own.
+        inside = members.select(F.col("grp").alias("token"), F.col("cls").alias("grp"), "n", F.lit(0).alias("pos"), (F.col("k") > many).alias("hot"))
+        inside = scratch.keep(inside, "inside")
+        found = found.unionByName(_search(scratch, inside.where("not hot").drop("hot"), inside.where("hot").drop("hot"), full, None, percent, rounds))
+    scratch.drop(full)
     stars = connected(found, scratch)
-    by_class = named.join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"))
+    by_class = named.join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"), "docs")
     by_class = scratch.keep(by_class, "components")
     none = sets.where("n = 0").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    some = sets.where("n > 0").select("id", "n", "set_key").join(by_class.hint("merge"), "set_key").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return some.unionByName(none)
+    some = join_hot(sets.where("n > 0"), by_class, "set_key", F.col("docs") > many).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return scratch.answer(some.unionByName(none))
 
 
-def _search(scratch: Scratch, postings: DataFrame, full: DataFrame, groups: DataFrame | None, several: DataFrame, percent: int, rounds: tuple) -> DataFrame:
+def _search(scratch: Scratch, cold: DataFrame, hot: DataFrame, full: DataFrame, groups: DataFrame | None, percent: int, rounds: tuple) -> DataFrame:
     """Links (a, b) between classes that join all whose groups' postings meet: pivots first, then what is still apart.
 
-    groups: (grp, cls); None where every group is one class of the same name.
+    cold, hot: postings of shingles that few or many documents hold. groups: (cls, grp, k) of the groups with several
+    classes; every other group is one class of the same name. None: all are.
     """
-    nodes = postings.select(F.col("grp").alias("node")).distinct()
+    any_hot = not hot.isEmpty()
+    nodes = scratch.keep((cold.select("grp").unionByName(hot.select("grp")) if any_hot else cold.select("grp")).distinct().select(F.col("grp").alias("node")), "nodes")
     roots = scratch.keep(nodes.select("node", F.col("node").alias("root")), "roots")
-    found, tested = None, None
+    found, tested = [], []
     for k, pivots in enumerate(rounds):
-        pairs = _pairs(postings, roots, pivots, percent, k)
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["x", "y"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
+        pairs = _pairs(cold, roots, pivots, percent, k)
+        if any_hot:
+            pairs = pairs.unionByName(_pairs(hot, roots, pivots, percent, k, SALTS))
+        pairs = pairs.distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested).hint("merge"), ["x", "y"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs", sweep=True)
         fresh = scratch.keep(_verified(pairs, full, groups, percent), "links", sweep=True)
-        found = fresh if found is None else found.unionByName(fresh)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        found.append(fresh.select("a", "b"))
+        tested.append(pairs)
         if pivots is None or fresh.isEmpty():
             continue
         # A pair of groups is skipped later only when each holds one class: else a link joins some of their classes only.
-        single = fresh.join(several.select(F.col("grp").alias("ga")).hint("merge"), "ga", "left_anti").join(several.select(F.col("grp").alias("gb")).hint("merge"), "gb", "left_anti")
-        merged = single.select(F.col("ga").alias("a"), F.col("gb").alias("b")).unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = scratch.keep(nodes.join(connected(merged, scratch).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    return found.select("a", "b")
-
-
-def _pairs(postings: DataFrame, roots: DataFrame, pivots: int | None, percent: int, salt: int) -> DataFrame:
-    """Pairs of groups (x < y) of different components whose postings meet and pass the filters on size, role and place."""
+        single = fresh.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+        if groups is not None:
+            plural = groups.where("cls = grp").select("grp")
+            for end in ("a", "b"):
+                single = single.join(plural.select(F.col("grp").alias(end)).hint("merge"), end, "left_anti")
+        merged = single.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        stars = connected(merged, scratch)
+        before = roots
+        roots = scratch.keep(nodes.join(stars.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        scratch.drop(before, stars)
+    scratch.drop(nodes, roots, *tested)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _pairs(postings: DataFrame, roots: DataFrame, pivots: int | None, percent: int, draw: int, salts: int = 0) -> DataFrame:
+    """Pairs of groups (x < y) of different components whose postings meet and pass the filters on size, role and place.
+
+    salts: deal the postings of a shingle by size band and so many salts.
+    """
     own = postings.join(roots.select(F.col("node").alias("grp"), "root").hint("merge"), "grp")
-    if pivots is None:
-        side = own
-    else:
+    side = own
+    if pivots is not None:
         # Pivots by hash, a new draw each round; the partial aggregate keeps a few rows of a hot shingle, not all.
-        ranked = own.withColumn("draw", F.xxhash64("token", "grp", F.lit(salt)))
-        side = ranked.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("draw", "grp"))).where(F.col("r") <= pivots).drop("r", "draw")
+        first = lambda f, *keys: f.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("draw", "grp"))).where(F.col("r") <= pivots)
+        side = own.withColumn("draw", F.xxhash64("token", "grp", F.lit(draw)))
+        if salts:
+            side = first(side.withColumn("s", F.pmod(F.xxhash64("grp"), F.lit(salts))), "token", "s").drop("s")
+        side = first(side, "token").drop("r", "draw")
     # Shingles whose groups are all of one component have nothing left to test.
     open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    left = own.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("grp").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("root").alias("ar"))
+    left = own.select("token", F.col("grp").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("root").alias("ar"))
     right = side.select("token", F.col("grp").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("root").alias("br"))
-    meet = (left["token"] == right["token"]) & (F.col("ar") != F.col("br")) & _may_link(percent)
+    if salts:
+        # Sets that may link differ by less than one band, so they are of the same or of neighbouring bands.
+        width = float(np.log(100 / percent)) + 1e-9
+        band = lambda n: F.floor(F.log(F.col(n)) / F.lit(width)).cast("int")
+        left = left.withColumn("band", band("an")).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+        right = right.join(open_.hint("merge"), "token", "left_semi") if pivots is not None else _open_postings(right, open_, salts)
+        right = right.withColumn("band", F.explode(F.array(*(band("bn") + F.lit(d) for d in (-1, 0, 1))))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = left.join(right.hint("merge"), ["token", "band", "salt"])
+    else:
+        met = left.join(open_.hint("merge"), "token", "left_semi").join(right.hint("merge"), "token")
+    meet = (F.col("ar") != F.col("br")) & _may_link(percent)
     if pivots is None:
         meet = meet & (F.col("a") < F.col("b"))
-    return left.join(right.hint("merge"), meet).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return met.where(meet).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+
+def _open_postings(right: DataFrame, open_: DataFrame, salts: int) -> DataFrame:
+    """Postings of open shingles, a shingle's rows being dealt by a salt."""
+    spread = open_.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return right.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["token", "s"], "left_semi").drop("s")
 
 
 def _may_link(percent: int) -> Column:
@@ -313,10 +371,11 @@ def _may_link(percent: int) -> Column:
 
 def _verified(pairs: DataFrame, full: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) between the classes of paired groups, with their groups."""
-    if groups is None:
-        expanded = pairs.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b"))
-    else:
-        expanded = pairs.join(groups.select(F.col("grp").alias("x"), F.col("cls").alias("a")).hint("merge"), "x").join(groups.select(F.col("grp").alias("y"), F.col("cls").alias("b")).hint("merge"), "y")
+    expanded = pairs.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b"))
+    if groups is not None:
+        for group, cls in (("x", "a"), ("y", "b")):
+            several = groups.select(F.col("grp").alias(group), F.col("cls").alias("_c"))
+            expanded = expanded.join(several.hint("merge"), group, "left").withColumn(cls, F.coalesce("_c", cls)).drop("_c")
     left = full.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
     right = full.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     met = expanded.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y", "a", "b", "sa", "sb")
