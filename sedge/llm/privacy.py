@@ -5,16 +5,19 @@ fail as a whole, numbers written without a plus sign, spelt-out addresses, accou
 that look like keys. Boosted trees score each proposal from its format and its context. A threshold for each kind,
 calibrated on held-out proposals, selects what is added; base spans that pass their own checks always stay.
 
-Labels come from the data: a proposal is positive where a checksum, a range or a naming key proves it, negative where
-the check fails; one that nothing can prove (most spelt addresses, numbers without a plus sign) does not teach. A token
-that looks like a key but has no naming key counts as negative. Positives are also shown rewritten (no plus sign, spelt-out signs) and both with their proof
-hidden, so that the trees learn what such spans and their surroundings look like.
+Labels come from the data and from planted spans. A proposal is positive where a checksum, a range or a naming key
+proves it, negative where the check fails; one that nothing can prove (most spelt addresses, numbers without a plus
+sign, unnamed tokens) does not teach. Positives are also shown rewritten (no plus sign, spelt-out signs) and with their
+proof hidden. Besides, each document that teaches gets one made-up personal span and one look-alike that is none
+(year ranges, serial numbers, failed checksums, long words), of all kinds in turn, so that kinds which a corpus
+hardly holds are learnt in its own surroundings. Thresholds are set on documents that the trees did not see.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -30,7 +33,7 @@ from sedge.llm.sampling import bounded_sample, id_and_text
 from sedge.workspace import small_batches
 
 #: Documents whose proposals teach at most, and proposals used of them at most.
-SAMPLE, PROPOSALS, SEED = 6000, 12_000, 7
+SAMPLE, PROPOSALS, SEED = 4000, 20_000, 7
 PRECISION = 0.98
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "id")
@@ -49,6 +52,7 @@ _spelt = re.compile(r"[A-Za-z0-9._%+-]{2,40}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s
 _number = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])")
 _named = re.compile(r"(?i)\b(pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|key)\b\s?[=:]\s?[\"']?([A-Za-z0-9+/_-]{8,})")
 _key = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{20,}+)(?![A-Za-z0-9+/_-])")
+_named_by_form = re.compile(r"(?<![A-Za-z0-9+/_-])AKIA[A-Z0-9]{16}(?![A-Za-z0-9+/_-])")
 _names = re.compile(r"(?i)(pass|pwd|token|secret|key|card|tel|phone|call|mail|contact|ssn|iban|account|ip|host|addr)")
 
 _named_mail = re.compile(r"(?i)\b(?:e-?mail|mail(?: ?to)?|contact)\W{1,3}$")
@@ -128,8 +132,10 @@ def proposals(text: str, base: list[tuple[int, int, str, bool]]) -> list[tuple[i
         out |= {(m.start(), m.end(), "id") for m in _number.finditer(text)}
     if "=" in text or ":" in text:
         out |= {(*m.span(2), "secret") for m in _named.finditer(text)}
+    if "AKIA" in text:
+        out |= {(k.start(), k.end(), "secret") for k in _named_by_form.finditer(text)}
     if _digits.search(text):
-        # Tokens around digits only: a key without a digit is a word.
+        # Tokens around digits only: another key without a digit is a word.
         at = 0
         while m := _digits.search(text, at):
             start = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
@@ -211,7 +217,60 @@ def label(text: str, start: int, end: int, kind: str) -> int | None:
         return int(proves(kind, span))
     if kind == "id":
         return int(proves_id(span) or bool(_named_id.search(before)))
-    return int(span.startswith("AKIA") and len(span) == 20 or bool(re.search(r"(?i)(pass\w*|pwd|token|secret|key)\s?[=:]\s?[\"']?$", before)))
+    return 1 if span.startswith("AKIA") and len(span) == 20 or re.search(r"(?i)(pass\w*|pwd|token|secret|key)\s?[=:]\s?[\"']?$", before) else None
+
+
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_UPPER = _LOWER.upper()
+
+
+def made_up(rng: random.Random, personal: bool) -> tuple[str, str, str]:
+    """(what stands before it, span, kind) of a personal span, or of a look-alike that is none."""
+    some = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    digits = lambda *sizes: [some(_DIGITS, n, n) for n in sizes]
+    kind = rng.choice(("email", "card", "phone", "secret", "secret", "id"))
+    if kind == "email" and personal:
+        at, dot = rng.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("{at}", "{dot}"), (" (at) ", "."), ("[at]", ".")))
+        name = some(_LOWER, 3, 9) + rng.choice(("", "." + some(_LOWER, 3, 8), some(_DIGITS, 1, 3)))
+        return rng.choice(("", "mail ", "write to ")), f"{name}{at}{some(_LOWER, 4, 10)}{dot}{rng.choice(('com', 'org', 'net', 'de', 'fr'))}", kind
+    if kind == "email":
+        return "", f"{some(_LOWER, 3, 8)} at {some(_LOWER, 3, 9)}. {some(_LOWER, 3, 8)}", kind
+    if kind == "card":
+        body = rng.choice("3456") + some(_DIGITS, 14, 14)
+        last = next(c for c in _DIGITS if luhn(body + c) == personal)
+        d = body + last
+        return rng.choice(("", "card ", f"{some(_DIGITS, 4, 7)} ")), rng.choice(("", " ", "-")).join(d[i : i + 4] for i in range(0, 16, 4)) if rng.random() < 0.5 else d, kind
+    if kind == "phone" and personal:
+        a, b, c = f"{rng.randint(200, 999)}", *digits(3, 4)
+        return rng.choice(("", "tel ", "call ", "phone: ")), rng.choice((f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}")), kind
+    if kind == "phone":
+        year = rng.randint(1900, 2030)
+        return rng.choice(("", "in ", "years ")), rng.choice((f"{year}-{year + 1} {some(_DIGITS, 4, 4)}", f"{year} {year + 1} {year + 2}", f"{some(_DIGITS, 2, 2)} {some(_DIGITS, 3, 3)} {some(_DIGITS, 3, 3)}")), kind
+    if kind == "secret" and personal:
+        if rng.random() < 0.25:
+            return rng.choice(("", "id ", "key ")), "AKIA" + some(rng.choice((_UPPER, _UPPER + _DIGITS)), 16, 16), kind
+        name = rng.choice(("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "access_key", "Password", "TOKEN"))
+        return name + rng.choice(("=", ": ", " = ", ' = "', "='", ":")), some(rng.choice((_LOWER + _DIGITS, _LOWER + _UPPER + _DIGITS, "abcdef" + _DIGITS, _LOWER)), 8, 40), kind
+    if kind == "secret":
+        word = lambda: some(_LOWER, 3, 9)
+        return rng.choice(("", "see ", "file ")), rng.choice((f"{word()}-{word()}-{word()}-{rng.randint(1, 99)}-{word()}", f"/{word()}/{word()}/{rng.randint(1990, 2030)}/{word()}/{word()}", some(_LOWER, 20, 40) + "2", f"{word()}_{rng.randint(2000, 2030)}_{word()}_{word()}_{word()}")), kind
+    if rng.random() < 0.5:
+        area = f"{rng.randint(1, 665):03d}" if personal else rng.choice(("000", "666", f"{rng.randint(900, 999)}"))
+        area = "123" if area == "000" and personal else area
+        return rng.choice(("", "ssn ", "number ")), f"{area}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", kind
+    country, body = rng.choice(("DE", "GB", "FR", "ES", "NL")), some(_DIGITS, 18, 18)
+    good = next(c for c in range(2, 99) if iban(f"{country}{c:02d}{body}"))
+    plain = f"{country}{good if personal else (good + rng.randint(1, 50) - 2) % 97 + 2:02d}{body}"
+    return rng.choice(("", "iban ", "account ")), plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)), kind
+
+
+def planted(text: str, rng: random.Random, personal: bool) -> tuple[str, int, int, str]:
+    """A text with a made-up span between two of its words, and the span."""
+    gaps = [m.start() for m in re.finditer(r"\s", text)]
+    at = rng.choice(gaps) if gaps else len(text)
+    before, span, kind = made_up(rng, personal)
+    start = at + 1 + len(before)
+    return f"{text[:at]} {before}{span}{rng.choice((' ', '. ', ', ', chr(10)))}{text[at:]}", start, start + len(span), kind
 
 
 def rewritten(text: str, start: int, end: int, kind: str, turn: int) -> tuple[str, int, int] | None:
@@ -294,13 +353,16 @@ def bar(scores: np.ndarray, y: np.ndarray) -> float:
     return float(max(0.5, (good[0] + max(scores[scores < good[0]], default=0.0)) / 2))
 
 
-def train(examples: list[tuple[str, list[float], int]]) -> PrivacyModel:
-    """examples: (kind, features, label) in a fixed order."""
+def train(examples: list[tuple[str, list[float], int, int]]) -> PrivacyModel:
+    """examples: (kind, features, label, document) in a fixed order; three documents in ten only set thresholds."""
     y = np.array([e[2] for e in examples])
     if len(y) < 40 or y.min() == y.max():
         return PrivacyModel()
     x = np.array([e[1] for e in examples])
-    fit = np.random.default_rng(SEED).random(len(y)) < 0.7
+    docs, place = np.unique([e[3] for e in examples], return_inverse=True)
+    fit = (np.random.default_rng(SEED).random(len(docs)) < 0.7)[place]
+    if y[fit].min() == y[fit].max() or not (~fit).any():
+        return PrivacyModel()
     trees = BoostedTrees().fit(x[fit], y[fit])
     scores = trees.predict(x[~fit])
     thresholds = {}
@@ -313,7 +375,11 @@ def train(examples: list[tuple[str, list[float], int]]) -> PrivacyModel:
 
 
 def fit_privacy(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> PrivacyModel:
-    """Learn from the proposals of a bounded sample of documents; they are described where the texts lie."""
+    """Learn from the proposals of a bounded sample of documents; they are described where the texts lie.
+
+    Ids are integers. Null texts and rows without an id do not teach; a repeated row may teach twice; with too few
+    proposals (an empty table) the model adds nothing to the base spans. Other columns are ignored.
+    """
     small_batches(docs.sparkSession)
 
     def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,19 +396,28 @@ def fit_privacy(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", t
                         rows.append((turn, kind, describe(text, s, e, kind, True), y))
                     if y and (other := rewritten(text, s, e, kind, turn)):
                         rows.append((turn, kind, describe(*other, kind), y))
-            yield pd.DataFrame(rows, columns=["turn", "kind", "x", "y"])
+                for personal in (True, False):
+                    other, s, e, kind = planted(text, random.Random(2 * turn + personal), personal)
+                    near = other[max(0, s - 200) : e + 200]  # what describe() looks at
+                    shift = max(0, s - 200)
+                    # A look-alike teaches by what the generators make of it, a personal span by itself.
+                    seen = [p for p in proposals(near, base_matches(near)) if p[0] < e - shift and s - shift < p[1]]
+                    for p in seen if not personal else [p for p in seen if p == (s - shift, e - shift, kind)]:
+                        rows.append((turn, p[2], describe(near, *p), int(personal)))
+            yield pd.DataFrame([(t, k, *r) for k, (t, *r) in enumerate(rows)], columns=["turn", "place", "kind", "x", "y"])
 
     chosen = bounded_sample(docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()), sample, id_col)
-    told = chosen.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(teach, "turn long, kind string, x array<double>, y int")
-    rows = sorted(told.limit(PROPOSALS).collect())
-    return train([(r[1], list(r[2]), r[3]) for r in rows])
+    told = chosen.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(teach, "turn long, place int, kind string, x array<double>, y int")
+    rows = sorted(told.orderBy(F.xxhash64("turn", "place"), "turn", "place").limit(PROPOSALS).collect())
+    return train([(r[2], list(r[3]), r[4], r[0]) for r in rows])
 
 
 def find_personal_data(docs: DataFrame, model: PrivacyModel, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans, and the redacted text if asked for.
 
     Positions count code points, the end is exclusive. Redacted spans become [KIND]; where spans overlap, all that they
-    cover goes. A null text is empty. Other columns are ignored; rows without an id are left out.
+    cover goes. A null text is empty. Other columns are ignored, whatever their names; rows without an id are left out, a
+    repeated row is answered again, an empty table gives no row.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen small trees
@@ -366,7 +441,7 @@ def find_personal_data(docs: DataFrame, model: PrivacyModel, redact: bool = Fals
 
 
 def redact_documents(docs: DataFrame, model: PrivacyModel, text_col: str = "text") -> DataFrame:
-    """The documents with every span found replaced by [KIND], and all their other columns."""
+    """The documents with every span found replaced by [KIND], and all their other columns; null texts stay null."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -128,7 +128,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: i
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
 
-    rows = sorted(texts.select("doc_id", F.col("quality").cast("int"), "text").mapInPandas(extract, "doc_id long, quality int, x array<double>").limit(2 * sample).collect())
+    rows = sorted(texts.select("doc_id", F.col("quality").cast("int"), "text").mapInPandas(extract, "doc_id long, quality int, x array<double>").orderBy("doc_id").limit(2 * sample).collect())
     return train(np.array([r[2] for r in rows], dtype=float).reshape(len(rows), -1), np.array([r[1] for r in rows]))
 
 

@@ -13,7 +13,8 @@ def bounded_sample(docs: DataFrame, most: int, id_col: str = "doc_id") -> DataFr
     slots = 1 << 20
     n = docs.select(id_col).count()
     share = min(slots, int(slots * 0.9 * most / max(n, 1)) + 1)
-    return docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < share).limit(most)
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots))
+    return docs.where(place < share).orderBy(place, F.col(id_col)).limit(most)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
