@@ -1,4 +1,4 @@
-"""Line operators: counted cleaning rules, sections, contents removal, merges and line roles.
+"""Line operators: cleaning rules that need one line only, sections, contents removal, merges and line roles.
 
 All of them work on one narrow table of lines (doc_id, pos, line) and share one window by document and position.
 """
@@ -76,42 +76,13 @@ def clean_garbled(line: Column) -> tuple[Column, Column]:
     return F.regexp_replace(line, bad, ""), F.regexp_count(line, F.lit(bad))
 
 
-def clean_spaces(line: Column, fenced: Column | None = None) -> tuple[Column, Column]:
-    """Runs of spaces after the indent become one, but for headings and fenced code; a line counts once."""
-    new = F.when(line.startswith("#") if fenced is None else fenced | line.startswith("#"), line).otherwise(F.regexp_replace(line, r"(?<=[^ ]) {2,}", " "))
-    return new, (new != line).cast("int")
-
-
 def clean_headings(line: Column) -> tuple[Column, Column]:
     """One space between the marks and the text; counted where there was none."""
     marks, rest = F.regexp_extract(line, "^(#{1,6})(.*)$", 1), F.regexp_extract(line, "^(#{1,6})(.*)$", 2)
     return F.when(marks != "", F.concat(marks, F.lit(" "), stripped(rest))).otherwise(line), ((marks != "") & ~rest.startswith(" ")).cast("int")
 
 
-def clean_lists(line: Column) -> tuple[Column, Column]:
-    """A space after a list mark that has none; counted."""
-    bullet, number = line.rlike(r"^\s*[-*+][^ ]"), line.rlike(r"^\s*\d+\.[^ ]")
-    return F.when(bullet, F.regexp_replace(line, r"^(\s*[-*+])", "$1 ")).when(number, F.regexp_replace(line, r"^(\s*\d+\.)", "$1 ")).otherwise(line), (bullet | number).cast("int")
-
-
-RULES = {"spaces": clean_spaces, "fullwidth": clean_fullwidth, "headings": clean_headings, "garbled": clean_garbled, "lists": clean_lists}
-
-
-def clean_lines(lines: DataFrame) -> DataFrame:
-    """All line rules in order: the cleaned line and a count for each rule, in one pass over the lines."""
-    fence = F.sum(F.when(F.col("line").startswith("```"), 1).otherwise(0)).over(by_doc().rowsBetween(W.unboundedPreceding, 0))
-    out = lines.withColumn("fenced", (fence % 2 == 1) | F.col("line").startswith("```"))
-    for name, rule in RULES.items():
-        new, count = rule(F.col("line"), F.col("fenced")) if name == "spaces" else rule(F.col("line"))
-        out = out.withColumn(f"n_{name}", count).withColumn("line", new)
-    return out.drop("fenced")
-
-
-def cleaning_report(lines: DataFrame) -> DataFrame:
-    """Counts for each rule and document, and the log of the rules that changed something."""
-    sums = clean_lines(lines).groupBy("doc_id").agg(*(F.sum(f"n_{r}").cast("long").alias(f"n_{r}") for r in RULES))
-    log = F.concat_ws("; ", *(F.when(F.col(f"n_{r}") > 0, F.concat(F.lit(f"{r}: "), F.col(f"n_{r}").cast("string"))) for r in RULES))
-    return sums.withColumn("log", log)
+RULES = {"fullwidth": clean_fullwidth, "headings": clean_headings, "garbled": clean_garbled}
 
 
 def section_boundaries(lines: DataFrame, deepest: int = 3) -> DataFrame:
@@ -185,8 +156,6 @@ def _rules_as_data(spark, sf_dir):
 
 
 QUERIES = {f"clean_{r}": _rule(r) for r in RULES} | {
-    "clean_pipeline": lambda s, d: clean_lines(noisy_lines(s, d)).select("doc_id", "pos", "line"),
-    "cleaning_report": lambda s, d: cleaning_report(noisy_lines(s, d)),
     "section_boundaries": lambda s, d: section_boundaries(noisy_lines(s, d)),
     "remove_toc": lambda s, d: remove_toc(noisy_lines(s, d)),
     "merge_split_headings": lambda s, d: merge_split_headings(noisy_lines(s, d)),
@@ -197,21 +166,13 @@ QUERIES = {f"clean_{r}": _rule(r) for r in RULES} | {
 
 _BAD = "[\\x{FFFD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 _SQL = {
-    "spaces": ("CASE WHEN line LIKE '#%' THEN line ELSE regexp_replace(line, '([^ ]) {2,}', '\\1 ', 'g') END", "CAST((CASE WHEN line LIKE '#%' THEN line ELSE regexp_replace(line, '([^ ]) {2,}', '\\1 ', 'g') END) <> line AS BIGINT)"),
     "fullwidth": (f"translate(line, '{FULL}', '{HALF}')", f"length(line) - length(regexp_replace(line, '[{FULL}]', '', 'g'))"),
     "headings": ("CASE WHEN line LIKE '#%' THEN regexp_extract(line, '^#{1,6}') || ' ' || trim(regexp_replace(line, '^#{1,6}', '')) ELSE line END", "CAST(line LIKE '#%' AND regexp_replace(line, '^#{1,6}', '') NOT LIKE ' %' AS BIGINT)"),
     "garbled": (f"regexp_replace(line, '{_BAD}', '', 'g')", f"length(line) - length(regexp_replace(line, '{_BAD}', '', 'g'))"),
-    "lists": ("CASE WHEN regexp_matches(line, '^\\s*[-*+][^ ]') THEN regexp_replace(line, '^(\\s*[-*+])', '\\1 ') WHEN regexp_matches(line, '^\\s*\\d+\\.[^ ]') THEN regexp_replace(line, '^(\\s*\\d+\\.)', '\\1 ') ELSE line END", "CAST(regexp_matches(line, '^\\s*[-*+][^ ]') OR regexp_matches(line, '^\\s*\\d+\\.[^ ]') AS BIGINT)"),
 }
-_CLEAN, _from = "", "lines"
-for _k, _r in enumerate(RULES):
-    _CLEAN += f", c{_k} AS (SELECT doc_id, pos, {_SQL[_r][0]} AS line, {''.join(f'n_{x}, ' for x in list(RULES)[:_k])}{_SQL[_r][1]} AS n_{_r} FROM {_from})"
-    _from = f"c{_k}"
 _ROLE = "CASE " + " ".join(f"WHEN regexp_matches(trim(line), '{p}') THEN '{r}'" for r, p in ROLES) + " END"
 
 ORACLES = {f"clean_{r}": f"WITH {NOISY_SQL} SELECT doc_id, pos, {line} AS line, {n} AS n FROM lines" for r, (line, n) in _SQL.items()} | {
-    "clean_pipeline": f"WITH {NOISY_SQL}{_CLEAN} SELECT doc_id, pos, line FROM {_from}",
-    "cleaning_report": f"WITH {NOISY_SQL}{_CLEAN}, s AS (SELECT doc_id, {', '.join(f'CAST(sum(n_{r}) AS BIGINT) AS n_{r}' for r in RULES)} FROM {_from} GROUP BY doc_id) SELECT *, concat_ws('; ', {', '.join(f'''CASE WHEN n_{r} > 0 THEN '{r}: ' || n_{r} END''' for r in RULES)}) AS log FROM s",
     "section_boundaries": f"WITH {NOISY_SQL}, h AS (SELECT *, regexp_matches(line, '^#{{1,3}} +[^ ]') AS head FROM lines), c AS (SELECT *, sum(CAST(head AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h) SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(max(CASE WHEN head THEN regexp_replace(line, '^#+ +', '') END), '') AS heading, min(pos) AS first_pos, count(*) FILTER (NOT head) AS n_lines, CAST(coalesce(sum(length(line)) FILTER (NOT head), 0) AS BIGINT) AS n_chars FROM c GROUP BY ALL",
     "remove_toc": f"WITH {NOISY_SQL}, m AS (SELECT *, CASE WHEN trim(line) IN ('目次', '目录') THEN 'toc' WHEN regexp_matches(trim(line), '^前.*言') OR regexp_matches(trim(line), '^1\\s{{2,}}\\S') THEN 'end' END AS mark FROM lines), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM m) SELECT doc_id, pos, line FROM s WHERE coalesce(state <> 'toc', true)",
     "merge_split_headings": f"WITH RECURSIVE {NOISY_SQL}, o AS MATERIALIZED (SELECT doc_id, pos, line, row_number() OVER w AS k, lead(trim(line)) OVER w AS nxt, coalesce((regexp_matches(trim(line), '^附录\\s*[A-Z]$') OR regexp_matches(trim(line), '^\\d+(\\.\\d+)*$')) AND lead(trim(line)) OVER w <> '' AND NOT regexp_matches(lead(trim(line)) OVER w, '^(附录|\\d|#|-|[A-Z]\\.\\d)'), false) AS opens FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT doc_id, k, opens AS starts, false AS taken FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.opens AND NOT r.starts, r.starts FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1) SELECT o.doc_id, pos, CASE WHEN starts THEN trim(line) || '  ' || nxt ELSE line END AS line FROM o JOIN r USING (doc_id, k) WHERE NOT taken",
