@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-#: Terms that are never cut (fixed values: subject terms of the domain).
-PROTECTED = ("排版规范", "国家标准", "行业标准", "规范性引用文件", "术语和定义")
+#: Terms that are never cut (fixed values).
+PROTECTED = (
+    "仿宋_GB2312", "楷体_GB2312", "方正小标宋简体", "OMML", "OOXML", "三线表", "版心尺寸", "首行缩进", "段前间距", "段后间距", "行距倍数", "GB/T", "页边距", "页眉", "页脚",
+)
 
 
 def java_pattern(protected: Sequence[str] = PROTECTED) -> str:

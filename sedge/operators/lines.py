@@ -30,6 +30,15 @@ ROLES = (
     ("heading_1", r"^\d+\s+\S"),
 )
 
+#: Contents lines, bare numbers that a heading was cut from, and what may not follow them (fixed values).
+CONTENTS = ("目  次", "目次", "目  录", "目录")
+MARKS, CHAPTER_ONE = r"^#+\s*", r"^1\s{2,}\S"
+BARE_APPENDIX, AFTER_APPENDIX = r"^附录\s*[A-Z]$", r"^附录|^\d+\s+"
+BARE_NUMBER, AFTER_NUMBER = r"^(\d+(\.\d+)*|[A-Z]\.\d+(\.\d+)*)$", r"^(\d+(\.\d+)*|[A-Z]\.\d+)|^附录"
+#: Lines planted into the test texts.
+PLANTED = ((2, "目次"), (5, "前言"), (8, "附录 A"), (9, "培养基"), (11, "3.1.1"), (12, "术语"), (14, "A.1"), (15, "范围"), (17, "附录 B"), (18, "3D 打印"), (20, "  3.2"), (21, "# 标题"), (22, "附录 C"), (23, "4 方法"), (24, "## 目  次"), (27, "## 前 言"))
+
+
 def by_doc():
     """The one window of all line operators: a document's lines in order."""
     return W.partitionBy("doc_id").orderBy("pos")
@@ -45,7 +54,7 @@ def noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(p % 5 == 3, F.translate(line, digits, "".join(chr(ord(c) + 0xFEE0) for c in digits))).otherwise(line)
     line = F.when(p % 13 == 4, F.concat(line, F.lit("�"))).otherwise(line)
     line = F.when(p % 7 == 0, F.concat(F.lit("##"), line)).when(p % 7 == 3, F.concat(F.lit("## "), line)).when(p % 6 == 4, F.concat(F.lit("-"), line)).otherwise(line)
-    for at, text in ((2, "目次"), (5, "前言"), (8, "附录 A"), (9, "培养基"), (11, "3.1.1"), (12, "术语")):
+    for at, text in PLANTED:
         line = F.when(p == at, text).otherwise(line)
     place = p + F.floor(p / 4).cast("int")
     both = F.explode(F.when(p % 4 == 3, F.array(F.struct(place.alias("pos"), line.alias("line")), F.struct((place + 1).alias("pos"), F.lit("").alias("line")))).otherwise(F.array(F.struct(place.alias("pos"), line.alias("line")))))
@@ -58,7 +67,7 @@ raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 A
 n1 AS (SELECT doc_id, p, CASE WHEN p % 5 = 1 THEN replace(line, ' ', '  ') WHEN p % 5 = 3 THEN translate(line, 'abc0123456789', '{_fold("abc0123456789")}') ELSE line END AS line FROM raw),
 n2 AS (SELECT doc_id, p, CASE WHEN p % 13 = 4 THEN line || chr(65533) ELSE line END AS line FROM n1),
 n3 AS (SELECT doc_id, p, CASE WHEN p % 7 = 0 THEN '##' || line WHEN p % 7 = 3 THEN '## ' || line WHEN p % 6 = 4 THEN '-' || line ELSE line END AS line FROM n2),
-n4 AS (SELECT doc_id, p, CASE p WHEN 2 THEN '目次' WHEN 5 THEN '前言' WHEN 8 THEN '附录 A' WHEN 9 THEN '培养基' WHEN 11 THEN '3.1.1' WHEN 12 THEN '术语' ELSE line END AS line FROM n3),
+n4 AS (SELECT doc_id, p, CASE p {' '.join(f"WHEN {at} THEN '{text}'" for at, text in PLANTED)} ELSE line END AS line FROM n3),
 lines AS (SELECT doc_id, p + p // 4 AS pos, line FROM n4 UNION ALL SELECT doc_id, p + p // 4 + 1, '' FROM n4 WHERE p % 4 = 3)"""
 
 
@@ -98,23 +107,24 @@ def section_boundaries(lines: DataFrame, deepest: int = 3) -> DataFrame:
 def remove_toc(lines: DataFrame) -> DataFrame:
     """Lines outside contents lists: one runs from a contents line to a preface line or a first chapter, else to the end."""
     text = stripped(F.col("line"))
-    mark = F.when(text.isin("目次", "目录"), "toc").when(text.rlike("^前.*言") | text.rlike(r"(?U)^1\s{2,}\S"), "end")
+    bare = F.regexp_replace(text, "(?U)" + MARKS, "")
+    mark = F.when(bare.isin(*CONTENTS), "toc").when((bare.startswith("前") & bare.contains("言")) | text.rlike("(?U)" + CHAPTER_ONE), "end")
     state = F.last(mark, ignorenulls=True).over(by_doc().rowsBetween(W.unboundedPreceding, 0))
     return lines.withColumn("state", state).where(F.coalesce(F.col("state") != "toc", F.lit(True))).drop("state")
 
 
 def merge_split_headings(lines: DataFrame) -> DataFrame:
-    """A bare appendix letter or clause number joined to the next line by two spaces; pairs are taken greedily from the top."""
+    """A bare appendix letter or clause number joined to the next line by two spaces, its indent kept; pairs are taken greedily from the top."""
     text = stripped(F.col("line"))
     after = F.lead(text).over(by_doc())
-    bare = text.rlike(r"(?U)^附录\s*[A-Z]$") | text.rlike(r"^\d+(\.\d+)*$")
-    opens = bare & (after != "") & ~after.rlike(r"^(附录|\d|#|-|[A-Z]\.\d)")
+    fits = lambda t, p: t.rlike("(?U)" + p)
+    opens = (after != "") & ((fits(text, BARE_APPENDIX) & ~fits(after, AFTER_APPENDIX)) | (fits(text, BARE_NUMBER) & ~fits(after, AFTER_NUMBER)))
     flagged = lines.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("run", F.sum(F.when(~F.col("opens"), 1).otherwise(0)).over(by_doc().rowsBetween(W.unboundedPreceding, -1)))
     # Within a run of lines that could each open a pair, every other one does: what a walk from the top would choose.
     in_run = F.row_number().over(W.partitionBy("doc_id", F.coalesce("run", F.lit(0))).orderBy("pos"))
     paired = flagged.withColumn("starts", F.col("opens") & (in_run % 2 == 1))
     last = F.lag("starts", 1, False).over(by_doc())
-    joined = F.when(F.col("starts"), F.concat(stripped(F.col("line")), F.lit("  "), stripped(F.lead("line").over(by_doc())))).otherwise(F.col("line"))
+    joined = F.when(F.col("starts"), F.concat(F.regexp_extract("line", r"(?U)^(\s*)", 1), stripped(F.col("line")), F.lit("  "), stripped(F.lead("line").over(by_doc())))).otherwise(F.col("line"))
     return paired.withColumn("taken", last).withColumn("line", joined).where(~F.col("taken")).select("doc_id", "pos", "line")
 
 
@@ -174,8 +184,8 @@ _ROLE = "CASE " + " ".join(f"WHEN regexp_matches(trim(line), '{p}') THEN '{r}'"
 
 ORACLES = {f"clean_{r}": f"WITH {NOISY_SQL} SELECT doc_id, pos, {line} AS line, {n} AS n FROM lines" for r, (line, n) in _SQL.items()} | {
     "section_boundaries": f"WITH {NOISY_SQL}, h AS (SELECT *, regexp_matches(line, '^#{{1,3}} +[^ ]') AS head FROM lines), c AS (SELECT *, sum(CAST(head AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h) SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(max(CASE WHEN head THEN regexp_replace(line, '^#+ +', '') END), '') AS heading, min(pos) AS first_pos, count(*) FILTER (NOT head) AS n_lines, CAST(coalesce(sum(length(line)) FILTER (NOT head), 0) AS BIGINT) AS n_chars FROM c GROUP BY ALL",
-    "remove_toc": f"WITH {NOISY_SQL}, m AS (SELECT *, CASE WHEN trim(line) IN ('目次', '目录') THEN 'toc' WHEN regexp_matches(trim(line), '^前.*言') OR regexp_matches(trim(line), '^1\\s{{2,}}\\S') THEN 'end' END AS mark FROM lines), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM m) SELECT doc_id, pos, line FROM s WHERE coalesce(state <> 'toc', true)",
-    "merge_split_headings": f"WITH RECURSIVE {NOISY_SQL}, o AS MATERIALIZED (SELECT doc_id, pos, line, row_number() OVER w AS k, lead(trim(line)) OVER w AS nxt, coalesce((regexp_matches(trim(line), '^附录\\s*[A-Z]$') OR regexp_matches(trim(line), '^\\d+(\\.\\d+)*$')) AND lead(trim(line)) OVER w <> '' AND NOT regexp_matches(lead(trim(line)) OVER w, '^(附录|\\d|#|-|[A-Z]\\.\\d)'), false) AS opens FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT doc_id, k, opens AS starts, false AS taken FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.opens AND NOT r.starts, r.starts FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1) SELECT o.doc_id, pos, CASE WHEN starts THEN trim(line) || '  ' || nxt ELSE line END AS line FROM o JOIN r USING (doc_id, k) WHERE NOT taken",
+    "remove_toc": f"WITH {NOISY_SQL}, m AS (SELECT *, CASE WHEN regexp_replace(trim(line), '^#+\\s*', '') IN ('目次', '目录', '目  次', '目  录') THEN 'toc' WHEN regexp_matches(regexp_replace(trim(line), '^#+\\s*', ''), '^前.*言') OR regexp_matches(trim(line), '^1\\s{{2,}}\\S') THEN 'end' END AS mark FROM lines), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM m) SELECT doc_id, pos, line FROM s WHERE coalesce(state <> 'toc', true)",
+    "merge_split_headings": f"WITH RECURSIVE {NOISY_SQL}, o AS MATERIALIZED (SELECT doc_id, pos, line, row_number() OVER w AS k, lead(trim(line)) OVER w AS nxt, coalesce(lead(trim(line)) OVER w <> '' AND NOT starts_with(lead(trim(line)) OVER w, '附录') AND CASE WHEN regexp_matches(trim(line), '^附录\\s*[A-Z]$') THEN NOT regexp_matches(lead(trim(line)) OVER w, '^\\d+\\s') WHEN regexp_matches(trim(line), '^([A-Z]\\.)?\\d+(\\.\\d+)*$') THEN NOT regexp_matches(lead(trim(line)) OVER w, '^([A-Z]\\.)?\\d') ELSE false END, false) AS opens FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT doc_id, k, opens AS starts, false AS taken FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.opens AND NOT r.starts, r.starts FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1) SELECT o.doc_id, pos, CASE WHEN starts THEN regexp_extract(line, '^\\s*') || trim(line) || '  ' || nxt ELSE line END AS line FROM o JOIN r USING (doc_id, k) WHERE NOT taken",
     "line_role": f"WITH {NOISY_SQL} SELECT doc_id, pos, {_ROLE} AS role FROM lines",
     "role_rules": f"WITH {NOISY_SQL} SELECT doc_id, pos, {_ROLE} AS role FROM lines",
     "role_histogram": f"WITH {NOISY_SQL}, r AS (SELECT doc_id, {_ROLE} AS role FROM lines) SELECT doc_id, {', '.join(f'''count(*) FILTER (role = '{r}') AS {r}''' for r, _ in ROLES)}, count(*) AS total FROM r GROUP BY doc_id",

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sedge.functions.tokens import DUCK_PATTERN, tokenize
-from sedge.workspace import small_batches
+from sedge.workspace import Scratch, small_batches
 
 #: Fixed values of the ranking.
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
@@ -19,9 +19,9 @@ QUERY_BLOCK = 1024
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, text, source, embedding."""
+    """chunk_id, text, source, embedding of all documents; those without a vector take part in the keyword ranking only."""
     docs, vectors = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return docs.join(vectors.hint("merge"), docs.doc_id == vectors.vec_id).select(F.col("doc_id").alias("chunk_id"), "text", "source", "embedding")
+    return docs.join(vectors.hint("merge"), docs.doc_id == vectors.vec_id, "left").select(F.col("doc_id").alias("chunk_id"), "text", "source", "embedding")
 
 
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,14 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(tokenize(F.col("text"))).alias("dl"))
+def sound(embedding: Column) -> Column:
+    """Whether a vector is there and holds no null and no NaN."""
+    return F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+
+
+def asking(asked: DataFrame) -> DataFrame:
+    """Queries that are more than white space; others have no result."""
+    return asked.where(F.regexp_replace("text", r"(?U)\s+", "") != "")
 
 
 def idf_table(terms: DataFrame, n: int) -> DataFrame:
@@ -53,11 +59,14 @@ def bm25_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES) -> Dat
     All chunks are ranked: where fewer than k match, chunks without a match follow by id with score 0. Matches score
     above 0 whenever the mean idf does, so k + k of the smallest ids always hold enough of the others.
     """
-    n, avgdl = lengths(chunks).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    terms = postings(chunks)
-    weights = idf_table(terms, n)
+    # Texts are tokenized once: the written postings give lengths, frequencies and scores.
+    terms = Scratch(chunks.sparkSession, "bm25").keep(postings(chunks), "postings")
+    n = chunks.count()
+    avgdl = (terms.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
+    long = terms.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    asked = asking(asked)
     wanted = asked.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    hits = wanted.join(weights.hint("merge"), "term").join(terms.hint("merge"), "term").join(lengths(chunks).hint("merge"), "chunk_id")
+    hits = wanted.join(idf_table(terms, n).hint("merge"), "term").join(terms.hint("merge"), "term").join(long.hint("merge"), "chunk_id")
     gain = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
     fill = asked.select("query_id").join(F.broadcast(chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)))  # 2k rows
@@ -74,25 +83,27 @@ def vector_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES) -> D
     """
     small_batches(chunks.sparkSession, 4096)
     spark = chunks.sparkSession
-    rows = asked.where(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id")
+    rows = asking(asked).where(sound(F.col("embedding"))).select("query_id", "embedding").orderBy("query_id")
     parts = []
     todo = rows.limit(QUERY_BLOCK).collect()
     while todo:
-        shared = spark.sparkContext.broadcast(([r[0] for r in todo], np.array([r[1] for r in todo], dtype=np.float64)))
+        by_size = {n: [r for r in todo if len(r[1]) == n] for n in {len(r[1]) for r in todo}}
+        shared = spark.sparkContext.broadcast({n: ([r[0] for r in some], np.array([r[1] for r in some], dtype=np.float64)) for n, some in by_size.items()})
 
         def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
             for batch in batches:
-                x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2)) if len(x) <= 256 else np.vstack([np.sqrt(((v - x) ** 2).sum(1)) for v in q])
-                names = batch["chunk_id"].to_numpy()
                 found = []
-                for i, query_id in enumerate(ids):
-                    order = np.lexsort((names, np.round(d[i], 9)))[:k]
-                    found += [(query_id, int(names[j]), float(d[i, j])) for j in order]
+                for size, part in batch.groupby(batch["embedding"].map(len)):  # vectors of other lengths are not compared
+                    ids, q = shared.value.get(size, ([], None))
+                    x, names = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["chunk_id"].to_numpy()
+                    for query_id, v in zip(ids, q if q is not None else [], strict=True):
+                        d = np.sqrt(((v - x) ** 2).sum(1))
+                        near = np.round(d, 9)
+                        some = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]) if len(near) > k else np.arange(len(near))
+                        found += [(query_id, int(names[j]), float(d[j])) for j in some[np.lexsort((names[some], near[some]))][:k]]
                 yield pd.DataFrame(found, columns=["query_id", "chunk_id", "distance"])
 
-        parts.append(chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInPandas(nearest, "query_id long, chunk_id long, distance double"))
+        parts.append(chunks.where(sound(F.col("embedding"))).select("chunk_id", "embedding").mapInPandas(nearest, "query_id long, chunk_id long, distance double"))
         todo = rows.where(F.col("query_id") > todo[-1][0]).limit(QUERY_BLOCK).collect()
     found = parts[0] if parts else spark.createDataFrame([], "query_id long, chunk_id long, distance double")
     for part in parts[1:]:
@@ -139,7 +150,7 @@ QUERIES = {
 }
 
 _CORPUS = rf"""
-corpus AS (SELECT doc_id AS chunk_id, text, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+corpus AS (SELECT doc_id AS chunk_id, text, source, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 asked AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
 tok AS (SELECT chunk_id, unnest(regexp_extract_all(text, '{DUCK_PATTERN}')) AS term FROM corpus),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
@@ -153,7 +164,7 @@ hit AS (SELECT query_id, chunk_id, sum(qn * idf * tf * {K1 + 1} / (tf + {K1} * (
 allb AS (SELECT a.query_id, c.chunk_id, round(coalesce(h.score, 0), 6) AS score FROM asked a CROSS JOIN corpus c LEFT JOIN hit h ON h.query_id = a.query_id AND h.chunk_id = c.chunk_id),
 bm AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, score FROM allb) WHERE rank <= {CANDIDATES})"""
 _VEC = rf"""
-vd AS (SELECT a.query_id, c.chunk_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS distance FROM asked a CROSS JOIN corpus c),
+vd AS (SELECT a.query_id, c.chunk_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS distance FROM asked a CROSS JOIN corpus c WHERE c.embedding IS NOT NULL),
 ve AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank, chunk_id, distance FROM vd) WHERE rank <= {CANDIDATES})"""
 _RRF = rf"""
 fu AS (SELECT query_id, chunk_id, bm.rank AS br, ve.rank AS vr FROM bm FULL OUTER JOIN ve USING (query_id, chunk_id)),
