@@ -65,7 +65,7 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int, key: str = "user_i
 
     Rejected requests are not recorded, so the rule must walk a key's requests in order. Partitions are sorted by key
     and time and read as a stream; the only state is the last `limit` accepted times of one key, however many requests
-    it has. Equal times are ordered by id.
+    it has. Equal times are ordered by id. Rows of a null key are one key's.
     """
     span = pd.Timedelta(seconds=seconds)
 
@@ -83,8 +83,11 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int, key: str = "user_i
                     kept.append(ts)
             yield batch.assign(accepted=verdicts)
 
-    rows = requests.select(F.col(key).alias("key"), "event_id", "ts").repartition("key").sortWithinPartitions("key", "ts", "event_id")
-    return rows.mapInPandas(walk, "key long, event_id long, ts timestamp_ntz, accepted boolean").withColumnRenamed("key", key)
+    # As text, since a null among whole numbers reads as NaN, which equals nothing.
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    rows = requests.select(name.alias("key"), "event_id", "ts").repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    out = rows.mapInPandas(walk, "key string, event_id long, ts timestamp_ntz, accepted boolean")
+    return out.select(F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(requests.schema[key].dataType).alias(key), "event_id", "ts", "accepted")
 
 
 def status_transition(events: DataFrame, key: str = "task") -> DataFrame:

@@ -24,11 +24,11 @@ def extract_title(rows: DataFrame) -> DataFrame:
 
 
 def doc_features(docs: DataFrame) -> DataFrame:
-    """Tables, images and formulas of every document; a formula in double marks is a block."""
+    """Tables, images and formulas of every document: blocks in double marks, maybe empty; inline ones in single marks, maybe over lines."""
     text = F.coalesce("text", F.lit(""))
-    block = F.regexp_count(text, F.lit(r"(?s)\$\$.+?\$\$"))
-    rest = F.regexp_replace(text, r"(?s)\$\$.+?\$\$", "")
-    return docs.select("doc_id", F.regexp_count(text, F.lit("(?i)<table")).alias("tables"), F.regexp_count(text, F.lit(r"!\[[^\]]*\]\([^)]*\)")).alias("images"), block.alias("blocks"), F.regexp_count(rest, F.lit(r"\$[^$\n]+\$")).alias("inline"))
+    block = F.regexp_count(text, F.lit(r"(?s)\$\$.*?\$\$"))
+    inline = F.regexp_count(text, F.lit(r"(?<!\$)\$(?!\$)[^$]+?(?<!\$)\$(?!\$)"))
+    return docs.select("doc_id", F.regexp_count(text, F.lit("(?i)<table")).alias("tables"), F.regexp_count(text, F.lit(r"!\[[^\]]*\]\([^)]*\)")).alias("images"), block.alias("blocks"), inline.alias("inline"))
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -177,16 +177,6 @@ def few_shot_block(table: DataFrame, key: str, n: int, complete: Column, example
     return newest.groupBy(key).agg(F.expr("listagg(_x, '\n') within group (order by rank)").alias("block"))
 
 
-def apply_text_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Documents after an edit each: append; replace the first match, or append without one; insert at the beginning."""
-    met = docs.join(edits.hint("merge"), "doc_id", "left")
-    at = F.expr("locate(needle, text)")
-    append = F.concat("text", F.lit("\n"), "content")
-    replaced = F.concat(F.expr("substring(text, 1, locate(needle, text) - 1)"), "content", F.expr("substring(text, locate(needle, text) + length(needle))"))
-    text = F.when(F.col("action") == "append", append).when(F.col("action") == "replace", F.when(at > 0, replaced).otherwise(append)).when(F.col("action") == "insert", F.concat("content", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return met.select("doc_id", text.alias("text"))
-
-
 def validate_ranges(table: DataFrame, key: str, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """The violations of each row: a value that is missing or out of its bounds."""
     said = [F.when(F.col(c).isNull(), F.lit(f"[{c}] missing")).when(~F.col(c).between(lo, hi), F.lit(f"[{c}] not in {lo:g}..{hi:g}")) for c, (lo, hi) in bounds.items()]
@@ -211,11 +201,6 @@ def _replies(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", reply.alias("reply"))
 
 
-def _edits(s, d):
-    m = F.col("doc_id") % 4
-    return _docs(s, d).select("doc_id", F.when(m == 0, "append").when(m == 1, "replace").when(m == 2, "insert").alias("action"), F.lit("the").alias("needle"), F.lit("<edit>").alias("content"))
-
-
 def _sunk(s, d):
     folder = f"{Scratch(s, 'chunks').root}/collection"
     sink_chunks(_docs(s, d).select("doc_id", "source", "text"), folder)
@@ -226,10 +211,12 @@ def _cells(s, d):
     return table_cells(batches.extract_tables(batches.html_tables(s, d)))
 
 
+#: Formulas planted into the documents: over a line end, empty and whole blocks, a lone mark.
+_FORMULAS = " $a\nb$ $$$$ $$c$$ $d$$e$ $f"
 _BOUNDS = {"p_size": (5, 40), "p_retailprice": (0, 1500)}
 QUERIES = {
     "extract_title": lambda s, d: extract_title(lines.noisy_lines(s, d).withColumn("line", F.regexp_replace("line", "^##", "#"))),
-    "doc_features": lambda s, d: doc_features(_docs(s, d)),
+    "doc_features": lambda s, d: doc_features(_docs(s, d).withColumn("text", F.concat("text", F.lit(_FORMULAS)))),
     "chunk_documents": lambda s, d: _chunks(s, d).select("doc_id", "chunk_index", "chunk_total", "strategy", F.md5("text").alias("md5")),
     "chunk_overlap": lambda s, d: chunk_overlap(_chunks(s, d)).select("doc_id", "chunk_index", F.md5("text").alias("md5")),
     "sink_chunks": _sunk,
@@ -237,7 +224,6 @@ QUERIES = {
     "tables_to_pipe": lambda s, d: tables_to_pipe(_cells(s, d)),
     "parse_llm_json": lambda s, d: parse_llm_json(_replies(s, d)).select("event_id", "parse_stage", F.get_json_object("object", "$.k").cast("long").alias("k")),
     "few_shot_block": lambda s, d: few_shot_block(reports.tasks(s, d), "user_id", 3, F.col("status") == "completed", F.concat(F.lit("Example "), F.col("id").cast("string"))),
-    "apply_text_edits": lambda s, d: apply_text_edits(_docs(s, d), _edits(s, d)).select("doc_id", F.md5("text").alias("md5")),
     "validate_style": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS),
     "validation_route": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS).select("p_partkey", validation_route(F.col("errors"), F.col("p_partkey") % 5).alias("route")),
 }
@@ -248,7 +234,7 @@ _CELLS = "l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_o
 _ERR = "e AS (SELECT p_partkey, concat_ws('; ', CASE WHEN p_size IS NULL THEN '[p_size] missing' WHEN p_size NOT BETWEEN 5 AND 40 THEN '[p_size] not in 5..40' END, CASE WHEN p_retailprice IS NULL THEN '[p_retailprice] missing' WHEN p_retailprice NOT BETWEEN 0 AND 1500 THEN '[p_retailprice] not in 0..1500' END) AS errors FROM part)"
 ORACLES = {
     "extract_title": f"WITH {lines.NOISY_SQL}, h AS (SELECT doc_id, pos, trim(regexp_replace(line, '^##', '#')) AS t FROM lines) SELECT doc_id, coalesce(min_by(trim(substr(t, 3)), pos) FILTER (t LIKE '# %'), '') AS title FROM h GROUP BY doc_id",
-    "doc_features": r"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?i)<table')) AS tables, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(t, '(?s)\$\$.+?\$\$')) AS blocks, len(regexp_extract_all(regexp_replace(t, '(?s)\$\$.+?\$\$', '', 'g'), '\$[^$\n]+\$')) AS inline FROM d",
+    "doc_features": r"WITH d AS (SELECT doc_id, coalesce(text || '" + _FORMULAS.replace(chr(10), "' || chr(10) || '") + r"', '') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?i)<table')) AS tables, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(t, '(?s)\$\$.*?\$\$')) AS blocks, len(regexp_extract_all(regexp_replace(t, '\$\$+', chr(1), 'g'), '\$[^$\x01]+\$')) AS inline FROM d",
     "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, chunk_total, strategy, md5(text) AS md5 FROM t",
     "chunk_overlap": f"WITH RECURSIVE {_CHUNKS}, o AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b FROM t) SELECT doc_id, chunk_index, md5(CASE WHEN length(b) > 105 THEN right(b, 105) || chr(10) || text ELSE text END) AS md5 FROM o",
     "sink_chunks": "SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source",
@@ -256,7 +242,6 @@ ORACLES = {
     "tables_to_pipe": f"WITH {_CELLS}, r AS (SELECT doc_id, table_idx, row_idx, '| ' || string_agg(text, ' | ' ORDER BY col_idx) || ' |' || repeat(chr(10) || '|' || repeat(' --- |', count(*)), CASE WHEN min(row_idx) = 0 THEN 1 ELSE 0 END) AS line FROM cells GROUP BY doc_id, table_idx, row_idx) SELECT doc_id, table_idx, string_agg(line, chr(10) ORDER BY row_idx) AS pipe FROM r GROUP BY ALL",
     "parse_llm_json": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces' WHEN 3 THEN 'repaired' ELSE 'failed' END AS parse_stage, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "few_shot_block": f"WITH {reports.TASKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM tasks) SELECT user_id, string_agg('Example ' || id, chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 3 AND status = 'completed' GROUP BY user_id",
-    "apply_text_edits": "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 OR (doc_id % 4 = 1 AND instr(text, 'the') = 0) THEN text || chr(10) || '<edit>' WHEN doc_id % 4 = 1 THEN substr(text, 1, instr(text, 'the') - 1) || '<edit>' || substr(text, instr(text, 'the') + 3) WHEN doc_id % 4 = 2 THEN '<edit>' || chr(10) || text ELSE text END) AS md5 FROM documents",
     "validate_style": f"WITH {_ERR} SELECT * FROM e",
     "validation_route": f"WITH {_ERR} SELECT p_partkey, CASE WHEN errors = '' THEN 'pass' WHEN p_partkey % 5 < 3 THEN 'retry' ELSE 'fail' END AS route FROM e",
 }

@@ -127,10 +127,42 @@ def style_role(style: Column, text: Column) -> Column:
     return F.coalesce(by_name, L.line_role(text), F.when(L.stripped(F.coalesce(text, F.lit(""))) == "", "empty"), F.lit("body"))
 
 
-def style_report_counts(rows: DataFrame) -> DataFrame:
-    """Headings, empty and other paragraphs of every document, by role."""
-    head = F.col("role").startswith("heading_")
-    return rows.groupBy("doc_id").agg(F.count_if(head).alias("headings"), F.count_if(F.col("role") == "empty").alias("empty"), F.count_if(~head & (F.col("role") != "empty")).alias("paragraphs"))
+#: The slots whose style a role takes, first to last; a level stands for the {} (fixed values).
+SLOTS = {
+    "heading": ("heading_{}", "body"), "appendix_clause": ("appendix_clause", "heading_{}", "body"), "preface": ("preface", "heading_1", "body"), "appendix_title": ("appendix_title", "heading_1", "body"),
+    "list_item": ("list", "body"), "caption": ("caption", "body"), "table_caption": ("table_caption", "caption", "body"), "figure_caption": ("caption", "body"),
+    "method_heading": ("body",), "cover_marker": ("body",), "toc": ("body",), "body": ("body",),
+}
+
+
+def style_slot(role: Column, slots: Column) -> Column:
+    """The slot that styles a role: the first of its chain that is among the given ones, else the body; null for other roles and for empty."""
+    level, kind = F.regexp_extract(role, "_([0-9])$", 1), F.regexp_replace(role, "_[0-9]$", "")
+    found = F.lit(None).cast("string")
+    for name, chain in reversed(SLOTS.items()):
+        tries = [F.format_string(slot.replace("{}", "%s"), level) if "{}" in slot else F.lit(slot) for slot in chain[:-1]]
+        found = F.when(kind == name, F.coalesce(*(F.when(F.array_contains(slots, x), x) for x in tries), F.lit(chain[-1]))).otherwise(found)
+    return found
+
+
+def style_bucket(role: Column, slot: Column) -> Column:
+    """Where a styled role is counted: headings or paragraphs; a heading, preface or appendix title left to the body is unstyled."""
+    fallen = role.rlike("^(heading_[0-9]|preface|appendix_title)$") & (slot == "body")
+    heading = role.rlike("^(heading_[0-9]|preface|appendix_title|appendix_clause_[0-9]|method_heading)$")
+    return F.when(slot.isNull(), None).when(fallen, "unstyled").when(heading, "headings").otherwise("paragraphs")
+
+
+def style_report_counts(rows: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Headings, paragraphs, unstyled headings, empty lines and tables of every document in rows (doc_id, role, slots).
+
+    tables: (doc_id) a row a table, none without it. Rows of a null or unknown role count nowhere.
+    """
+    slotted = rows.withColumn("b", style_bucket(F.col("role"), style_slot(F.col("role"), F.col("slots"))))
+    counts = slotted.groupBy("doc_id").agg(*(F.count_if(F.col("b") == b).alias(b) for b in ("headings", "paragraphs", "unstyled")), F.count_if(F.col("role") == "empty").alias("empty"))
+    if tables is None:
+        return counts.withColumn("tables", F.lit(0).cast("long"))
+    held = tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.join(held.hint("merge"), "doc_id", "left").withColumn("tables", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 
 def review_route(text: Column) -> Column:
@@ -205,6 +237,22 @@ def _styled(s, d):
     return _placed(s, d).select("doc_id", "pos", style_role(style, F.col("line")).alias("role"))
 
 
+#: Slots given to a document, by its id modulo 4.
+_GIVEN = (("preface", "list", "caption", "table_caption", "appendix_title", "appendix_clause", "heading_1", "heading_2", "heading_3", "heading_4", "heading_5"), (), ("heading_1", "caption"), ("heading_2", "appendix_clause", "preface"))
+
+
+def _slotted(s, d):
+    given = F.lit(None).cast("array<string>")
+    for k, names in enumerate(_GIVEN):
+        given = F.when(F.col("doc_id") % 4 == k, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(given)
+    return _styled(s, d).withColumn("slots", given)
+
+
+def _report(s, d):
+    tables = _docs(s, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") % 3)).alias("k")).where("k > 0")
+    return style_report_counts(_slotted(s, d), tables)
+
+
 def _borders(s, d):
     side = lambda n: F.when(F.col("p_partkey") % n == 0, "none").when(F.col("p_size") % n == 1, "double").when(F.col("p_size") % n != 2, "single")
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", border_class(*map(side, (7, 5, 2, 2, 3, 2))).alias("border"))
@@ -242,7 +290,8 @@ QUERIES = {
     "cover_flag": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", cover_flag(F.col("p_name"), F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, "center")).alias("cover")),
     "border_class": _borders,
     "style_role": _styled,
-    "style_report_counts": lambda s, d: style_report_counts(_styled(s, d)),
+    "style_role_fallback": lambda s, d: _slotted(s, d).select("doc_id", "pos", "role", style_slot(F.col("role"), F.col("slots")).alias("slot")),
+    "style_report_counts": _report,
     "review_routing": lambda s, d: _docs(s, d).select("doc_id", review_route(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("@@TABLE_PLACEHOLDER_0@@"))).otherwise(F.col("text"))).alias("route")),
     "review_segments": lambda s, d: review_segments(_docs(s, d)).select("doc_id", "segment", "route", F.md5("text").alias("md5")),
     "review_summary": _summary,
@@ -273,6 +322,14 @@ SELECT doc_id, pos, CASE WHEN t = '' THEN 'empty' WHEN i < s AND (regexp_matches
 WHEN behind AND length(t) < 30 AND t NOT LIKE '%。' AND t NOT LIKE '%；' AND coalesce(regexp_matches(nx, '^\\d+\\s+[\\x{{4e00}}-\\x{{9fff}}]'), false) THEN 'body_title' WHEN behind AND NOT regexp_matches(t, '{TABLE_CAPTION}') AND NOT regexp_matches(t, '{FIGURE_CAPTION}') AND NOT ch THEN 'preface_body'
 WHEN regexp_matches(t, '{METHOD}') THEN 'method_heading' WHEN regexp_matches(t, '{APPENDIX}') THEN 'appendix_heading' WHEN regexp_matches(t, '{TABLE_CAPTION}') THEN 'table_caption' WHEN regexp_matches(t, '{FIGURE_CAPTION}') THEN 'figure_caption' WHEN {' OR '.join(f"regexp_matches(t, '{p}')" for p in HEADINGS)} THEN 'heading' WHEN t LIKE '$$%' OR regexp_matches(t, '^[A-Z] = ') THEN 'formula' ELSE 'body' END AS role FROM e"""
 _STYLED = f"{_PLACED_SQL}, st AS (SELECT doc_id, pos, coalesce(CASE pos % 6 WHEN 0 THEN 'heading_2' WHEN 1 THEN 'list_item' WHEN 2 THEN 'caption' END, {L._ROLE}, CASE WHEN trim(line) = '' THEN 'empty' END, 'body') AS role FROM placed)"
+_GIVEN_SQL = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN CAST({list(names)} AS VARCHAR[])" for k, names in enumerate(_GIVEN)) + " END"
+_HAS = lambda slot: f"list_contains(slots, {slot})"
+_SLOTTED = f"""{_STYLED}, sg AS (SELECT *, {_GIVEN_SQL} AS slots FROM st), sl AS (SELECT *, role LIKE 'heading%' OR role LIKE 'appendix%' OR role IN ('preface', 'method_heading') AS head, CASE
+WHEN role = 'empty' THEN NULL WHEN role LIKE 'heading%' AND {_HAS("role")} THEN role
+WHEN role LIKE 'appendix_clause%' THEN CASE WHEN {_HAS("'appendix_clause'")} THEN 'appendix_clause' WHEN {_HAS("'heading_' || right(role, 1)")} THEN 'heading_' || right(role, 1) ELSE 'body' END
+WHEN role IN ('preface', 'appendix_title') THEN CASE WHEN {_HAS("role")} THEN role WHEN {_HAS("'heading_1'")} THEN 'heading_1' ELSE 'body' END
+WHEN role = 'list_item' AND {_HAS("'list'")} THEN 'list' WHEN role = 'table_caption' AND {_HAS("role")} THEN role
+WHEN role IN ('caption', 'table_caption', 'figure_caption') AND {_HAS("'caption'")} THEN 'caption' ELSE 'body' END AS slot FROM sg)"""
 _SIDES = ", ".join(f"CASE WHEN p_partkey % {n} = 0 THEN 'none' WHEN p_size % {n} = 1 THEN 'double' WHEN p_size % {n} <> 2 THEN 'single' END AS {c}" for c, n in zip("tblrhv", (7, 5, 2, 2, 3, 2), strict=True))
 
 ORACLES = {
@@ -286,7 +343,8 @@ ORACLES = {
     "cover_flag": "SELECT p_partkey, coalesce(trim(p_name) <> '' AND p_size >= 14, false) AND p_partkey % 2 = 0 AS cover FROM part",
     "border_class": f"WITH b AS (SELECT p_partkey, {_SIDES} FROM part), g AS (SELECT *, list_filter([t, b, l, r, h, v], lambda x: x IS NOT NULL) AS s FROM b) SELECT p_partkey, CASE WHEN len(s) = 0 THEN 'single' WHEN t <> 'none' AND b <> 'none' AND coalesce(l, 'none') = 'none' AND coalesce(r, 'none') = 'none' AND coalesce(v, 'none') = 'none' THEN 'three-line' WHEN list_contains(s, 'double') THEN 'double' WHEN len(list_filter(s, lambda x: x <> 'none')) = 0 THEN 'none' ELSE 'single' END AS border FROM g",
     "style_role": f"WITH {_STYLED} SELECT * FROM st",
-    "style_report_counts": f"WITH {_STYLED} SELECT doc_id, count(*) FILTER (role LIKE 'heading\\_%' ESCAPE '\\') AS headings, count(*) FILTER (role = 'empty') AS empty, count(*) FILTER (role <> 'empty' AND role NOT LIKE 'heading\\_%' ESCAPE '\\') AS paragraphs FROM st GROUP BY doc_id",
+    "style_role_fallback": f"WITH {_SLOTTED} SELECT doc_id, pos, role, slot FROM sl",
+    "style_report_counts": f"WITH {_SLOTTED} SELECT doc_id, count(*) FILTER (head AND (slot <> 'body' OR role LIKE 'appendix_clause%' OR role = 'method_heading')) AS headings, count(*) FILTER (NOT head AND role <> 'empty') AS paragraphs, count(*) FILTER (head AND slot = 'body' AND role NOT LIKE 'appendix_clause%' AND role <> 'method_heading') AS unstyled, count(*) FILTER (role = 'empty') AS empty, min(length(text) % 3) AS tables FROM sl JOIN documents USING (doc_id) GROUP BY doc_id",
     "review_summary": "SELECT doc_id, len(regexp_extract_all(text, 'the')) AS errors FROM documents WHERE text <> ''",
     "review_routing": "SELECT doc_id, CASE WHEN length(text) + CASE WHEN doc_id % 3 = 0 THEN 23 ELSE 0 END > 15000 THEN 'segmented' WHEN doc_id % 3 = 0 OR contains(text, '@@TABLE_PLACEHOLDER_') THEN 'skip' ELSE 'review' END AS route FROM documents",
 }

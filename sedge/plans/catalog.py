@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.operators import batches, cleaning, documents, lines, paragraphs, records, reports, retrieval
+from sedge.operators import batches, cleaning, documents, lines, paragraphs, records, reports, retrieval, sections
 from sedge.streaming import keyed
 
-MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, records, keyed)
+MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, sections, records, keyed)
 
 
 def queries() -> dict:
