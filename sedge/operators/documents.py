@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from sedge.operators import batches, lines, reports
+from sedge.operators import batches, cleaning, lines, reports
 from sedge.sources.corpus import sink_chunks
 from sedge.workspace import Scratch
 
 #: Characters of a chunk and the share of them repeated in the next (fixed values).
 CHUNK, OVERLAP = 700, 0.15
+#: Headings that cut a text into chunks, and sentences with their end (fixed values).
+HEADING, SENTENCE = r"^#{1,3}\s+.+$", r"[^。！？.!?]*[。！？.!?]|[^。！？.!?]+"
 
 
 def extract_title(rows: DataFrame) -> DataFrame:
@@ -31,37 +34,61 @@ def doc_features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.regexp_count(text, F.lit("(?i)<table")).alias("tables"), F.regexp_count(text, F.lit(r"!\[[^\]]*\]\([^)]*\)")).alias("images"), block.alias("blocks"), inline.alias("inline"))
 
 
+def greedy(parts: list[str], size: int, joint: str) -> list[str]:
+    """Neighbours joined as long as they stay within the size; a longer part stands alone, empty ones are left out."""
+    out: list[str] = []
+    for part in parts:
+        if out and len(out[-1]) + len(joint) + len(part) <= size:
+            out[-1] = out[-1] + joint + part if out[-1] else part
+        else:
+            out.append(part)
+    return [o for o in out if o]
+
+
+def chunks_of(text: str, size: int) -> list[tuple[str | None, int | None, str]]:
+    """(strategy, section, text) of a text's chunks; chunks of one section overlap, those without a number do not."""
+    if len(text) <= size:
+        return [(None, None, text)]
+    starts = [m.start() for m in re.finditer(HEADING, text, re.M)]
+    if len(starts) < 2:
+        return [("paragraph", 0, p) for p in greedy([p for p in map(str.strip, text.split("\n\n")) if p], size, "\n\n")]
+    out: list[tuple[str | None, int | None, str]] = []
+    for k, (at, to) in enumerate(zip([0, *starts], [*starts, len(text)], strict=True)):
+        section = text[at:to].strip()
+        if len(section) <= size:
+            out += [("heading", None, section)] if section else []
+            continue
+        for p in greedy(section.split("\n\n"), size, "\n\n"):
+            sentences = [s for s in re.findall(SENTENCE, p) if s.strip()]
+            out += [("paragraph", k, p)] if len(p) <= size else [("sentence", k, s) for s in greedy(sentences, size, "")]
+    return out
+
+
 def chunk_documents(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Paragraphs packed greedily into chunks: a text within the size stays whole, without index, total or strategy.
+    """doc_id, source, section, chunk_index, chunk_total, strategy, text of the chunks of every document, without overlap.
 
-    For documents without headings: a paragraph longer than the size is a chunk of its own. Null texts give no chunk.
+    A text within the size stays whole, without section, index, total or strategy. With two headings or more a text is cut
+    at them; a longer section is packed by paragraphs, and its longer paragraphs by sentences. Other texts are packed by
+    paragraphs, a longer one being a chunk of its own. Null texts give no chunk.
     """
 
     def pack(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches_:
             out = []
             for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"], strict=True):
-                if len(text) <= size:
-                    out.append((doc, source, None, None, None, text))
-                    continue
-                packed: list[str] = []
-                for part in (p.strip() for p in text.split("\n\n")):
-                    if part and packed and len(packed[-1]) + len(part) + 2 <= size:
-                        packed[-1] += "\n\n" + part
-                    elif part:
-                        packed.append(part)
-                out += [(doc, source, k, len(packed), "paragraph", p) for k, p in enumerate(packed)]
-            frame = pd.DataFrame(out, columns=["doc_id", "source", "chunk_index", "chunk_total", "strategy", "text"])
-            yield frame.astype({"chunk_index": "Int64", "chunk_total": "Int64"})
-
-    return docs.select("doc_id", "source", "text").where("text is not null").mapInPandas(pack, "doc_id long, source string, chunk_index long, chunk_total long, strategy string, text string")
+                made = chunks_of(text, size)
+                out += [(doc, source, section, k if strategy else None, len(made) if strategy else None, strategy, c) for k, (strategy, section, c) in enumerate(made)]
+            frame = pd.DataFrame(out, columns=["doc_id", "source", "section", "chunk_index", "chunk_total", "strategy", "text"])
+            yield frame.astype({"section": "Int64", "chunk_index": "Int64", "chunk_total": "Int64"})
+
+    return docs.select("doc_id", "source", "text").where("text is not null").mapInPandas(pack, "doc_id long, source string, section long, chunk_index long, chunk_total long, strategy string, text string")
 
 
 def chunk_overlap(chunks: DataFrame, size: int = CHUNK, ratio: float = OVERLAP) -> DataFrame:
-    """Each chunk led by the end of the one before it, if that one is longer than the overlap."""
+    """Each chunk led by the end of the one before it in its section, if that one is longer than the overlap; chunks without a section stay."""
     n = int(size * ratio)
-    before = F.lag("text").over(W.partitionBy("doc_id").orderBy("chunk_index"))
-    return chunks.withColumn("text", F.when(F.length(before) > n, F.concat(F.right(before, F.lit(n)), F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+    before = F.lag("text").over(W.partitionBy("doc_id", "section").orderBy("chunk_index"))
+    return chunks.withColumn("text", F.when(F.col("section").isNotNull() & (F.length(before) > n), F.concat(F.right(before, F.lit(n)), F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
 
 
 class _Grid(HTMLParser):
@@ -127,12 +154,12 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def tables_to_pipe(cells: DataFrame) -> DataFrame:
-    """Each table as lines of cells between bars, a rule after the first."""
-    text = F.replace("text", F.lit("|"), F.lit("\\|"))
+    """Each table as lines of cells between bars, a rule after the first, a line feed after the last; line feeds in cells become spaces."""
+    text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
     rows = cells.withColumn("text", text).groupBy("doc_id", "table_idx", "row_idx").agg(F.expr("listagg(text, ' | ') within group (order by col_idx)").alias("line"), F.count(F.lit(1)).alias("wide"))
     line = F.concat(F.lit("| "), "line", F.lit(" |"))
     ruled = F.when(F.col("row_idx") == 0, F.concat(line, F.lit("\n|"), F.expr("repeat(' --- |', cast(wide as int))"))).otherwise(line)
-    return rows.withColumn("line", ruled).groupBy("doc_id", "table_idx").agg(F.expr("listagg(line, '\n') within group (order by row_idx)").alias("pipe"))
+    return rows.withColumn("line", ruled).groupBy("doc_id", "table_idx").agg(F.expr("listagg(line, '\n') within group (order by row_idx) || '\n'").alias("pipe"))
 
 
 @F.pandas_udf(T.StringType())
@@ -221,7 +248,9 @@ QUERIES = {
     "chunk_overlap": lambda s, d: chunk_overlap(_chunks(s, d)).select("doc_id", "chunk_index", F.md5("text").alias("md5")),
     "sink_chunks": _sunk,
     "table_cells": _cells,
-    "tables_to_pipe": lambda s, d: tables_to_pipe(_cells(s, d)),
+    "chunk_index_total": lambda s, d: _chunks(s, d).select("doc_id", "chunk_index", "chunk_total").where("chunk_index is not null"),
+    "chunk_sections": lambda s, d: chunk_overlap(chunk_documents(cleaning.noisy_texts(s, d).withColumn("source", F.lit("noisy")))).select("doc_id", "section", "chunk_index", "chunk_total", "strategy", F.md5("text").alias("md5")),
+    "tables_to_pipe": lambda s, d: tables_to_pipe(_cells(s, d).withColumn("text", F.when(F.col("row_idx") % 2 == 1, F.concat("text", F.lit("|\n"), "text")).otherwise(F.col("text")))),
     "parse_llm_json": lambda s, d: parse_llm_json(_replies(s, d)).select("event_id", "parse_stage", F.get_json_object("object", "$.k").cast("long").alias("k")),
     "few_shot_block": lambda s, d: few_shot_block(reports.tasks(s, d), "user_id", 3, F.col("status") == "completed", F.concat(F.lit("Example "), F.col("id").cast("string"))),
     "validate_style": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS),
@@ -237,9 +266,10 @@ ORACLES = {
     "doc_features": r"WITH d AS (SELECT doc_id, coalesce(text || '" + _FORMULAS.replace(chr(10), "' || chr(10) || '") + r"', '') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?i)<table')) AS tables, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(t, '(?s)\$\$.*?\$\$')) AS blocks, len(regexp_extract_all(regexp_replace(t, '\$\$+', chr(1), 'g'), '\$[^$\x01]+\$')) AS inline FROM d",
     "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, chunk_total, strategy, md5(text) AS md5 FROM t",
     "chunk_overlap": f"WITH RECURSIVE {_CHUNKS}, o AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b FROM t) SELECT doc_id, chunk_index, md5(CASE WHEN length(b) > 105 THEN right(b, 105) || chr(10) || text ELSE text END) AS md5 FROM o",
+    "chunk_index_total": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, chunk_total FROM t WHERE chunk_index IS NOT NULL",
     "sink_chunks": "SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source",
     "table_cells": f"WITH {_CELLS} SELECT * FROM cells",
-    "tables_to_pipe": f"WITH {_CELLS}, r AS (SELECT doc_id, table_idx, row_idx, '| ' || string_agg(text, ' | ' ORDER BY col_idx) || ' |' || repeat(chr(10) || '|' || repeat(' --- |', count(*)), CASE WHEN min(row_idx) = 0 THEN 1 ELSE 0 END) AS line FROM cells GROUP BY doc_id, table_idx, row_idx) SELECT doc_id, table_idx, string_agg(line, chr(10) ORDER BY row_idx) AS pipe FROM r GROUP BY ALL",
+    "tables_to_pipe": f"WITH {_CELLS}, r AS (SELECT doc_id, table_idx, row_idx, '| ' || string_agg(CASE WHEN row_idx % 2 = 1 THEN text || '\\| ' || text ELSE text END, ' | ' ORDER BY col_idx) || ' |' || repeat(chr(10) || '|' || repeat(' --- |', count(*)), CASE WHEN min(row_idx) = 0 THEN 1 ELSE 0 END) AS line FROM cells GROUP BY doc_id, table_idx, row_idx) SELECT doc_id, table_idx, string_agg(line, chr(10) ORDER BY row_idx) || chr(10) AS pipe FROM r GROUP BY ALL",
     "parse_llm_json": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces' WHEN 3 THEN 'repaired' ELSE 'failed' END AS parse_stage, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "few_shot_block": f"WITH {reports.TASKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM tasks) SELECT user_id, string_agg('Example ' || id, chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 3 AND status = 'completed' GROUP BY user_id",
     "validate_style": f"WITH {_ERR} SELECT * FROM e",

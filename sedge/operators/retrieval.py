@@ -14,8 +14,8 @@ from sedge.workspace import Scratch, small_batches
 #: Fixed values of the ranking.
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 CANDIDATES, FUSED, RRF_K, BM25_WEIGHT, VECTOR_WEIGHT = 20, 5, 60, 0.3, 0.7
-#: Queries compared at once by a task; more are taken in blocks.
-QUERY_BLOCK = 1024
+#: Queries and chunks that meet in one task where queries are too many to send to all.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 16384
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,38 +76,54 @@ def bm25_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES) -> Dat
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def vector_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def _nearest(asked: list[tuple[int, np.ndarray]], names: np.ndarray, vectors: pd.Series, k: int) -> pd.DataFrame:
+    """query_id, chunk_id, distance of each query's k nearest of some chunks; vectors of other lengths are not compared."""
+    found = []
+    sizes = vectors.map(len)
+    for size in sizes.unique():
+        here = (sizes == size).to_numpy()
+        x, ids = np.stack(vectors[here].to_numpy()).astype(np.float64), names[here]
+        for query_id, v in asked:
+            if len(v) == size:
+                d = np.sqrt(((v - x) ** 2).sum(1))
+                near = np.round(d, 9)
+                some = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]) if len(near) > k else np.arange(len(near))
+                found += [(query_id, int(ids[j]), float(d[j])) for j in some[np.lexsort((ids[some], near[some]))][:k]]
+    return pd.DataFrame(found, columns=["query_id", "chunk_id", "distance"]).astype({"query_id": "int64", "chunk_id": "int64", "distance": "float64"})
+
+
+def vector_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """query_id, rank, chunk_id, distance (Euclidean) of the nearest chunks of every query; ties go to the smaller id.
 
-    Each task keeps the k nearest of its own chunks for a block of queries; only those meet.
+    Up to `query_block` queries are broadcast and each task keeps the k nearest of its own chunks. More are dealt into blocks
+    of about that many, chunks into blocks of about `chunk_block`, and each block of queries meets each block of chunks in a
+    task. Vectors that are missing or hold nulls or NaN take no part, nor do blank queries. Query ids are unique.
     """
-    small_batches(chunks.sparkSession, 4096)
-    spark = chunks.sparkSession
-    rows = asking(asked).where(sound(F.col("embedding"))).select("query_id", "embedding").orderBy("query_id")
-    parts = []
-    todo = rows.limit(QUERY_BLOCK).collect()
-    while todo:
-        by_size = {n: [r for r in todo if len(r[1]) == n] for n in {len(r[1]) for r in todo}}
-        shared = spark.sparkContext.broadcast({n: ([r[0] for r in some], np.array([r[1] for r in some], dtype=np.float64)) for n, some in by_size.items()})
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    spark, schema = chunks.sparkSession, "query_id long, chunk_id long, distance double"
+    small_batches(spark, 4096)
+    rows = asking(asked).where(sound(F.col("embedding"))).select("query_id", "embedding")
+    held = chunks.where(sound(F.col("embedding"))).select("chunk_id", "embedding")
+    few = rows.limit(query_block + 1).collect()
+    if len(few) <= query_block:
+        shared = spark.sparkContext.broadcast([(r[0], np.array(r[1], dtype=np.float64)) for r in few])
+
+        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = []
-                for size, part in batch.groupby(batch["embedding"].map(len)):  # vectors of other lengths are not compared
-                    ids, q = shared.value.get(size, ([], None))
-                    x, names = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["chunk_id"].to_numpy()
-                    for query_id, v in zip(ids, q if q is not None else [], strict=True):
-                        d = np.sqrt(((v - x) ** 2).sum(1))
-                        near = np.round(d, 9)
-                        some = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]) if len(near) > k else np.arange(len(near))
-                        found += [(query_id, int(names[j]), float(d[j])) for j in some[np.lexsort((names[some], near[some]))][:k]]
-                yield pd.DataFrame(found, columns=["query_id", "chunk_id", "distance"])
-
-        parts.append(chunks.where(sound(F.col("embedding"))).select("chunk_id", "embedding").mapInPandas(nearest, "query_id long, chunk_id long, distance double"))
-        todo = rows.where(F.col("query_id") > todo[-1][0]).limit(QUERY_BLOCK).collect()
-    found = parts[0] if parts else spark.createDataFrame([], "query_id long, chunk_id long, distance double")
-    for part in parts[1:]:
-        found = found.unionByName(part)
+                yield _nearest(shared.value, batch["chunk_id"].to_numpy(), batch["embedding"], k)
+
+        found = held.mapInPandas(against_all, schema)
+    else:
+        n_q, n_c = -(-rows.count() // query_block), max(-(-held.count() // chunk_block), 1)
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.withColumn("qb", deal("query_id", n_q)).withColumn("cb", all_of(n_c)).groupBy("qb", "cb")
+        right = held.withColumn("cb", deal("chunk_id", n_c)).withColumn("qb", all_of(n_q)).groupBy("qb", "cb")
+
+        def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            pairs = [(i, np.asarray(v, dtype=np.float64)) for i, v in zip(q["query_id"], q["embedding"], strict=True)]
+            return _nearest(pairs, c["chunk_id"].to_numpy(), c["embedding"], k)
+
+        found = left.cogroup(right).applyInPandas(meet, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return found.withColumn("distance", F.round("distance", 9)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
 

@@ -1,6 +1,8 @@
 """Small cases of document, source and streaming operators."""
 
-from sedge.operators import documents
+from pyspark.sql import functions as F
+
+from sedge.operators import cleaning, documents, retrieval
 from sedge.sources import corpus
 
 
@@ -30,3 +32,44 @@ def test_text_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert {(r.file_name, r.ext, r.text) for r in corpus.scan_text_corpus(spark, f"file://{tmp_path}").collect()} == {("a.md", "md", "x\ny")}
     assert {r.length for r in corpus.scan_file_inventory(spark, f"file://{tmp_path}").collect()} == {3, 2}
+
+
+def test_chunks_of_sections(spark):
+    long = "\n\n".join(["# B", "b" * 400, "c" * 400, "", "s" * 300 + "." + "t" * 350 + "！" + "u" * 200 + "? ", "end"])
+    text = "intro\n\n# A\nshort\n" + long + "\n#### deep\nx\n## C\n"
+    frame = spark.createDataFrame([(1, "s", text), (2, "s", "# one\n\n" + "x" * 800)], "doc_id long, source string, text string")
+    made = documents.chunk_documents(frame)
+    got = [(r.section, r.strategy, r.text) for r in made.where("doc_id = 1").orderBy("chunk_index").collect()]
+    assert got == [
+        (None, "heading", "intro"), (None, "heading", "# A\nshort"), (2, "paragraph", "# B\n\n" + "b" * 400), (2, "paragraph", "c" * 400 + "\n\n"),
+        (2, "sentence", "s" * 300 + "." + "t" * 350 + "！"), (2, "sentence", "u" * 200 + "?"), (2, "paragraph", "end\n#### deep\nx"), (None, "heading", "## C"),
+    ]
+    assert {(r.chunk_index, r.chunk_total) for r in made.where("doc_id = 1").collect()} == {(k, 8) for k in range(8)}
+    assert [(r.strategy, len(r.text)) for r in made.where("doc_id = 2").orderBy("chunk_index").collect()] == [("paragraph", 5), ("paragraph", 800)]
+    lapped = [r.text for r in documents.chunk_overlap(made).where("doc_id = 1").orderBy("chunk_index").collect()]
+    assert lapped[2] == got[2][2] and lapped[3] == "b" * 105 + "\n" + got[3][2] and lapped[6] == got[5][2][-105:] + "\n" + got[6][2] and lapped[7] == "## C"
+
+
+def test_noisy_chunks_keep_every_word(spark):
+    made = documents.chunk_documents(cleaning.noisy_texts(spark, "/root/testdata/sf0.001").withColumn("source", F.lit("s")))
+    parts = made.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("chunk_index", F.lit(0)), "text"))), lambda x: x["text"]).alias("t"))
+    both = cleaning.noisy_texts(spark, "/root/testdata/sf0.001").join(parts, "doc_id", "left")
+    squeezed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    assert both.where(~squeezed(F.col("text")).eqNullSafe(squeezed(F.array_join("t", "")))).count() == 0
+    assert made.where("strategy <> 'paragraph' and strategy <> 'sentence' and length(text) > 700").count() == 0
+
+
+def test_vectors_in_blocks(spark):
+    spec = "chunk_id long, text string, embedding array<double>"
+    rows = [(k, "t", [float(k % 5), float(k % 7), 1.0]) for k in range(60)] + [(90, "t", None), (91, "t", [1.0, None, 1.0]), (92, "t", [float("nan")] * 3), (93, "t", [1.0, 2.0])]
+    chunks = spark.createDataFrame(rows, spec)
+    asked = spark.createDataFrame([(k, "q", [float(k % 3), 2.5, 1.0]) for k in range(9)] + [(9, " ", [1.0, 1.0, 1.0]), (10, "q", [1.0, 2.0]), (11, "q", None)], spec.replace("chunk_id", "query_id"))
+    sent = sorted(map(tuple, retrieval.vector_search(chunks, asked, 4).collect()))
+    dealt = sorted(map(tuple, retrieval.vector_search(chunks, asked, 4, query_block=3, chunk_block=11).collect()))
+    want = []
+    for q, _, v in (tuple(r) for r in asked.where("query_id < 9").collect()):
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, x, strict=True)) ** 0.5, 9), k) for k, _, x in rows[:60])[:4]
+        want += [(q, r, k, d) for r, (d, k) in enumerate(near, 1)]
+    want.append((10, 1, 93, 0.0))
+    assert sent == dealt == sorted(want)
+    assert retrieval.vector_search(chunks.limit(0), asked, 4, query_block=3).count() == retrieval.vector_search(chunks, asked.limit(0)).count() == 0
