@@ -124,7 +124,8 @@ def template_match(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 def registry_sync(files: DataFrame, registry: DataFrame, chunks: DataFrame) -> DataFrame:
     """The registry after a rebuild: files without a row are added as indexed, rows of files get fresh counts and that
-    status, rows without a file stay."""
+    status, rows without a file stay. Files other than Markdown are passed over."""
+    files = files.where(F.col("source").endswith(".md"))
     counted = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("fresh"))
     present = files.join(counted.hint("merge"), "source", "left").select("source", F.coalesce("fresh", F.lit(0)).alias("fresh"))
     both = registry.join(present.hint("merge"), "source", "full_outer")
@@ -146,12 +147,17 @@ def _registry(spark, d):
 
 _REG = "reg AS (SELECT s_name AS source, CASE WHEN s_nationkey % 4 <> 0 THEN CAST(s_nationkey AS BIGINT) END AS chunk_count, CASE WHEN s_nationkey % 3 = 0 THEN 'pending' ELSE 'indexed' END AS status FROM supplier)"
 
+_NAMED = "source || CASE WHEN source LIKE '%3' THEN '.pdf' ELSE '.md' END"
+
 
 def _sync(spark, d):
     docs = _read(spark, d, "documents")
     chunks = docs.select(F.concat(F.lit("Supplier#"), F.lpad(F.regexp_extract("source", "[0-9]+", 0), 9, "0")).alias("source"))
-    extra = spark.range(1).select(F.lit("new.md").alias("source"))
-    return registry_sync(_registry(spark, d).where("chunk_count is not null").select("source").unionByName(extra), _registry(spark, d), chunks)
+    extra = spark.range(1).select(F.explode(F.array(F.lit("new.md"), F.lit("new.pdf"))).alias("source"))
+    # Every tenth file is no Markdown.
+    named = lambda f: f.withColumn("source", F.concat("source", F.when(F.col("source").endswith("3"), ".pdf").otherwise(".md")))
+    registry = named(_registry(spark, d))
+    return registry_sync(registry.where("chunk_count is not null").select("source").unionByName(extra), registry, named(chunks))
 
 
 def _folders(spark, d):
@@ -207,7 +213,7 @@ QUERIES = {
     "recent_per_key": lambda s, d: recent_per_key(tasks(s, d), "user_id", 3).select("user_id", "rank", "id"),
     "orphan_outputs": lambda s, d: orphans(_folders(s, d), tasks(s, d)).select("id", "bytes"),
     "cleanup_candidates": lambda s, d: cleanup_candidates(_folders(s, d), tasks(s, d), F.lit(_CUT).cast("timestamp_ntz")),
-    "disk_usage": lambda s, d: _folders(s, d).agg(F.round(F.sum(F.when(F.col("id") % 4 == 0, F.col("bytes"))) / 1048576, 2).alias("outputs_mb"), F.round(F.sum(F.when(F.col("id") % 4 != 0, F.col("bytes"))) / 1048576, 2).alias("uploads_mb")).withColumn("total_mb", F.round(F.col("outputs_mb") + F.col("uploads_mb"), 2)),
+    "disk_usage": lambda s, d: _folders(s, d).agg(F.bround(F.sum(F.when(F.col("id") % 4 == 0, F.col("bytes"))) / 1048576, 2).alias("outputs_mb"), F.bround(F.sum(F.when(F.col("id") % 4 != 0, F.col("bytes"))) / 1048576, 2).alias("uploads_mb")).withColumn("total_mb", F.bround(F.col("outputs_mb") + F.col("uploads_mb"), 2)),
     "session_message_counts": lambda s, d: session_message_counts(_sessions(s, d), _read(s, d, "conversations").where("role <> 'system' and conv_id % 3 <> 0")),
     "session_messages": lambda s, d: session_messages(_read(s, d, "conversations")).select("conv_id", "n", "turn", "role"),
     "session_message_counts_whole": lambda s, d: session_message_counts(_sessions(s, d).unionByName(_read(s, d, "customer").select(F.col("c_custkey").alias("conv_id"))).distinct(), _read(s, d, "conversations").where("role <> 'system'")),
@@ -237,7 +243,7 @@ ORACLES = {
     "recent_per_key": f"WITH {TASKS_SQL} SELECT * FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS INT) AS rank, id FROM tasks) WHERE rank <= 3",
     "orphan_outputs": f"WITH {TASKS_SQL}, {_FOLD} SELECT id, bytes FROM folders WHERE id NOT IN (SELECT id FROM tasks)",
     "cleanup_candidates": f"WITH {TASKS_SQL}, {_FOLD}, b AS (SELECT f.*, t.id IS NULL AS orphan, coalesce(CASE WHEN t.id IS NULL THEN mtime < TIMESTAMP '{_CUT}' ELSE status IN ('completed', 'failed', 'cancelled') AND created_at < TIMESTAMP '{_CUT}' END, false) AS del FROM folders f LEFT JOIN tasks t USING (id)) SELECT count(*) FILTER (del) AS deleted_count, round(coalesce(sum(bytes) FILTER (del), 0) / 1048576, 2) AS freed_mb, count(*) AS scanned_count, count(*) FILTER (orphan) AS orphaned_count FROM b",
-    "disk_usage": f"WITH {_FOLD}, p AS (SELECT round(sum(bytes) FILTER (id % 4 = 0) / 1048576, 2) AS outputs_mb, round(sum(bytes) FILTER (id % 4 <> 0) / 1048576, 2) AS uploads_mb FROM folders) SELECT *, round(outputs_mb + uploads_mb, 2) AS total_mb FROM p",
+    "disk_usage": f"WITH {_FOLD}, p AS (SELECT round_even(sum(bytes) FILTER (id % 4 = 0) / 1048576, 2) AS outputs_mb, round_even(sum(bytes) FILTER (id % 4 <> 0) / 1048576, 2) AS uploads_mb FROM folders) SELECT *, round_even(outputs_mb + uploads_mb, 2) AS total_mb FROM p",
     "session_message_counts": "SELECT conv_id, count(*) FILTER (role <> 'system' AND conv_id % 3 <> 0) AS messages FROM conversations GROUP BY conv_id",
     "session_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS n, turn, role FROM conversations",
     "session_message_counts_whole": "WITH i AS (SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer) SELECT i.conv_id, count(role) AS messages FROM i LEFT JOIN (SELECT conv_id, role FROM conversations WHERE role <> 'system') USING (conv_id) GROUP BY 1",
@@ -246,7 +252,7 @@ ORACLES = {
 k AS (SELECT wanted, list_reduce(regexp_extract_all(wanted, '[0-9]+'), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END, '') AS kw FROM w),
 m AS (SELECT wanted, CASE WHEN standard = wanted THEN 1 WHEN length(kw) >= 3 AND contains(standard, kw) THEN 2 WHEN length(kw) >= 3 AND contains(name, kw) THEN 3 END AS level, id, created_at FROM k CROSS JOIN templates)
 SELECT wanted, level, template_id FROM (SELECT wanted, level, id AS template_id, row_number() OVER (PARTITION BY wanted ORDER BY level, created_at DESC, id) AS r FROM m WHERE level IS NOT NULL) WHERE r = 1""",
-    "kb_registry_sync": f"WITH {_REG}, f AS (SELECT source FROM reg WHERE chunk_count IS NOT NULL UNION ALL SELECT 'new.md'), c AS (SELECT 'Supplier#' || lpad(regexp_extract(source, '[0-9]+'), 9, '0') AS source, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT f.source, coalesce(n, 0) AS fresh FROM f LEFT JOIN c USING (source)) SELECT coalesce(reg.source, p.source) AS source, CASE WHEN fresh IS NOT NULL THEN fresh ELSE chunk_count END AS chunk_count, CASE WHEN fresh IS NOT NULL THEN 'indexed' ELSE status END AS status FROM reg FULL OUTER JOIN p ON p.source = reg.source",
+    "kb_registry_sync": f"WITH {_REG}, named AS (SELECT {_NAMED} AS source, chunk_count, status FROM reg), f AS (SELECT source FROM named WHERE source LIKE '%.md' AND chunk_count IS NOT NULL UNION ALL SELECT 'new.md'), c AS (SELECT {_NAMED} AS source, count(*) AS n FROM (SELECT 'Supplier#' || lpad(regexp_extract(source, '[0-9]+'), 9, '0') AS source FROM documents) GROUP BY 1), p AS (SELECT f.source, coalesce(n, 0) AS fresh FROM f LEFT JOIN c USING (source)) SELECT coalesce(named.source, p.source) AS source, CASE WHEN fresh IS NOT NULL THEN fresh ELSE chunk_count END AS chunk_count, CASE WHEN fresh IS NOT NULL THEN 'indexed' ELSE status END AS status FROM named FULL OUTER JOIN p ON p.source = named.source",
     "kb_stats": f"WITH {_REG} SELECT count(*) AS total, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'pending') AS pending, CAST(coalesce(sum(coalesce(chunk_count, 0)), 0) AS BIGINT) AS chunks FROM reg",
     "chunks_per_source": "SELECT source || '.md' AS name, count(*) AS chunks FROM documents GROUP BY 1",
     "messages_chronological": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100",
