@@ -29,16 +29,23 @@ def context_window(messages: DataFrame, limit: int = CONTEXT_TOKENS, key: str =
     return kept.withColumn("cut", F.col("total") - F.count(F.lit(1)).over(W.partitionBy(key))).select(key, turn, "role", F.col("used").cast("long").alias("used"), "cut")
 
 
-def modal_style(observed: DataFrame, key: str, order: list[str], attributes: list[str]) -> DataFrame:
+def modal_style(observed: DataFrame, key: str, order: list[str], attributes: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
     """The commonest value of every attribute for each key; nulls do not vote, ties go to the value seen first.
 
-    Values are counted where they lie; a key's whole observations never meet in one place.
+    defaults: values, with no votes, for attributes for which nothing votes. Values are counted where they lie; a key's whole
+    observations never meet in one place.
     """
     pos = F.struct(*order)
     long = observed.select(key, pos.alias("pos"), F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes))).alias("x")).select(key, "pos", "x.*")
     votes = long.where(F.col("value").isNotNull()).groupBy(key, "attribute", "value").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"))
     first = F.row_number().over(W.partitionBy(key, "attribute").orderBy(F.desc("votes"), "first"))
-    return votes.withColumn("r", first).where("r = 1").select(key, "attribute", "value", "votes")
+    best = votes.withColumn("r", first).where("r = 1").select(key, "attribute", "value", "votes")
+    if not defaults:
+        return best
+    given = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.lit(v).alias("_d")) for a, v in defaults.items()))).alias("x")
+    wanted = observed.select(key).distinct().select(key, given).select(key, "x.*")
+    met = best.join(wanted.hint("merge"), [key, "attribute"], "full_outer")
+    return met.select(key, "attribute", F.coalesce("value", "_d").alias("value"), F.coalesce("votes", F.lit(0).cast("long")).alias("votes"))
 
 
 def sampled_modal_style(observed: DataFrame, key: str, order: list[str], attributes: list[str], n: int) -> DataFrame:
@@ -152,6 +159,7 @@ QUERIES = {
     "estimate_tokens": lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", estimate_tokens(F.col("text"))).otherwise(0)).alias("tokens_out"), F.sum(F.when(F.col("role") != "assistant", estimate_tokens(F.col("text"))).otherwise(0)).alias("tokens_in"), F.sum(estimate_tokens(F.col("text"))).alias("tokens")),
     "context_window": lambda s, d: context_window(_read(s, d, "conversations"), 200),
     "modal_style": lambda s, d: modal_style(_observed(s, d), "l_orderkey", _ORDER, _ATTRIBUTES),
+    "modal_style_defaults": lambda s, d: modal_style(_observed(s, d), "l_orderkey", _ORDER, _ATTRIBUTES, {"l_returnflag": "N", "l_quantity": "12"}),
     "sampled_modal_style": lambda s, d: sampled_modal_style(_observed(s, d), "l_orderkey", _ORDER, _ATTRIBUTES, 3),
     "first_match_style": lambda s, d: first_match_style(_observed(s, d), "l_orderkey", _ORDER, ["l_linestatus", "l_quantity"], F.col("l_returnflag") == "R"),
     "style_diff": lambda s, d: style_diff(_old_new(s, d), ["flag", "supp"]).select("l_orderkey", "diff"),
@@ -169,6 +177,7 @@ ORACLES = {
     "estimate_tokens": f"SELECT conv_id, CAST(coalesce(sum({_EST}) FILTER (role = 'assistant'), 0) AS BIGINT) AS tokens_out, CAST(coalesce(sum({_EST}) FILTER (role <> 'assistant'), 0) AS BIGINT) AS tokens_in, CAST(sum({_EST}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
     "context_window": "WITH s AS (SELECT conv_id, sum(length(text) // 2) FILTER (role = 'system') AS fixed FROM conversations GROUP BY 1), r AS (SELECT conv_id, turn, role, sum(length(text) // 2) OVER (PARTITION BY conv_id ORDER BY turn DESC) + coalesce(fixed, 0) AS used, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations JOIN s USING (conv_id) WHERE role <> 'system') SELECT conv_id, turn, role, CAST(used AS BIGINT) AS used, total - count(*) OVER (PARTITION BY conv_id) AS cut FROM r WHERE used <= 200",
     "modal_style": f"WITH {_OBS}, src AS (SELECT * FROM obs), {_MODAL}",
+    "modal_style_defaults": f"WITH {_OBS}, src AS (SELECT * FROM obs), m AS (WITH {_MODAL}) SELECT * FROM m UNION ALL SELECT DISTINCT l_orderkey, 'l_quantity', '12', 0 FROM obs WHERE l_orderkey NOT IN (SELECT l_orderkey FROM m WHERE attribute = 'l_quantity')",
     "sampled_modal_style": f"WITH {_OBS}, src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM obs) WHERE rn <= 3), {_MODAL}",
     "first_match_style": f"WITH {_OBS}, f AS (SELECT l_orderkey, l_linestatus, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM obs WHERE l_returnflag = 'R') SELECT k.l_orderkey, l_linestatus, l_quantity FROM (SELECT DISTINCT l_orderkey FROM obs) k LEFT JOIN f ON f.l_orderkey = k.l_orderkey AND rn = 1",
     "style_diff": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL), j AS (SELECT a.l_orderkey, a.flag AS of, b.flag AS nf, a.supp AS os, b.supp AS ns FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = 2 WHERE a.l_linenumber = 1) SELECT l_orderkey, concat_ws('; ', CASE WHEN of IS DISTINCT FROM nf THEN 'flag: ' || coalesce(of, 'none') || ' → ' || coalesce(nf, 'none') END, CASE WHEN os IS DISTINCT FROM ns THEN 'supp: ' || coalesce(CAST(os AS VARCHAR), 'none') || ' → ' || coalesce(CAST(ns AS VARCHAR), 'none') END) AS diff FROM j",

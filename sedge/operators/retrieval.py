@@ -53,6 +53,14 @@ def idf_table(terms: DataFrame, n: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def posting_stats(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, doc_len and avgdl of every posting; null texts have no postings and count with length 0."""
+    cut = chunks.select("chunk_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    mean = cut.agg(F.avg(F.size("t")).alias("avgdl"))  # one row
+    terms = cut.select("chunk_id", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term"))
+    return terms.groupBy("term", "chunk_id", "doc_len").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(mean))
+
+
 def bm25_search(chunks: DataFrame, asked: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """query_id, rank, chunk_id, score of the best chunks of every query.
 
@@ -158,6 +166,7 @@ def _term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "tokenize": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "term")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("term").alias("n_terms"), F.min("term").alias("first_term")),
     "term_stats": _term_stats,
+    "term_postings": lambda s, d: posting_stats(corpus(s, d)).withColumn("avgdl", F.round("avgdl", 6)),
     "bm25_search": _both(bm25_search),
     "vector_search": _both(vector_search),
     "rrf_fusion": _both(lambda c, q: rrf_fusion(bm25_search(c, q), vector_search(c, q), CANDIDATES)),
@@ -191,6 +200,7 @@ fr AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s
 ORACLES = {
     "tokenize": rf"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{DUCK_PATTERN}')) AS term FROM documents) SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, min(term) AS first_term FROM t GROUP BY doc_id",
     "term_stats": f"WITH {_CORPUS} SELECT term, df, round(idf, 9) AS idf FROM idf",
+    "term_postings": f"WITH {_CORPUS} SELECT term, chunk_id, CAST(dl AS BIGINT) AS doc_len, tf, round((SELECT avg(coalesce(dl, 0)) FROM dls), 6) AS avgdl FROM post JOIN dls USING (chunk_id)",
     "bm25_search": f"WITH {_CORPUS}, {_BM25} SELECT * FROM bm",
     "vector_search": f"WITH {_CORPUS}, {_VEC} SELECT * FROM ve",
     "rrf_fusion": f"WITH {_CORPUS}, {_BM25}, {_VEC}, {_RRF} SELECT * FROM fr WHERE rank <= {CANDIDATES}",
