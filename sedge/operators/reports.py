@@ -122,6 +122,14 @@ def template_match(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("rank", rank).where("rank = 1").select("wanted", "level", F.col("id").alias("template_id"))
 
 
+def delete_sessions(sessions: DataFrame, messages: DataFrame, doomed: DataFrame, by: str, session: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """The sessions and messages that stay once the sessions whose `by` (their id, or their task) is among the doomed ones are
+    deleted with their messages. A null `by` is never deleted; messages without a session stay."""
+    keys = doomed.select(by).where(F.col(by).isNotNull()).distinct().hint("merge")
+    gone = sessions.join(keys, by, "left_semi").select(session).distinct()
+    return sessions.join(keys, by, "left_anti"), messages.join(gone.hint("merge"), session, "left_anti")
+
+
 def registry_sync(files: DataFrame, registry: DataFrame, chunks: DataFrame) -> DataFrame:
     """The registry after a rebuild: files without a row are added as indexed, rows of files get fresh counts and that
     status, rows without a file stay. Files other than Markdown are passed over."""
@@ -173,6 +181,15 @@ def _sessions(spark, d):
     return _read(spark, d, "conversations").select("conv_id").distinct()
 
 
+def _deleted(spark, d):
+    """Rows left by session once two of seven tasks are deleted; the doomed tasks are those of the first two nations."""
+    sessions = _sessions(spark, d).withColumn("task", F.col("conv_id") % 7)
+    doomed = _read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("task")).where("task < 2")
+    left, said = delete_sessions(sessions, _read(spark, d, "conversations"), doomed, "task")
+    counts = said.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return left.join(counts.hint("merge"), "conv_id", "full_outer").select("conv_id", "task", "n_messages")
+
+
 def _wanted(spark, d):
     return _read(spark, d, "orders").select(F.concat(F.lit("GB/T "), (F.col("o_orderkey") % 3000).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "-2008").otherwise("")).alias("wanted"))
 
@@ -217,6 +234,7 @@ QUERIES = {
     "session_message_counts": lambda s, d: session_message_counts(_sessions(s, d), _read(s, d, "conversations").where("role <> 'system' and conv_id % 3 <> 0")),
     "session_messages": lambda s, d: session_messages(_read(s, d, "conversations")).select("conv_id", "n", "turn", "role"),
     "session_message_counts_whole": lambda s, d: session_message_counts(_sessions(s, d).unionByName(_read(s, d, "customer").select(F.col("c_custkey").alias("conv_id"))).distinct(), _read(s, d, "conversations").where("role <> 'system'")),
+    "cascade_delete_by_task": _deleted,
     "cascade_delete": lambda s, d: _read(s, d, "conversations").join(_sessions(s, d).where("conv_id % 5 = 0").hint("merge"), "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("left_messages")),
     "template_match": lambda s, d: template_match(_wanted(s, d), templates(s, d)),
     "kb_registry_sync": _sync,
@@ -247,6 +265,7 @@ ORACLES = {
     "session_message_counts": "SELECT conv_id, count(*) FILTER (role <> 'system' AND conv_id % 3 <> 0) AS messages FROM conversations GROUP BY conv_id",
     "session_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS n, turn, role FROM conversations",
     "session_message_counts_whole": "WITH i AS (SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer) SELECT i.conv_id, count(role) AS messages FROM i LEFT JOIN (SELECT conv_id, role FROM conversations WHERE role <> 'system') USING (conv_id) GROUP BY 1",
+    "cascade_delete_by_task": "SELECT conv_id, conv_id % 7 AS task, count(*) AS n_messages FROM conversations WHERE conv_id % 7 NOT IN (0, 1) GROUP BY ALL",
     "cascade_delete": "SELECT conv_id, count(*) AS left_messages FROM conversations WHERE conv_id % 5 <> 0 GROUP BY conv_id",
     "template_match": f"""WITH {TEMPLATES_SQL}, w AS (SELECT DISTINCT 'GB/T ' || (o_orderkey % 3000) || CASE WHEN o_orderkey % 7 = 0 THEN '-2008' ELSE '' END AS wanted FROM orders),
 k AS (SELECT wanted, list_reduce(regexp_extract_all(wanted, '[0-9]+'), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END, '') AS kw FROM w),

@@ -37,3 +37,12 @@ def test_every_session_keeps_its_messages(spark):
     assert reports.session_messages(messages).count() == 600
     limited = reports.session_messages(messages, limit=2)
     assert limited.count() == 400 and limited.where("turn > 1").count() == 0
+
+
+def test_deleted_sessions(spark):
+    sessions = spark.createDataFrame([(1, 7), (2, 8), (3, None), (4, 7)], "conv_id long, task long")
+    messages = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (9, "d"), (None, "e")], "conv_id long, task string")
+    left, said = reports.delete_sessions(sessions, messages, spark.createDataFrame([(7,), (7,), (None,)], "task long"), "task")
+    assert sorted(r.conv_id for r in left.collect()) == [2, 3] and sorted(r.task for r in said.collect()) == ["b", "b", "c", "d", "e"]
+    left, said = reports.delete_sessions(sessions, messages, sessions.where("conv_id = 2"), "conv_id")
+    assert left.count() == 3 and sorted(r.task for r in said.collect()) == ["a", "c", "d", "e"]
