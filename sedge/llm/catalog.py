@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.llm import exact_dedup, language, licenses, packing, pieces, privacy, quality, similar, topk, toxicity
+from sedge.llm import contamination, exact_dedup, language, licenses, packing, periodic, pieces, privacy, quality, repair, similar, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_similar": similar.query,
         "op9_toxicity": toxicity.query,
         "op10_topk": topk.query,
+        "op11_repair": repair.query,
+        "op12_periodic": periodic.query,
+        "op13_contamination": contamination.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op8_similar": similar.SQL, "op10_topk": topk.SQL}
+    return {"op7_exact_dedup": exact_dedup.SQL, "op8_similar": similar.SQL, "op10_topk": topk.SQL, "op11_repair": repair.SQL, "op13_contamination": contamination.SQL}
