@@ -68,6 +68,23 @@ class Scratch:
         self.live.append(kept)
         return kept
 
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keep_bucketed(self, frame: DataFrame, key: str, label: str) -> DataFrame:
+        """A table in buckets by a key: what is summed by the key, or by more, stays where it is read.
+
+        The frame comes dealt by the key over buckets() partitions, so that each task writes one bucket.
+        """
+        self.n += 1
+        name, path = f"sedge_{uuid.uuid4().hex}", f"{self.root}/{self.n}-{label}"
+        buckets = self.buckets()
+        frame.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        kept = self.spark.table(name)
+        kept._sedge_path, kept._sedge_table = path, name
+        self.live.append(kept)
+        return kept
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for frame in frames:
@@ -85,6 +102,12 @@ class Scratch:
         return kept
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, dealt over all of them before dear work on its rows; a larger one as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
     """Inner join (or left_semi) with a side that has each key once and knows its hot ones.
 
