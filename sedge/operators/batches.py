@@ -162,7 +162,7 @@ QUERIES = {
     "modal_style_defaults": lambda s, d: modal_style(_observed(s, d), "l_orderkey", _ORDER, _ATTRIBUTES, {"l_returnflag": "N", "l_quantity": "12"}),
     "sampled_modal_style": lambda s, d: sampled_modal_style(_observed(s, d), "l_orderkey", _ORDER, _ATTRIBUTES, 3),
     "first_match_style": lambda s, d: first_match_style(_observed(s, d), "l_orderkey", _ORDER, ["l_linestatus", "l_quantity"], F.col("l_returnflag") == "R"),
-    "style_diff": lambda s, d: style_diff(_old_new(s, d), ["flag", "supp"]).select("l_orderkey", "diff"),
+    "style_diff_columns": lambda s, d: style_diff(_old_new(s, d), ["flag", "supp"]).select("l_orderkey", "diff"),
     "rate_limit": lambda s, d: rate_limit(_read(s, d, "events"), 3, 86400).select("user_id", "event_id", "accepted"),
     "status_transition": lambda s, d: status_transition(_status_events(s, d)),
     "extract_tables": lambda s, d: extract_tables(html_tables(s, d)),
@@ -180,7 +180,7 @@ ORACLES = {
     "modal_style_defaults": f"WITH {_OBS}, src AS (SELECT * FROM obs), m AS (WITH {_MODAL}) SELECT * FROM m UNION ALL SELECT DISTINCT l_orderkey, 'l_quantity', '12', 0 FROM obs WHERE l_orderkey NOT IN (SELECT l_orderkey FROM m WHERE attribute = 'l_quantity')",
     "sampled_modal_style": f"WITH {_OBS}, src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM obs) WHERE rn <= 3), {_MODAL}",
     "first_match_style": f"WITH {_OBS}, f AS (SELECT l_orderkey, l_linestatus, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM obs WHERE l_returnflag = 'R') SELECT k.l_orderkey, l_linestatus, l_quantity FROM (SELECT DISTINCT l_orderkey FROM obs) k LEFT JOIN f ON f.l_orderkey = k.l_orderkey AND rn = 1",
-    "style_diff": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL), j AS (SELECT a.l_orderkey, a.flag AS of, b.flag AS nf, a.supp AS os, b.supp AS ns FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = 2 WHERE a.l_linenumber = 1) SELECT l_orderkey, concat_ws('; ', CASE WHEN of IS DISTINCT FROM nf THEN 'flag: ' || coalesce(of, 'none') || ' → ' || coalesce(nf, 'none') END, CASE WHEN os IS DISTINCT FROM ns THEN 'supp: ' || coalesce(CAST(os AS VARCHAR), 'none') || ' → ' || coalesce(CAST(ns AS VARCHAR), 'none') END) AS diff FROM j",
+    "style_diff_columns": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL), j AS (SELECT a.l_orderkey, a.flag AS of, b.flag AS nf, a.supp AS os, b.supp AS ns FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = 2 WHERE a.l_linenumber = 1) SELECT l_orderkey, concat_ws('; ', CASE WHEN of IS DISTINCT FROM nf THEN 'flag: ' || coalesce(of, 'none') || ' → ' || coalesce(nf, 'none') END, CASE WHEN os IS DISTINCT FROM ns THEN 'supp: ' || coalesce(CAST(os AS VARCHAR), 'none') || ' → ' || coalesce(CAST(ns AS VARCHAR), 'none') END) AS diff FROM j",
     "rate_limit": "WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, event_id, k, true AS accepted, [ts] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, len(list_filter(r.kept, lambda t: o.ts - t < INTERVAL 24 HOUR)) < 3, CASE WHEN len(list_filter(r.kept, lambda t: o.ts - t < INTERVAL 24 HOUR)) < 3 THEN list_append(list_filter(r.kept, lambda t: o.ts - t < INTERVAL 24 HOUR), o.ts) ELSE r.kept END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id, event_id, accepted FROM r",
     "status_transition": f"WITH RECURSIVE {_EV}, r AS (SELECT task, k, status, CASE WHEN status = 'completed' THEN ts END AS completed_at, 1 AS applied FROM o WHERE k = 1 UNION ALL SELECT o.task, o.k, CASE WHEN o.status = 'processing' AND r.status = 'cancelled' THEN r.status ELSE o.status END, CASE WHEN o.status = 'processing' AND r.status = 'cancelled' THEN r.completed_at WHEN o.status = 'completed' THEN coalesce(r.completed_at, o.ts) WHEN o.status IN ('pending', 'processing') THEN NULL ELSE r.completed_at END, r.applied + CASE WHEN o.status = 'processing' AND r.status = 'cancelled' THEN 0 ELSE 1 END FROM r JOIN o ON o.task = r.task AND o.k = r.k + 1) SELECT task, status, completed_at, CAST(applied AS BIGINT) AS applied FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC) = 1",
     "extract_tables": r"WITH t AS (SELECT l_orderkey AS doc_id, string_agg('<tr><td>' || l_partkey || '</td><td>' || l_suppkey || '</td></tr>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS rows, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, 0 AS table_idx, '<table border=1>' || rows || '</table>' AS table_html, n AS tr_open, n AS tr_close, 2 * n AS td_open, 2 * n AS td_close, true AS whole FROM t UNION ALL SELECT doc_id, 1, '<TABLE><tr><td>1</tr></TABLE>', 1, 1, 1, 0, false FROM t",

@@ -252,8 +252,8 @@ QUERIES = {
     "chunk_sections": lambda s, d: chunk_overlap(chunk_documents(cleaning.noisy_texts(s, d).withColumn("source", F.lit("noisy")))).select("doc_id", "section", "chunk_index", "chunk_total", "strategy", F.md5("text").alias("md5")),
     "tables_to_pipe": lambda s, d: tables_to_pipe(_cells(s, d).withColumn("text", F.when(F.col("row_idx") % 2 == 1, F.concat("text", F.lit("|\n"), "text")).otherwise(F.col("text")))),
     "parse_llm_json": lambda s, d: parse_llm_json(_replies(s, d)).select("event_id", "parse_stage", F.get_json_object("object", "$.k").cast("long").alias("k")),
-    "few_shot_block": lambda s, d: few_shot_block(reports.tasks(s, d), "user_id", 3, F.col("status") == "completed", F.concat(F.lit("Example "), F.col("id").cast("string"))),
-    "validate_style": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS),
+    "few_shot_lines": lambda s, d: few_shot_block(reports.tasks(s, d), "user_id", 3, F.col("status") == "completed", F.concat(F.lit("Example "), F.col("id").cast("string"))),
+    "validate_ranges": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS),
     "validation_route": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS).select("p_partkey", validation_route(F.col("errors"), F.col("p_partkey") % 5).alias("route")),
 }
 
@@ -271,7 +271,7 @@ ORACLES = {
     "table_cells": f"WITH {_CELLS} SELECT * FROM cells",
     "tables_to_pipe": f"WITH {_CELLS}, r AS (SELECT doc_id, table_idx, row_idx, '| ' || string_agg(CASE WHEN row_idx % 2 = 1 THEN text || '\\| ' || text ELSE text END, ' | ' ORDER BY col_idx) || ' |' || repeat(chr(10) || '|' || repeat(' --- |', count(*)), CASE WHEN min(row_idx) = 0 THEN 1 ELSE 0 END) AS line FROM cells GROUP BY doc_id, table_idx, row_idx) SELECT doc_id, table_idx, string_agg(line, chr(10) ORDER BY row_idx) || chr(10) AS pipe FROM r GROUP BY ALL",
     "parse_llm_json": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces' WHEN 3 THEN 'repaired' ELSE 'failed' END AS parse_stage, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
-    "few_shot_block": f"WITH {reports.TASKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM tasks) SELECT user_id, string_agg('Example ' || id, chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 3 AND status = 'completed' GROUP BY user_id",
-    "validate_style": f"WITH {_ERR} SELECT * FROM e",
+    "few_shot_lines": f"WITH {reports.TASKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM tasks) SELECT user_id, string_agg('Example ' || id, chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 3 AND status = 'completed' GROUP BY user_id",
+    "validate_ranges": f"WITH {_ERR} SELECT * FROM e",
     "validation_route": f"WITH {_ERR} SELECT p_partkey, CASE WHEN errors = '' THEN 'pass' WHEN p_partkey % 5 < 3 THEN 'retry' ELSE 'fail' END AS route FROM e",
 }

@@ -150,7 +150,7 @@ def _defaults(s, d):
 
 QUERIES = {
     "append_chunks": _append, "resolve_first_existing": _resolve, "resolve_first_existing_whole": lambda s, d: _resolve_of(s, d, "true"), "coalesce_preview": _preview, "vector_hit_to_chunk": _hits, "restore_tables": _restore,
-    "attach_table_images": _attach, "assemble_prompt": _prompt, "apply_style_defaults": _defaults,
+    "attach_table_images": _attach, "assemble_prompt_lines": _prompt, "apply_flat_defaults": _defaults,
     "load_sections": lambda s, d: load_sections(L.noisy_lines(s, d)).select("doc_id", "section_index", "section_title", F.md5("text").alias("md5")),
 }
 
@@ -163,7 +163,7 @@ ORACLES = {
     "vector_hit_to_chunk": f"WITH {_CH} SELECT doc_id AS hit, coalesce(i, j) AS idx FROM c LEFT JOIN t ON t.text = CASE WHEN doc_id % 3 = 0 THEN c.text || '?' ELSE c.text END LEFT JOIN p ON p.source IS NOT DISTINCT FROM c.source AND p.k = c.k WHERE coalesce(i, j) IS NOT NULL",
     "restore_tables": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 ELSE 2 END AS restored, CASE doc_id % 3 WHEN 2 THEN 1 ELSE 0 END AS missing, md5(text || CASE WHEN doc_id % 3 = 0 THEN ' {T0} and {T1}' ELSE ' <table>0</table> and <table>1</table>' END) AS md5 FROM documents",
     "attach_table_images": "SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 THEN '![表格图片](i1)' || chr(10) || chr(10) ELSE '' END || '<table>1</table>' || text || CASE WHEN doc_id % 3 = 2 THEN '![表格图片](i2)' || chr(10) || chr(10) ELSE '' END || '<TABLE x>2</TABLE><tables>') AS md5 FROM documents",
-    "assemble_prompt": f"WITH f AS (SELECT o_custkey AS id, list_sort(list(CAST(o_orderkey AS VARCHAR)))[1:5] AS x FROM orders GROUP BY 1), c AS (SELECT id, CASE WHEN id % 7 = 0 THEN '{NO_CONTEXT}' ELSE array_to_string(x, chr(10) || chr(10)) END AS c FROM f) SELECT id, 'A ' || CASE WHEN id % 2 = 0 THEN c ELSE 'note' END || ': ' || c || '.' AS prompt FROM c",
-    "apply_style_defaults": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / 10 ELSE 1.5 END AS line_spacing, CASE WHEN p_size % 3 = 0 THEN 'center' ELSE 'left' END AS alignment, 'multiple' AS line_spacing_rule, true AS widow_control FROM part",
+    "assemble_prompt_lines": f"WITH f AS (SELECT o_custkey AS id, list_sort(list(CAST(o_orderkey AS VARCHAR)))[1:5] AS x FROM orders GROUP BY 1), c AS (SELECT id, CASE WHEN id % 7 = 0 THEN '{NO_CONTEXT}' ELSE array_to_string(x, chr(10) || chr(10)) END AS c FROM f) SELECT id, 'A ' || CASE WHEN id % 2 = 0 THEN c ELSE 'note' END || ': ' || c || '.' AS prompt FROM c",
+    "apply_flat_defaults": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / 10 ELSE 1.5 END AS line_spacing, CASE WHEN p_size % 3 = 0 THEN 'center' ELSE 'left' END AS alignment, 'multiple' AS line_spacing_rule, true AS widow_control FROM part",
     "load_sections": rf"WITH {L.NOISY_SQL}, h AS (SELECT *, regexp_matches(line, '^#{{1,3}} +[^ ]') AS head FROM lines), c AS (SELECT *, sum(CAST(head AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h), g AS (SELECT doc_id, section, max(regexp_replace(line, '^#+ +', '')) FILTER (head) AS title, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS section_index FROM c GROUP BY doc_id, section) SELECT doc_id, CAST(section_index AS BIGINT) AS section_index, coalesce(title, '(引言)') AS section_title, md5(text) AS md5 FROM g WHERE text <> ''",
 }

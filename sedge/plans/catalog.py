@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.operators import batches, cleaning, documents, files, lines, paragraphs, records, reports, retrieval, sections
+from sedge.operators import batches, cleaning, documents, files, lines, paragraphs, records, reports, retrieval, sections, styles
 from sedge.streaming import keyed
 
-MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, sections, records, files, keyed)
+MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, sections, records, files, styles, keyed)
 
 
 def queries() -> dict:

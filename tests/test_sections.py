@@ -12,18 +12,19 @@ TEXTS = [
 ]
 
 
-def plain_sections(text):
-    found = list(re.finditer(r"^(#{1,6})\s+(.+)$", text or "", re.M))
-    if not found:
-        return [(1, "(无标题)", text)] if (text or "").strip() else []
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    return [(len(m[1]), m[2].strip(), text[m.end() : end].strip()) for m, end in zip(found, ends, strict=True)]
+#: (level, heading, content) of the sections of each text, by hand.
+SECTIONS = [
+    [(1, "A", "x"), (2, "B", '![p](a.png) <table a=1><tr></tr></table>'), (6, "C", "####### no\n#no")], [(1, "(无标题)", "plain\n#no\n")], [], [], [],
+    [(1, "next", "")], [(1, "next", ""), (1, "last", "")], [(2, "only", "")], [(1, "b", "c")], [(1, "全", "😀 y")],
+]
 
 
 def test_sections(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, section string")
     got = sections.extract_sections(docs).orderBy("doc_id", "section").collect()
-    assert [(r.doc_id, r.section, r.level, r.heading, r.content) for r in got] == [(k, i, *s) for k, t in enumerate(TEXTS) for i, s in enumerate(plain_sections(t))]
+    for k, want in enumerate(SECTIONS):
+        assert [(r.level, r.heading, r.content) for r in got if r.doc_id == k] == want, TEXTS[k]
+        assert [r.section for r in got if r.doc_id == k] == list(range(len(want)))
     b = next(r for r in got if r.heading == "B")
     assert b.tables == ["<table a=1><tr></tr></table>"] and b.images == ["a.png"]
     assert sections.extract_sections(docs.limit(0)).count() == 0
@@ -42,27 +43,32 @@ def test_integrity(spark):
     assert [r.issues for r in got][:2] == [["<th> 标签不匹配: 开 2 个, 闭 1 个"], ["<tr> 标签不匹配: 开 1 个, 闭 0 个"]]
 
 
+#: (text, action, needle, position, content, result), by hand.
+EDITS = [
+    ("One\ntwo", "append", None, None, "c", "One\ntwo\n\nc"),
+    ("One\ntwo two", "replace", "two", None, "c$1", "One\nc$1 two"),
+    ("One", "replace", "", None, "c", "One\n\nc"),
+    ("One", "replace", "no", None, "c", "One\n\nc"),
+    ("One", "insert", None, "beginning", "c", "c\n\nOne"),
+    ("One", "insert", None, None, "c", "One\n\nc"),
+    ("One\ntwo THE end\nthree", "insert", None, "the", "c", "One\ntwo THE end\n\nc\nthree"),
+    ("😀 a\\Eb (x)\nlast", "insert", None, "A\\eB (X)", "c", "😀 a\\Eb (x)\n\nc\nlast"),
+    ("One\nthree", "insert", None, "three", "c", "One\nthree\n\nc"),
+    ("One", "insert", None, "four", "c", "One\n\nc"),
+    ("One", "turn", None, None, None, "One\n\n"),
+    ("One", None, None, None, "c", "One\n\nc"),
+    (None, "append", None, None, "c", "\n\nc"),
+    ("", "insert", None, "beginning", "c", "c\n\n"),
+    ("the\n\n", "insert", None, "the", "c", "the\n\nc\n\n"),
+]
+
+
 def test_edits(spark):
-    def plain(text, action, needle, position, content):
-        text, append = text or "", f"{text or ''}\n\n{content or ''}"
-        action, position, content = action or "append", "end" if position is None else position, content or ""
-        if action == "replace":
-            return text.replace(needle, content, 1) if needle and needle in text else append
-        if action == "insert" and position == "beginning":
-            return content + "\n\n" + text
-        if action == "insert" and position != "end" and (m := re.search(re.escape(position), text, re.I)):
-            at = text.find("\n", m.end())
-            at = len(text) if at < 0 else at
-            return text[:at] + "\n\n" + content + text[at:]
-        return append
-
-    texts = ["One\ntwo THE end\nthree", "😀 a\\Eb (x)\nlast", "", None, "the\n\n"]
-    asked = [("append", None, None, "c"), ("replace", "two", None, "c$1"), ("replace", "", None, "c"), ("replace", "no", None, "c"), ("insert", None, "beginning", "c"), ("insert", None, None, "c"), ("insert", None, "the", "c"), ("insert", None, "A\\eB (X)", "c"), ("insert", None, "", "c"), ("insert", None, "three", "c"), ("turn", None, None, None), (None, None, None, "c")]
-    rows = [(k, t, *e) for k, (t, e) in enumerate((t, e) for t in texts for e in asked)]
-    docs = spark.createDataFrame([(r[0], r[1], "x") for r in [*rows, (-1, "as it is")]], "doc_id long, text string, action string")
-    edits = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, action string, needle string, position string, content string")
+    docs = spark.createDataFrame([(k, e[0], "x") for k, e in enumerate(EDITS)] + [(-1, "as it is", "x")], "doc_id long, text string, action string")
+    edits = spark.createDataFrame([(k, *e[1:5]) for k, e in enumerate(EDITS)], "doc_id long, action string, needle string, position string, content string")
     got = {r.doc_id: r.text for r in sections.apply_text_edits(docs, edits).collect()}
-    assert got == {r[0]: plain(*r[1:]) for r in rows} | {-1: "as it is"}
+    assert got.pop(-1) == "as it is"
+    assert [got[k] for k in range(len(EDITS))] == [e[5] for e in EDITS]
 
 
 def test_style_counts(spark):
