@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from sedge.operators import batches, cleaning, lines, reports
 from sedge.sources.corpus import sink_chunks
@@ -162,40 +162,51 @@ def tables_to_pipe(cells: DataFrame) -> DataFrame:
     return rows.withColumn("line", ruled).groupBy("doc_id", "table_idx").agg(F.expr("listagg(line, '\n') within group (order by row_idx) || '\n'").alias("pipe"))
 
 
-@F.pandas_udf(T.StringType())
-def first_object(replies: pd.Series) -> pd.Series:
-    """From the first brace to the one that closes it; braces in strings do not count."""
+def first_object(reply: Column) -> Column:
+    """From the first brace to the one that closes it; null where none does. Braces in quotes do not count, and a backslash,
+    wherever it stands, takes away the meaning of the next character."""
+    start = F.instr(reply, "{")
+    tail = F.substring(reply, start, F.lit(1 << 30))
+    pieces = F.regexp_extract_all(tail, F.lit(r"(?s)\\.|\\|[\"{}]|[^\\\"{}]+"), F.lit(0))
+    none = F.lit(None).cast("int")
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), none.alias("end"))
 
-    def cut(reply: str | None) -> str | None:
-        start = (reply or "").find("{")
-        depth, quoted, skip = 0, False, False
-        for at in range(start, len(reply or "")) if start >= 0 else ():
-            c = reply[at]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if depth == 0:
-                    return reply[start : at + 1]
-        return None
+    def step(s: Column, p: Column) -> Column:
+        brace = ~s["quoted"] & p.isin("{", "}")
+        depth = F.when(brace, s["depth"] + F.when(p == "{", 1).otherwise(-1)).otherwise(s["depth"])
+        at = s["at"] + F.length(p)
+        done = F.when(s["end"].isNotNull(), s["end"]).when(brace & (depth == 0), at)
+        return F.struct(depth.alias("depth"), F.when(p == '"', ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), at.alias("at"), done.alias("end"))
 
-    return replies.map(cut)
+    end = F.aggregate(pieces, begin, step)["end"]
+    return F.when(start > 0, F.when(end.isNotNull(), F.substring(tail, F.lit(1), end)))
+
+
+#: Where an object may be found in a reply, in the order in which it is sought.
+STAGES = ("whole", "fenced", "braces", "repaired", "failed")
 
 
 def parse_llm_json(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """The object that a reply holds, and the stage that found it: whole, fenced, braces or repaired; 'failed' rows keep null."""
-    body = first_object(F.col(reply))
-    tries = {"whole": F.col(reply), "fenced": F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1), "braces": F.col("_body"), "repaired": F.regexp_replace("_body", r",\s*([}\]])", "$1")}
-    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
-    out = replies.withColumn("_body", body)
-    stage = F.coalesce(*(F.when(is_object(c), name) for name, c in tries.items()), F.lit("failed"))
-    out = out.withColumn("parse_stage", stage)
-    found = F.coalesce(*(F.when(F.col("parse_stage") == name, c) for name, c in tries.items()))
-    return out.withColumn("object", found).drop("_body")
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    is_object = lambda c: F.coalesce(c.startswith("{") & F.try_parse_json(c).isNotNull(), F.lit(False))
+    tries = {
+        "whole": trimmed(F.col(reply)), "fenced": trimmed(F.regexp_extract(reply, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)),
+        "braces": F.col("_body"), "repaired": F.regexp_replace("_body", r",\s*([}\]])", "$1"),
+    }
+    found = F.coalesce(*(F.when(is_object(c), F.struct(F.lit(name).alias("stage"), c.alias("object"))) for name, c in tries.items()))
+    out = replies.withColumn("_body", first_object(F.col(reply))).withColumn("_found", found)
+    return out.withColumn("parse_stage", F.coalesce("_found.stage", F.lit("failed"))).withColumn("object", F.col("_found.object")).drop("_body", "_found")
+
+
+def parse_into(replies: DataFrame, folder: str, reply: str = "reply") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Parsed rows, failed rows, and how many replies each stage found: all from one pass, which writes the rows in two parts of the folder."""
+    seen = Observation()
+    counts = [F.count_if(F.col("parse_stage") == name).alias(name) for name in STAGES]
+    parsed = parse_llm_json(replies, reply).observe(seen, *counts).withColumn("failed", F.col("parse_stage") == "failed")
+    parsed.write.mode("overwrite").partitionBy("failed").parquet(folder)
+    rows = replies.sparkSession.read.schema(parsed.schema).parquet(folder)
+    return rows.where("not failed").drop("failed"), rows.where("failed").drop("failed"), {name: seen.get[name] for name in STAGES}
 
 
 def few_shot_block(table: DataFrame, key: str, n: int, complete: Column, example: Column) -> DataFrame:
@@ -228,6 +239,27 @@ def _replies(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", reply.alias("reply"))
 
 
+#: Replies with an object in many places or none, by the id modulo 13; the SQL is read by both engines.
+_HARD_REPLIES = """(CASE event_id % 13 WHEN 0 THEN props WHEN 1 THEN concat('Here:', chr(10), '```json', chr(10), props, chr(10), '```') WHEN 2 THEN concat('So: ', props, ' done') WHEN 3 THEN concat('So: ', replace(props, '}', ', }'))
+ WHEN 4 THEN 'none' WHEN 5 THEN concat('``` ', props, '  ``` and ```{}```') WHEN 6 THEN concat('a "q" {"s": "}{', chr(92), '"", "k": 5, "o": ', props, '} tail }') WHEN 7 THEN concat('see ', chr(92), '{ and ', props)
+ WHEN 8 THEN concat('[', props, ']') WHEN 9 THEN concat('  ', props, chr(10)) WHEN 10 THEN NULL WHEN 11 THEN concat(replace(props, '"', concat(chr(92), '"')), ' ', props) ELSE concat('{', chr(92), '"}', ' "', props) END)"""
+
+
+def _hard(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_HARD_REPLIES).alias("reply"))
+
+
+def _parsed_parts(s, d):
+    good, bad, _ = parse_into(_hard(s, d), f"{Scratch(s, 'replies').root}/parsed")
+    k = F.get_json_object("object", "$.k").cast("long").alias("k")
+    return good.select("event_id", "parse_stage", k).unionByName(bad.select("event_id", "parse_stage", k))
+
+
+def _parse_counts(s, d):
+    _, _, counts = parse_into(_hard(s, d), f"{Scratch(s, 'replies').root}/parsed")
+    return s.createDataFrame(list(counts.items()), "parse_stage string, replies long")
+
+
 def _sunk(s, d):
     folder = f"{Scratch(s, 'chunks').root}/collection"
     sink_chunks(_docs(s, d).select("doc_id", "source", "text"), folder)
@@ -252,6 +284,8 @@ QUERIES = {
     "chunk_sections": lambda s, d: chunk_overlap(chunk_documents(cleaning.noisy_texts(s, d).withColumn("source", F.lit("noisy")))).select("doc_id", "section", "chunk_index", "chunk_total", "strategy", F.md5("text").alias("md5")),
     "tables_to_pipe": lambda s, d: tables_to_pipe(_cells(s, d).withColumn("text", F.when(F.col("row_idx") % 2 == 1, F.concat("text", F.lit("|\n"), "text")).otherwise(F.col("text")))),
     "parse_llm_json": lambda s, d: parse_llm_json(_replies(s, d)).select("event_id", "parse_stage", F.get_json_object("object", "$.k").cast("long").alias("k")),
+    "parse_llm_json_hard": _parsed_parts,
+    "parse_llm_counts": _parse_counts,
     "few_shot_lines": lambda s, d: few_shot_block(reports.tasks(s, d), "user_id", 3, F.col("status") == "completed", F.concat(F.lit("Example "), F.col("id").cast("string"))),
     "validate_ranges": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS),
     "validation_route": lambda s, d: validate_ranges(s.read.parquet(f"{d}/part.parquet"), "p_partkey", _BOUNDS).select("p_partkey", validation_route(F.col("errors"), F.col("p_partkey") % 5).alias("route")),
@@ -261,7 +295,19 @@ _PARTS = "p AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(
 _CHUNKS = f"{_PARTS}, r AS (SELECT doc_id, k, 0 AS c, length(part) AS n FROM q WHERE k = 1 UNION ALL SELECT q.doc_id, q.k, CASE WHEN r.n + length(q.part) + 2 <= 700 THEN r.c ELSE r.c + 1 END, CASE WHEN r.n + length(q.part) + 2 <= 700 THEN r.n + length(q.part) + 2 ELSE length(q.part) END FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1), c AS (SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, string_agg(part, chr(10) || chr(10) ORDER BY k) AS text FROM r JOIN q USING (doc_id, k) GROUP BY ALL), t AS (SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_total, 'paragraph' AS strategy, text FROM c UNION ALL SELECT doc_id, NULL, NULL, NULL, replace(text, chr(10), chr(10) || chr(10)) FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) <= 700)"
 _CELLS = "l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r, l_partkey AS a, l_suppkey AS b FROM lineitem), cells AS (SELECT doc_id, 0 AS table_idx, r AS row_idx, 0 AS col_idx, CAST(a AS VARCHAR) AS text FROM l UNION ALL SELECT doc_id, 0, r, 1, CAST(b AS VARCHAR) FROM l)"
 _ERR = "e AS (SELECT p_partkey, concat_ws('; ', CASE WHEN p_size IS NULL THEN '[p_size] missing' WHEN p_size NOT BETWEEN 5 AND 40 THEN '[p_size] not in 5..40' END, CASE WHEN p_retailprice IS NULL THEN '[p_retailprice] missing' WHEN p_retailprice NOT BETWEEN 0 AND 1500 THEN '[p_retailprice] not in 0..1500' END) AS errors FROM part)"
+# DuckDB reads a comma before a closing bracket, which JSON does not have: such texts are left out by hand.
+_HARD = f"""
+WITH RECURSIVE e AS (SELECT event_id, {_HARD_REPLIES} AS reply FROM events), t AS (SELECT event_id, substr(reply, instr(reply, '{{')) AS tail FROM e WHERE instr(reply, '{{') > 0),
+w AS (SELECT event_id, tail, 0 AS i, 0 AS depth, false AS quoted, false AS skip, false AS done FROM t UNION ALL
+    SELECT event_id, tail, i + 1, CASE WHEN skip OR quoted THEN depth WHEN c = '{{' THEN depth + 1 WHEN c = '}}' THEN depth - 1 ELSE depth END, CASE WHEN NOT skip AND c = '"' THEN NOT quoted ELSE quoted END,
+           NOT skip AND c = chr(92), NOT skip AND NOT quoted AND c = '}}' AND depth = 1
+    FROM (SELECT *, substr(tail, i + 1, 1) AS c FROM w WHERE NOT done AND i < length(tail))),
+b AS (SELECT event_id, substr(tail, 1, i) AS body FROM w WHERE done),
+f AS (SELECT event_id, trim(reply, ' ' || chr(10)) AS a, trim(regexp_extract(reply, '(?s)```(?:json)?\\s*\\n?(.*?)\\n?\\s*```', 1), ' ' || chr(10)) AS c, body, regexp_replace(body, ',\\s*([}}\\]])', '\\1', 'g') AS r FROM e LEFT JOIN b USING (event_id)),
+s AS (SELECT event_id, list_filter([{{'s': 'whole', 'o': TRY_CAST(a AS JSON)}}, {{'s': 'fenced', 'o': TRY_CAST(c AS JSON)}}, {{'s': 'braces', 'o': TRY_CAST(body AS JSON)}}, {{'s': 'repaired', 'o': TRY_CAST(r AS JSON)}}], lambda x: json_type(x.o) = 'OBJECT' AND NOT regexp_matches(CAST(x.o AS VARCHAR), ',\\s*[}}\\]]'))[1] AS x FROM f)"""
 ORACLES = {
+    "parse_llm_json_hard": f"{_HARD} SELECT event_id, coalesce(x.s, 'failed') AS parse_stage, CAST(json_extract_string(x.o, '$.k') AS BIGINT) AS k FROM s",
+    "parse_llm_counts": f"{_HARD} SELECT n.parse_stage, count(event_id) AS replies FROM (SELECT unnest(['whole', 'fenced', 'braces', 'repaired', 'failed']) AS parse_stage) n LEFT JOIN s ON coalesce(x.s, 'failed') = n.parse_stage GROUP BY 1",
     "extract_title": f"WITH {lines.NOISY_SQL}, h AS (SELECT doc_id, pos, trim(regexp_replace(line, '^##', '#')) AS t FROM lines) SELECT doc_id, coalesce(min_by(trim(substr(t, 3)), pos) FILTER (t LIKE '# %'), '') AS title FROM h GROUP BY doc_id",
     "doc_features": r"WITH d AS (SELECT doc_id, coalesce(text || '" + _FORMULAS.replace(chr(10), "' || chr(10) || '") + r"', '') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?i)<table')) AS tables, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]*\)')) AS images, len(regexp_extract_all(t, '(?s)\$\$.*?\$\$')) AS blocks, len(regexp_extract_all(regexp_replace(t, '\$\$+', chr(1), 'g'), '\$[^$\x01]+\$')) AS inline FROM d",
     "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, chunk_total, strategy, md5(text) AS md5 FROM t",

@@ -102,7 +102,7 @@ def _append(s, d):
 
 
 def _resolve(s, d):
-    return _resolve_of(s, d, "event_id % 3 = 0")
+    return _resolve_of(s, d, "true")
 
 
 def _resolve_of(s, d, which):
@@ -157,7 +157,7 @@ QUERIES = {
 _CH = "c AS (SELECT doc_id, text, source, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 50 END AS k FROM documents), t AS (SELECT text, max(doc_id) AS i FROM c GROUP BY 1), p AS (SELECT source, k, max(doc_id) AS j FROM c WHERE k IS NOT NULL GROUP BY ALL)"
 ORACLES = {
     "append_chunks": "SELECT source, count(*) + count(*) FILTER (doc_id % 2 = 0) AS n FROM documents GROUP BY source",
-    "resolve_first_existing": "WITH f AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END) AS r FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT p_partkey AS id, CASE r WHEN 1 THEN 'pdf' WHEN 2 THEN 'md' WHEN 3 THEN 'txt' END AS ext FROM part LEFT JOIN f ON user_id = p_partkey",
+    "resolve_first_existing": "WITH f AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END) AS r FROM events GROUP BY 1) SELECT p_partkey AS id, CASE r WHEN 1 THEN 'pdf' WHEN 2 THEN 'md' WHEN 3 THEN 'txt' END AS ext FROM part LEFT JOIN f ON user_id = p_partkey",
     "resolve_first_existing_whole": "WITH f AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END) AS r FROM events GROUP BY 1) SELECT p_partkey AS id, CASE r WHEN 1 THEN 'pdf' WHEN 2 THEN 'md' WHEN 3 THEN 'txt' END AS ext FROM part LEFT JOIN f ON user_id = p_partkey",
     "coalesce_preview": "SELECT doc_id AS id, md5(CASE WHEN doc_id % 2 = 0 AND (doc_id % 5 = 0 OR coalesce(length(text), 0) <= 2000) THEN 'file ' || text WHEN doc_id % 5 <> 0 THEN text END) AS md5 FROM documents",
     "vector_hit_to_chunk": f"WITH {_CH} SELECT doc_id AS hit, coalesce(i, j) AS idx FROM c LEFT JOIN t ON t.text = CASE WHEN doc_id % 3 = 0 THEN c.text || '?' ELSE c.text END LEFT JOIN p ON p.source IS NOT DISTINCT FROM c.source AND p.k = c.k WHERE coalesce(i, j) IS NOT NULL",

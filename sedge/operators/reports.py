@@ -231,7 +231,7 @@ QUERIES = {
     "orphan_outputs": lambda s, d: orphans(_folders(s, d), tasks(s, d)).select("id", "bytes"),
     "cleanup_candidates": lambda s, d: cleanup_candidates(_folders(s, d), tasks(s, d), F.lit(_CUT).cast("timestamp_ntz")),
     "disk_usage": lambda s, d: _folders(s, d).agg(F.bround(F.sum(F.when(F.col("id") % 4 == 0, F.col("bytes"))) / 1048576, 2).alias("outputs_mb"), F.bround(F.sum(F.when(F.col("id") % 4 != 0, F.col("bytes"))) / 1048576, 2).alias("uploads_mb")).withColumn("total_mb", F.bround(F.col("outputs_mb") + F.col("uploads_mb"), 2)),
-    "session_message_counts": lambda s, d: session_message_counts(_sessions(s, d), _read(s, d, "conversations").where("role <> 'system' and conv_id % 3 <> 0")),
+    "session_message_counts": lambda s, d: session_message_counts(_sessions(s, d).unionByName(_read(s, d, "customer").select(F.col("c_custkey").alias("conv_id"))).distinct(), _read(s, d, "conversations").where("role <> 'system'")),
     "session_messages": lambda s, d: session_messages(_read(s, d, "conversations")).select("conv_id", "n", "turn", "role"),
     "session_message_counts_whole": lambda s, d: session_message_counts(_sessions(s, d).unionByName(_read(s, d, "customer").select(F.col("c_custkey").alias("conv_id"))).distinct(), _read(s, d, "conversations").where("role <> 'system'")),
     "cascade_delete_by_task": _deleted,
@@ -240,7 +240,7 @@ QUERIES = {
     "kb_registry_sync": _sync,
     "kb_stats": lambda s, d: kb_stats(_registry(s, d)),
     "chunks_per_source": lambda s, d: _read(s, d, "documents").select(F.concat(F.lit("data/raw/"), F.col("source"), F.lit(".md")).alias("path")).where("path <> ''").groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("name")).agg(F.count(F.lit(1)).alias("chunks")),
-    "messages_chronological": lambda s, d: _read(s, d, "conversations").orderBy("conv_id", "turn").limit(100).select("conv_id", "turn", "role"),
+    "messages_chronological": lambda s, d: _read(s, d, "conversations").orderBy("conv_id", "turn").select("conv_id", "turn", "role"),
     "sessions_by_recency": lambda s, d: _read(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("updated_at")).orderBy(F.desc("updated_at"), "id").offset(20).limit(20),
     "filter_supported_ext": lambda s, d: _file_names(s, d).withColumn("ext", F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))).withColumn("kept", F.col("ext").isin("pdf", "md", "txt")),
     "standard_id_from_filename": lambda s, d: _file_names(s, d).select("id", standard_id("file_name").alias("standard_id")),
@@ -262,7 +262,7 @@ ORACLES = {
     "orphan_outputs": f"WITH {TASKS_SQL}, {_FOLD} SELECT id, bytes FROM folders WHERE id NOT IN (SELECT id FROM tasks)",
     "cleanup_candidates": f"WITH {TASKS_SQL}, {_FOLD}, b AS (SELECT f.*, t.id IS NULL AS orphan, coalesce(CASE WHEN t.id IS NULL THEN mtime < TIMESTAMP '{_CUT}' ELSE status IN ('completed', 'failed', 'cancelled') AND created_at < TIMESTAMP '{_CUT}' END, false) AS del FROM folders f LEFT JOIN tasks t USING (id)) SELECT count(*) FILTER (del) AS deleted_count, round(coalesce(sum(bytes) FILTER (del), 0) / 1048576, 2) AS freed_mb, count(*) AS scanned_count, count(*) FILTER (orphan) AS orphaned_count FROM b",
     "disk_usage": f"WITH {_FOLD}, p AS (SELECT round_even(sum(bytes) FILTER (id % 4 = 0) / 1048576, 2) AS outputs_mb, round_even(sum(bytes) FILTER (id % 4 <> 0) / 1048576, 2) AS uploads_mb FROM folders) SELECT *, round_even(outputs_mb + uploads_mb, 2) AS total_mb FROM p",
-    "session_message_counts": "SELECT conv_id, count(*) FILTER (role <> 'system' AND conv_id % 3 <> 0) AS messages FROM conversations GROUP BY conv_id",
+    "session_message_counts": "WITH i AS (SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer) SELECT i.conv_id, count(role) AS messages FROM i LEFT JOIN (SELECT conv_id, role FROM conversations WHERE role <> 'system') USING (conv_id) GROUP BY 1",
     "session_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS n, turn, role FROM conversations",
     "session_message_counts_whole": "WITH i AS (SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer) SELECT i.conv_id, count(role) AS messages FROM i LEFT JOIN (SELECT conv_id, role FROM conversations WHERE role <> 'system') USING (conv_id) GROUP BY 1",
     "cascade_delete_by_task": "SELECT conv_id, conv_id % 7 AS task, count(*) AS n_messages FROM conversations WHERE conv_id % 7 NOT IN (0, 1) GROUP BY ALL",
@@ -274,7 +274,7 @@ SELECT wanted, level, template_id FROM (SELECT wanted, level, id AS template_id,
     "kb_registry_sync": f"WITH {_REG}, named AS (SELECT {_NAMED} AS source, chunk_count, status FROM reg), f AS (SELECT source FROM named WHERE source LIKE '%.md' AND chunk_count IS NOT NULL UNION ALL SELECT 'new.md'), c AS (SELECT {_NAMED} AS source, count(*) AS n FROM (SELECT 'Supplier#' || lpad(regexp_extract(source, '[0-9]+'), 9, '0') AS source FROM documents) GROUP BY 1), p AS (SELECT f.source, coalesce(n, 0) AS fresh FROM f LEFT JOIN c USING (source)) SELECT coalesce(named.source, p.source) AS source, CASE WHEN fresh IS NOT NULL THEN fresh ELSE chunk_count END AS chunk_count, CASE WHEN fresh IS NOT NULL THEN 'indexed' ELSE status END AS status FROM named FULL OUTER JOIN p ON p.source = named.source",
     "kb_stats": f"WITH {_REG} SELECT count(*) AS total, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'pending') AS pending, CAST(coalesce(sum(coalesce(chunk_count, 0)), 0) AS BIGINT) AS chunks FROM reg",
     "chunks_per_source": "SELECT source || '.md' AS name, count(*) AS chunks FROM documents GROUP BY 1",
-    "messages_chronological": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100",
+    "messages_chronological": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn",
     "sessions_by_recency": "SELECT user_id AS id, max(ts) AS updated_at FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 20",
     "filter_supported_ext": rf"WITH {_FILES}, e AS (SELECT *, lower(regexp_extract(file_name, '\.([^.]+)$', 1)) AS ext FROM files) SELECT *, ext IN ('pdf', 'md', 'txt') AS kept FROM e",
     "standard_id_from_filename": rf"WITH {_FILES} SELECT id, CASE WHEN regexp_matches(file_name, '(?i)gbt[_-]\d+[_-]\d{{4}}') THEN 'GB/T ' || regexp_extract(file_name, '(?i)gbt[_-](\d+)[_-](\d{{4}})', 1) || '-' || regexp_extract(file_name, '(?i)gbt[_-](\d+)[_-](\d{{4}})', 2) WHEN regexp_matches(file_name, '(?i)gb[_-]\d+') THEN 'GB ' || regexp_extract(file_name, '(?i)gb[_-](\d+)', 1) ELSE file_name END AS standard_id FROM files",
