@@ -51,14 +51,18 @@ def asking(asked: DataFrame) -> DataFrame:
     return asked.where(F.regexp_replace("text", r"(?U)\s+", "") != "")
 
 
-def idf_table(terms: DataFrame, n: int) -> DataFrame:
-    """term, df, idf; a negative idf becomes a share of the mean."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def weighted(df: DataFrame, n: int) -> DataFrame:
+    """term, df, idf of n chunks; a negative idf becomes a share of the mean."""
     raw = df.withColumn("raw", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def idf_table(terms: DataFrame, n: int) -> DataFrame:
+    """term, df, idf from postings."""
+    return weighted(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+
+
 def posting_stats(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, tf, doc_len and avgdl of every posting; null texts have no postings and count with length 0."""
     cut = chunks.select("chunk_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
