@@ -13,7 +13,8 @@
 5. Shingles that the sketch gives to more than a thousandth of all documents are hot. Their postings are dealt by
    shingle, size band and a salt; what they are to meet is repeated for the salts and the neighbouring bands.
 
-Verification compares whole sets. Links are shingle-exact up to collisions of 64-bit hashes within one pair.
+Verification compares whole sets. Links are shingle-exact up to chance collisions of 64-bit hashes within one pair (for
+10,000 shingles on a side about one in 10**11); words are hashed as wholes, so that none collide by their structure.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sedge.llm.sampling import id_and_text
@@ -37,22 +40,20 @@ ROUNDS = (2, 32, None)
 #: Tasks over which one size band of a hot shingle is dealt.
 SALTS = 16
 
-_PRIME, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
-#: Bytes hashed at once, but for a longer text.
-_AT_ONCE = 1 << 19
-_powers: dict[str, np.ndarray] = {}
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes hashed at once, but for a longer text; and words whose hashes a worker remembers.
+_AT_ONCE, _REMEMBERED = 1 << 19, 1 << 20
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * _AT_ONCE)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, np.uint64(base))
-                steps[0] = 1
-                _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+class _Hashes(dict):
+    """64-bit hashes of words. No arithmetic of their letters is kept, so no two words are bound to collide, whatever they repeat."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word, seed=0x5ED9E)
+        return found
+
+
+_hashes = _Hashes()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -61,20 +62,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(raw: list[bytes], n: int) -> list[np.ndarray]:
-    """Shingle sets of lower-cased texts: words are hashed by differences of running sums over all bytes at once."""
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    first = np.flatnonzero(~space & before)
-    past = np.flatnonzero(space & ~before)
-    up, down = _tables(len(data))
+    """Shingle sets of lower-cased texts."""
+    if len(_hashes) > _REMEMBERED:
+        _hashes.clear()
+    split = [r.split() for r in raw]
+    edges = np.cumsum([0, *map(len, split)])
+    words = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(edges[-1]))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        words = _mixed((sums[past] - sums[first]) * down[first])
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        edges = np.searchsorted(first, np.concatenate([[0], ends]))
         whole = np.full(max(len(words) - n + 1, 0), np.uint64(n))
         for k in range(n if len(whole) else 0):
             whole = _mixed(whole ^ words[k : k + len(whole)])
@@ -184,7 +178,6 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node reachable. Large-star and small-star in turns;
     a hub's neighbours are only ever reduced to their minimum, and every turn is written out."""
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
         # Large-star: a node's larger neighbours point to its smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -198,14 +191,15 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
             .where("u <> v").distinct()
         )
         after = scratch.keep(starred, "stars")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
         edges = after
-        if state == before:
+        # Done when every node points to one other, and that one to none: a turn that changes nothing need not be taken.
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(after.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ = ends.groupBy("x").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or (out = 1 and into > 0)")
+        if open_.isEmpty():
             stars = edges.toDF("node", "root")
             stars._sedge_path, stars._sedge_table = edges._sedge_path, None
             return stars
-        before = state
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, rounds: tuple = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,16 +255,19 @@ def similar_documents(spark: SparkSession, docs: DataFrame, percent: int = PERCE
             yield pd.DataFrame({"cls": batch["_id"], "s": [s.tobytes() for s in shingle_sets_of(batch["_text"].tolist(), words)]})
 
     full = scratch.keep_joined(base, "_id", wanted, "cls", lambda f: f.select("_id", "_text").mapInPandas(whole, "cls long, s binary"), "whole")
-    found = _search(scratch, postings, hot, full, members, percent, rounds)
+    found = None if postings.isEmpty() and hot.isEmpty() else _search(scratch, postings, hot, full, members, percent, rounds)
     scratch.drop(postings, hot)
     if not alone:
         # Classes of one group meet each other, each group being a posting of its own.
         inside = members.select(F.col("grp").alias("token"), F.col("cls").alias("grp"), "n", F.lit(0).alias("pos"), (F.col("k") > many).alias("hot"))
         inside = scratch.keep(inside, "inside")
-        found = found.unionByName(_search(scratch, inside.where("not hot").drop("hot"), inside.where("hot").drop("hot"), full, None, percent, rounds))
+        within = _search(scratch, inside.where("not hot").drop("hot"), inside.where("hot").drop("hot"), full, None, percent, rounds)
+        found = within if found is None else found.unionByName(within)
     scratch.drop(full)
-    stars = connected(found, scratch)
-    by_class = named.join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"), "docs")
+    by_class = named.select("set_key", F.col("cls").alias("component_id"), "docs")
+    if found is not None and not found.isEmpty():
+        stars = connected(found, scratch)
+        by_class = named.join(stars.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component_id"), "docs")
     by_class = scratch.keep(by_class, "components")
     none = sets.where("n = 0").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     some = join_hot(sets.where("n > 0"), by_class, "set_key", F.col("docs") > many).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -295,6 +292,8 @@ def _search(scratch: Scratch, cold: DataFrame, hot: DataFrame, full: DataFrame,
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested).hint("merge"), ["x", "y"], "left_anti")
         pairs = scratch.keep(pairs, "pairs", sweep=True)
+        if pairs.isEmpty():
+            continue
         fresh = scratch.keep(_verified(pairs, full, groups, percent), "links", sweep=True)
         found.append(fresh.select("a", "b"))
         tested.append(pairs)
@@ -312,7 +311,7 @@ def _search(scratch: Scratch, cold: DataFrame, hot: DataFrame, full: DataFrame,
         roots = scratch.keep(nodes.join(stars.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
         scratch.drop(before, stars)
     scratch.drop(nodes, roots, *tested)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else scratch.spark.createDataFrame([], "a long, b long")
 
 
 def _pairs(postings: DataFrame, roots: DataFrame, pivots: int | None, percent: int, draw: int, salts: int = 0) -> DataFrame:

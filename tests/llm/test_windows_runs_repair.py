@@ -205,3 +205,18 @@ def test_passes_meet_only_constants():
     for cut in range(1, 199, 7):
         part = repair.vectors(steps, codes[:cut], tuple(whole[cut]))
         assert part == whole[: cut + 1]
+
+
+# --- similar documents: words that differ everywhere -------------------------------------------------------------------
+
+
+def test_words_of_structure_do_not_collide(spark):
+    """A word along the Thue-Morse sequence and its complement agree under any sum of powers modulo 2**64."""
+    from sedge.llm import similar
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"one two three four {w} six" for w in (word, other, word)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts, 1)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(spark, frame).collect()} == {1: 1, 2: 2, 3: 1}
+    assert similar.similar_documents(spark, frame.where("false")).count() == 0
