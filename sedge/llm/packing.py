@@ -108,9 +108,11 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as f:
-            self.engine = merge_engine(json.load(f))
+            file = json.load(f)
+        self.engine = merge_engine(file)
+        #: Strings that the tokenizer takes out of a text before all else: a text with one is left to it.
+        self.added = [t["content"] for t in file.get("added_tokens", ())]
         self.kept: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -131,7 +133,7 @@ class WordIds:
         """Null is empty."""
         if not text:
             return b""
-        if self.engine is None:
+        if self.engine is None or any(t in text for t in self.added):
             return self.whole(text)
         if not _odd.search(text):
             return self.plain(text)

@@ -305,7 +305,6 @@ def test_quality(spark, odd, none):
 # 6
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -328,10 +327,13 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none, path).count() == 0
     strange = "It's a t'est's. x'., ÀÉ. 12,3!! <|endoftext|>. İ. \x1c a\x85b ǅ."
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     own = packing.WordIds(path)
     whole = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    assert own.engine is not None and own.encode(strange) == whole(strange)
+    assert own.engine is not None
+    # The file's added tokens are taken out of a text first, in their own spelling only.
+    for text in (strange, strange.replace("<|endoftext|>", "x"), "x <|endoftext|> y", "<|startoftext|><|endoftext|>", "a<|ENDOFTEXT|>b", "中 <|endoftext|>é"):
+        assert own.encode(text) == whole(text)
+    assert 49407 in np.frombuffer(own.encode("x <|endoftext|> y"), "<u4")
     rng = random.Random(6)
     vocabulary = [w.replace("</w>", " ") for w in tokenizer.get_vocab()]
     signs = [chr(c) for c in range(0x130)] + list(" \u3000éÉßİıſ中文😀\u0300\u0301\u0308\xad'''''\n\x1c\x85\xa0²½Σςﬁ")
