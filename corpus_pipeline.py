@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again by the next."""
+    """All stages over documents; each is written and read again by the next, and then goes, but for the last."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            scratch.drop(written)
+        written = docs
     return docs
