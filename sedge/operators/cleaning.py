@@ -1,4 +1,4 @@
-"""Counted cleaning rules over whole texts, in their order, with tables protected: expressions only, no shuffle.
+"""Counted cleaning rules over whole texts, in their order, with tables protected: expressions only.
 
 Each rule takes a text column and gives (new text, count). Only the missing images need a join, of the texts that have
 image marks with the inventory of paths.
@@ -11,16 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sedge.operators import lines as L
+from sedge.workspace import Scratch, spread
 
 #: Marks, ends of sentences, beginnings that are never joined, and log lines (fixed values).
 IMAGE_MISSING, FORMULA_IMAGE, PLACEHOLDER = "[IMAGE_MISSING]", "[FORMULA_IMAGE]", "@@TABLE_PLACEHOLDER_{}@@"
-ENDS = r"[。？！.?!:：;；]$"
-NO_JOIN = r"(?U)^([#\-*+>|<]|\d+\.)"
+ENDS = "。？！.?!:：;；"
+NO_JOIN = r"[#\-*+>|<]|\d+\."
 TABLE, IMAGE = r"(?is)<table[\s>].*?</table>", r"!\[([^\]]*)\]\(([^)]+)\)"
 LOGS = {
     "fullwidth": ("全角字符转半角: ", " 处"), "spaces": ("多余空格清理: ", " 处"), "line_breaks": ("OCR 断行修复: ", " 处"), "headings": ("标题格式统一: ", " 处"),
     "latex": ("LaTeX 公式修复: ", " 处"), "missing_images": ("图片路径校验: ", " 个失效图片"), "garbled": ("乱码字符清理: ", " 处"), "lists": ("列表格式修复: ", " 处"),
 }
+#: White space within a line, for patterns with (?U).
+BLANK = r"[^\S\n]"
 #: Misread formula commands and what they stand for (fixed values).
 LATEX = (
     (r"\\intt", r"\int"), (r"\\intl", r"\int"), (r"\\summ", r"\sum"), (r"\\suM", r"\sum"), (r"\\limm", r"\lim"), (r"\\Iim", r"\lim"), (r"\\fraC", r"\frac"),
@@ -29,14 +32,14 @@ LATEX = (
 DROPPED = r"\nonumber"
 
 
-def lines_of(text: Column) -> Column:
-    """Lines at all line ends that Unicode text knows; an end after the last line makes no line of its own."""
-    one = F.regexp_replace(F.regexp_replace(text, r"\r\n|[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]", "\n"), r"\n\z", "")
-    return F.split(one, "\n", -1)
+def one_line_end(text: Column) -> Column:
+    """The text with \\n for all line ends that Unicode text knows; an end after the last line goes."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n|[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]", "\n"), r"\n\z", "")
 
 
-def _left(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+", "")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # Lambdas see single elements only: an array named inside one would be made anew for each element.
@@ -65,40 +68,43 @@ def fullwidth(text: Column) -> tuple[Column, Column]:
 
 
 def spaces(text: Column) -> tuple[Column, Column]:
-    """Runs of spaces after a line's indent become one, but in fenced code and headings; a line counts once."""
-    lines = lines_of(text)
-    fence = lambda line: L.stripped(line).startswith("```")
-    # One sign a line: whether it is a fence or inside one.
-    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("signs"))
-    step = lambda acc, line: F.struct((acc["inside"] != fence(line)).alias("inside"), F.concat(acc["signs"], F.when(fence(line) | acc["inside"], "f").otherwise("-")).alias("signs"))
-    signs = F.split(F.aggregate(lines, start, step)["signs"], "")
-    new = F.zip_with(lines, signs, lambda line, sign: F.when((sign == "f") | L.stripped(line).startswith("#"), line).otherwise(F.concat(F.regexp_extract(line, r"(?U)^(\s*)", 1), F.regexp_replace(_left(line), " {2,}", " "))))
-    changed = F.size(F.filter(F.zip_with(lines, new, lambda a, b: a != b), lambda c: c))
-    return F.array_join(new, "\n"), changed
+    """Runs of spaces after a line's indent become one, but in fenced code and headings; a line counts once.
 
+    The text is cut at its fence lines; every other part lies in fenced code.
+    """
+    fence = rf"(?mdU)^{BLANK}*```.*"
+    # A line's indent, and the rest of a heading, is taken whole, so the second branch meets runs behind it only.
+    runs, lines = rf"(?mdU)(^{BLANK}*+(?:#.*)?)|( ) +", rf"(?mdU)^{BLANK}*+(?!#).*? {{2}}.*"
 
-def line_breaks(text: Column) -> tuple[Column, Column]:
-    """A line that ends no sentence joined to the next, unless that is blank or begins a block; pairs from the top, outside fenced code."""
-    lines = lines_of(text)
-    pairs = F.zip_with(lines, F.slice(lines, 2, 1 << 30), lambda line, after: F.struct(line.alias("line"), after.alias("after")))
+    def cleaned(one: Column) -> Column:
+        outside = lambda part, i: F.when(i % 2 == 0, F.struct(F.regexp_replace(part, runs, "$1$2").alias("t"), F.regexp_count(part, F.lit(lines)).alias("n"))).otherwise(F.struct(part.alias("t"), F.lit(0).alias("n")))
+        parts = F.transform(F.split(one, fence, -1), outside)
+        marks = F.regexp_extract_all(one, F.lit(fence), F.lit(0))
+        return bound(parts, lambda x: F.struct(
+            F.array_join(F.zip_with(x["t"], marks, lambda part, mark: F.concat(part, F.coalesce(mark, F.lit("")))), "").alias("t"),
+            F.aggregate(x["n"], F.lit(0), lambda total, n: total + n).alias("n"),
+        ))
+
+    done = bound(one_line_end(text), cleaned)
+    return done["t"], done["n"]
 
-    def kind(x: Column) -> Column:
-        line, after = x["line"], L.stripped(x["after"])
-        opens = x["after"].isNotNull() & ~F.regexp_replace(line, r"(?U)\s+$", "").rlike(ENDS) & (after != "") & ~after.rlike(NO_JOIN)
-        return F.when(L.stripped(line).startswith("```"), "f").when(L.stripped(line) == "", "b").when(F.coalesce(opens, F.lit(False)), "o").otherwise("-")
 
-    kinds = F.transform(pairs, kind)
-    start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("taken"), F.lit("").alias("signs"))
+def line_breaks(text: Column) -> tuple[Column, Column]:
+    """A line that ends no sentence joined to the next, unless that is blank or begins a block; pairs from the top, outside fenced code.
+
+    One scan from the top: at each line either fenced code is taken whole or a pair is joined. A fence that was joined
+    to the line before it opens nothing.
+    """
+    fence = rf"{BLANK}*```[^\n]*+"
+    code = rf"^{fence}(?:(?s:.*?)\n{fence}|(?s:.*))"
+    pair = rf"^(?!{BLANK}*```)(.*[^\s{ENDS}]){BLANK}*\n{BLANK}*(?!{NO_JOIN})(\S.*)"
+    count = lambda x: F.regexp_count(x, F.lit("\n"))
 
-    def step(acc: Column, kind: Column) -> Column:
-        joins = ~acc["taken"] & ~acc["inside"] & (kind == "o")
-        sign = F.when(acc["taken"], "x").when(joins, "j").otherwise("-")
-        return F.struct((acc["inside"] != (~acc["taken"] & (kind == "f"))).alias("inside"), joins.alias("taken"), F.concat(acc["signs"], sign).alias("signs"))
+    def joined(one: Column) -> Column:
+        return bound(F.regexp_replace(one, f"(?mdU)({code})|{pair}", "$1$2$3"), lambda new: F.struct(new.alias("t"), (count(one) - count(new)).alias("n")))
 
-    signs = F.split(F.aggregate(kinds, start, step)["signs"], "")
-    both = F.filter(F.zip_with(pairs, signs, lambda x, sign: F.struct(x["line"].alias("line"), x["after"].alias("after"), sign.alias("sign"))), lambda x: x["sign"] != "x")
-    out = F.transform(both, lambda x: F.when(x["sign"] == "j", F.concat(F.regexp_replace(x["line"], r"(?U)\s+$", ""), _left(x["after"]))).otherwise(x["line"]))
-    return F.array_join(out, "\n"), F.size(F.filter(signs, lambda s: s == "j"))
+    done = bound(one_line_end(text), joined)
+    return done["t"], done["n"]
 
 
 def headings(text: Column) -> tuple[Column, Column]:
@@ -112,27 +118,33 @@ def _fixed(formula: Column) -> Column:
     return F.replace(F.regexp_replace(formula, r"\\tag\{[^}]*\}", ""), F.lit(DROPPED), F.lit(""))
 
 
-def _fixed_formulas(text: Column, pattern: str, mark: str) -> tuple[Column, Column]:
+def _fixed_formulas(text: Column, pattern: str, mark: str) -> Column:
+    """(t, n): the text with its wrong formulas replaced, and their number."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    wrong = F.filter(F.arrays_zip(whole.alias("w"), inner.alias("f")), lambda x: (L.stripped(x["f"]) != "") & (_fixed(x["f"]) != x["f"]))
-    return F.aggregate(wrong, text, lambda acc, x: F.replace(acc, x["w"], F.concat(F.lit(mark), _fixed(x["f"]), F.lit(mark)))), F.size(wrong)
+    pairs = F.zip_with(whole, inner, lambda w, f: F.struct(w.alias("w"), f.alias("f"), _fixed(f).alias("new")))
+    wrong = F.filter(pairs, lambda x: (x["new"] != x["f"]) & (L.stripped(x["f"]) != ""))
+    put = lambda acc, x: F.replace(acc, x["w"], F.concat(F.lit(mark), x["new"], F.lit(mark)))
+    return bound(wrong, lambda x: F.struct(F.aggregate(x, text, put).alias("t"), F.size(x).alias("n")))
 
 
 def latex(text: Column) -> tuple[Column, Column]:
     """Misread commands of block formulas, then of inline ones, and what they may not hold; a formula counts once."""
-    blocks, n = _fixed_formulas(text, r"(?s)\$\$(.*?)\$\$", "$$")
-    inline, m = _fixed_formulas(blocks, r"(?s)(?<!\$)\$(?!\$)(.*?)(?<!\$)\$(?!\$)", "$")
-    return inline, n + m
+    inline = r"(?s)(?<!\$)\$(?!\$)(.*?)(?<!\$)\$(?!\$)"
+    both = lambda b: bound(_fixed_formulas(b["t"], inline, "$"), lambda i: F.struct(i["t"].alias("t"), (b["n"] + i["n"]).alias("n")))
+    done = bound(_fixed_formulas(text, r"(?s)\$\$(.*?)\$\$", "$$"), both)
+    return done["t"], done["n"]
 
 
 def missing_images(text: Column, missing: Column) -> tuple[Column, Column]:
     """Image marks whose path is among the missing ones lose it; counted."""
     whole, alt, path = (F.regexp_extract_all(text, F.lit(IMAGE), F.lit(g)) for g in (0, 1, 2))
-    gone = F.transform(path, lambda p: F.coalesce(F.array_contains(missing, p), F.lit(False)))
     bare = F.transform(alt, lambda a: F.concat(F.lit("!["), a, F.lit(f"]({IMAGE_MISSING})")))
-    put = F.transform(F.arrays_zip(gone.alias("gone"), bare.alias("bare"), whole.alias("whole")), lambda x: F.when(x["gone"], x["bare"]).otherwise(x["whole"]))
-    return _interleaved(text, IMAGE, put), F.size(F.filter(gone, lambda g: g))
+    # A path is missing: its mark in short, else null.
+    gone = F.zip_with(path, bare, lambda p, b: F.when(F.array_contains(missing, p), b))
+    put = lambda g: F.zip_with(g, whole, lambda b, w: F.coalesce(b, w))
+    done = bound(gone, lambda g: F.struct(_interleaved(text, IMAGE, put(g)).alias("t"), F.size(F.array_compact(g)).alias("n")))
+    return done["t"], done["n"]
 
 
 def garbled(text: Column) -> tuple[Column, Column]:
@@ -150,36 +162,51 @@ def lists(text: Column) -> tuple[Column, Column]:
 RULES = {"fullwidth": fullwidth, "spaces": spaces, "line_breaks": line_breaks, "headings": headings, "latex": latex, "missing_images": missing_images, "garbled": garbled, "lists": lists}
 
 
-def missing_paths(docs: DataFrame, inventory: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, missing): for each document with image marks, their paths that the inventory (path) does not hold."""
-    asked = docs.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(IMAGE), F.lit(2)))).alias("path"))
+def paths_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)))
+
+
+def missing_paths(docs: DataFrame, inventory: DataFrame, id_col: str = "doc_id", paths_col: str = "paths") -> DataFrame:
+    """(id, missing): for each document with image paths, those that the inventory (path) does not hold."""
+    asked = docs.select(id_col, F.explode(paths_col).alias("path"))
     gone = asked.join(inventory.select("path").distinct().hint("merge"), "path", "left_anti")
     return gone.groupBy(id_col).agg(F.array_sort(F.collect_list("path")).alias("missing"))  # one document's paths
 
 
+def with_missing(docs: DataFrame, inventory: DataFrame, id_col: str = "doc_id", paths_col: str = "paths") -> DataFrame:
+    """The documents with their missing paths; only those that have image paths meet the inventory and are moved."""
+    gone = missing_paths(docs, inventory, id_col, paths_col)
+    some = docs.where(F.size(paths_col) > 0).join(gone.hint("merge"), id_col, "left")
+    nothing = F.array().cast("array<string>")
+    rest = docs.where(F.coalesce(F.size(paths_col) == 0, F.lit(True))).withColumn("missing", nothing)
+    return some.withColumn("missing", F.coalesce("missing", nothing)).unionByName(rest).drop(paths_col)
+
+
+def _apply(rows: DataFrame, rule: str, new: Column, n: Column) -> DataFrame:
+    # The counts of a null text are null.
+    rows = rows.withColumn("_r", F.struct(new.alias("t"), n.alias("n")))
+    return rows.withColumn("_t", F.col("_r.t")).withColumn(f"n_{rule}", F.when(F.col("_t").isNotNull(), F.col("_r.n"))).drop("_r")
+
+
 def clean_documents(docs: DataFrame, inventory: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document cleaned by all rules in order, its tables left as they are: id, text, n_<rule> for each rule, log, and
     the counts images_missing, formulas_preserved and ocr_issues.
 
     A rule that changes nothing leaves no line in the log; ocr_issues is the number of its lines. A null text stays null
-    with null counts. Without an inventory no image is held to be missing. Ids are unique.
+    with null counts. Without an inventory no image is held to be missing, and nothing is written or moved. With one, the
+    texts are written once before the images are looked up, so that no rule runs twice. Ids are unique.
     """
-    rows = docs.select(id_col, F.col(text_col).alias("_t"))
+    rows = spread(docs.select(id_col, F.col(text_col).alias("_t")))
     protected, tables = protect_tables(F.col("_t"))
     rows = rows.withColumn("_tables", tables).withColumn("_t", protected)
     for rule in RULES:
-        if rule == "missing_images":
-            if inventory is None:
-                rows = rows.withColumn("n_missing_images", F.when(F.col("_t").isNotNull(), 0))
-                continue
-            gone = missing_paths(rows, inventory, id_col, "_t")
-            rows = rows.join(gone.hint("merge"), id_col, "left")
-            new, n = missing_images(F.col("_t"), F.coalesce("missing", F.array().cast("array<string>")))
-            rows = rows.withColumn("_r", F.struct(new.alias("t"), n.alias("n"))).drop("missing")
+        if rule != "missing_images":
+            rows = _apply(rows, rule, *RULES[rule](F.col("_t")))
+        elif inventory is None:
+            rows = rows.withColumn("n_missing_images", F.when(F.col("_t").isNotNull(), 0))
         else:
-            new, n = RULES[rule](F.col("_t"))
-            rows = rows.withColumn("_r", F.struct(new.alias("t"), n.alias("n")))
-        rows = rows.withColumn("_t", F.col("_r.t")).withColumn(f"n_{rule}", F.when(F.col("_t").isNotNull(), F.col("_r.n"))).drop("_r")
+            kept = Scratch(docs.sparkSession, "cleaning").keep(rows.withColumn("_paths", paths_of(F.col("_t"))), "repaired")
+            rows = _apply(with_missing(kept, inventory, id_col, "_paths"), rule, *missing_images(F.col("_t"), F.col("missing"))).drop("missing")
     log = F.filter(F.array(*(F.when(F.col(f"n_{r}") > 0, F.concat(F.lit(a), F.col(f"n_{r}").cast("string"), F.lit(b))) for r, (a, b) in LOGS.items())), lambda x: x.isNotNull())
     rows = rows.withColumn("text", restore_tables(F.col("_t"), F.col("_tables"))).withColumn("log", log)
     literal = lambda mark: F.regexp_count("text", F.lit("\\Q" + mark + "\\E"))
@@ -204,11 +231,12 @@ def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = "abc0123456789"
         line = F.when(p % 5 == 1, F.replace(line, F.lit(" "), F.lit("  "))).when(p % 5 == 3, F.translate(line, wide, L._fold(wide))).otherwise(line)
         for m, r, where, text in PLANTS:
-            new = F.lit(text) if where == "set" else F.concat(F.lit(text), line) if where == "before" else F.concat(line, F.lit(text))
-            line = F.when(p % m == r, new).otherwise(line)
-        return F.when(p % 4 == 3, F.concat(line, F.lit("\n"))).otherwise(line)
+            here = F.when(p % m == r, F.lit(text))
+            put = F.coalesce(here, F.lit(""))
+            line = F.coalesce(here, line) if where == "set" else F.concat(put, line) if where == "before" else F.concat(line, put)
+        return F.concat(line, F.when(p % 4 == 3, "\n").otherwise(""))
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), spoilt), "\n").alias("text"))
 
 
@@ -225,9 +253,8 @@ def _rule(name):
 
 
 def _images(spark, sf_dir):
-    docs = noisy_texts(spark, sf_dir)
-    docs = docs.join(missing_paths(docs, inventory(spark)).hint("merge"), "doc_id", "left")
-    return _digest(docs, *missing_images(F.col("text"), F.coalesce("missing", F.array().cast("array<string>"))))
+    docs = Scratch(spark, "images").keep(noisy_texts(spark, sf_dir).withColumn("paths", paths_of(F.col("text"))), "texts")
+    return _digest(with_missing(docs, inventory(spark)), *missing_images(F.col("text"), F.col("missing")))
 
 
 def _pipeline(spark, sf_dir):
