@@ -4,7 +4,8 @@ Template and text are compared as words. Words that occur once in both are ancho
 subsequence of their places keeps those in order, and the gaps between them are aligned the same way; a gap without
 such a word is aligned by its longest common subsequence. Coverage is the share of the template's words that are
 aligned. Only stretches of a text that hold enough of a template's words to reach the coverage asked for are aligned
-at all, so long texts without a license cost one pass over their words.
+at all, so long texts without a license cost one pass over their words. A stretch may hold other words than the
+template's, in one gap or in many: at most `foreign` for each word of the template.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from sedge.llm.sampling import id_and_text
 from sedge.workspace import small_batches
 
 COVERAGE = 0.8
+#: Other words that a stretch may hold, for each word of its template.
+FOREIGN = 8
 
 #: Notices by which a license is declared, in the words of the public license texts.
 TEMPLATES = {
@@ -138,8 +141,14 @@ def _apart(found: Iterable[tuple], key: Callable[[tuple], tuple]) -> list[tuple]
     return kept
 
 
+def _worth(aligned: int, extent: int) -> int:
+    """An aligned word weighs as much as a little over three others: three words between any two are borne, a second copy is not taken in."""
+    return 10 * aligned - 3 * (extent - aligned)
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, foreign: int = FOREIGN):
+        self.foreign = foreign
         self.templates = {k: words_of(t) for k, t in templates.items()}
         self.counts = {k: Counter(t) for k, t in self.templates.items()}
         self.need = {k: max(1, math.ceil(coverage * len(t) - 1e-9)) for k, t in self.templates.items()}
@@ -152,9 +161,8 @@ class Scanner:
         found = []
         for name, own in self.counts.items():
             if sum(n for w, n in own.items() if w in held) >= self.need[name]:
-                # Of one template's stretches the one aligned most closely stays: a longer one may mix in the copy behind.
-                size = len(self.templates[name])
-                found += _apart(self._stretches(name, words), lambda f, size=size: (-f[4] / max(size, f[3] - f[2]), -f[4], f[2]))
+                # Of one template's stretches the one of most worth stays: a longer one may mix in the copy behind.
+                found += _apart(self._stretches(name, words), lambda f: (-_worth(f[4], f[3] - f[2]), -f[4], f[2]))
         # Of stretches that overlap, the one that aligns the most words stays; of equals the better covered, then by name.
         return [f[:4] for f in _apart(found, lambda f: (-f[4], -f[1], f[0], f[2]))]
 
@@ -162,7 +170,10 @@ class Scanner:
         """Stretches of a text that align enough of one template, with the number of aligned words."""
         template, own, need = self.templates[name], self.counts[name], self.need[name]
         size = len(template)
-        reach = size + size // 4 + 2
+        most = size * (1 + self.foreign)
+        lengths = [size, size + size // 4 + 2]
+        while lengths[-1] < most:
+            lengths.append(min(2 * lengths[-1], most))
         # At most size - need words are missing, so the first aligned word is one of these.
         starts = set(template[: size - need + 1])
         places = [k for k, w in enumerate(words) if w in own]
@@ -170,15 +181,15 @@ class Scanner:
         for n, k in enumerate(places):
             if k < done or words[k] not in starts:
                 continue
-            inside = places[n : bisect_left(places, k + 2 * reach, n)]
+            inside = places[n : bisect_left(places, k + lengths[-1], n)]
             if len(inside) < need or sum(min(c, own[w]) for w, c in Counter(words[j] for j in inside).items()) < need:
                 continue
-            best, dense = [], 0.0
-            for length in (size, reach, 2 * reach):
+            best, worth = [], 0
+            for length in lengths:
                 pairs = align(template, words[k : k + length])
-                if len(pairs) >= need and len(pairs) / max(size, pairs[-1][1] - pairs[0][1] + 1) > dense:
-                    best, dense = pairs, len(pairs) / max(size, pairs[-1][1] - pairs[0][1] + 1)
-                if len(best) == size:
+                if len(pairs) >= need and (not best or _worth(len(pairs), pairs[-1][1] - pairs[0][1] + 1) > worth):
+                    best, worth = pairs, _worth(len(pairs), pairs[-1][1] - pairs[0][1] + 1)
+                if len(best) == size or k + length >= len(words):
                     break
             if best:
                 first, last = k + best[0][1], k + best[-1][1] + 1
@@ -187,17 +198,18 @@ class Scanner:
                     done = last  # nothing that starts within a whole copy is better
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", foreign: int = FOREIGN) -> DataFrame:
     """One row per license found in a whole text: id, license, coverage, first_word, end_word (word places, end exclusive).
 
-    Documents without one give no row; null and empty texts have none. Repeated rows are scanned alike; other columns
-    are ignored.
+    A stretch holds at most `foreign` other words for each of its template's. Of stretches that overlap one is returned,
+    that with the most aligned words. Documents without a license give no row; null and empty texts have none, an empty
+    table gives an empty one. Repeated rows are scanned alike; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Scanner(templates, coverage)
+        own = Scanner(templates, coverage, foreign)
         for batch in batches:
             rows = [(i, *f) for i, t in zip(batch["_id"], batch["_text"], strict=True) for f in own.scan(t)]
             yield pd.DataFrame(rows, columns=[id_col, "license", "coverage", "first_word", "end_word"])

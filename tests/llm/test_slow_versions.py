@@ -16,7 +16,7 @@ def texts_of(spark):
 
 
 def slow_scan(text, templates, coverage):
-    """Every window of three lengths at every word aligned with every template; then the best that lie apart."""
+    """Windows of rising lengths at every word aligned with every template; then the best that lie apart."""
     words, found = licenses.words_of(text), []
     lie_apart = lambda a, b: a[3] <= b[2] or b[3] <= a[2]
 
@@ -30,15 +30,39 @@ def slow_scan(text, templates, coverage):
     for name, template in templates.items():
         size, own = len(template), []
         need, reach = max(1, math.ceil(coverage * size - 1e-9)), size + size // 4 + 2
+        lengths = sorted({size, *(min(reach * 2**x, 9 * size) for x in range(9))})
+        worth = lambda aligned, extent: 13 * aligned - 3 * extent
         for k in range(len(words)):
-            tries = [p for p in (licenses.align(template, words[k : k + n]) for n in (size, reach, 2 * reach)) if len(p) >= need]
+            tries = []
+            for n in lengths:
+                p = licenses.align(template, words[k : k + n])
+                tries += [p] if len(p) >= need else []
+                if len(p) == size:
+                    break
             if tries:
-                p = max(tries, key=lambda p: len(p) / max(size, p[-1][1] - p[0][1] + 1))
+                p = max(tries, key=lambda p: worth(len(p), p[-1][1] - p[0][1] + 1))
                 own.append((name, len(p) / size, k + p[0][1], k + p[-1][1] + 1, len(p)))
-        found += best_apart(own, lambda c, size=size: (-c[4] / max(size, c[3] - c[2]), -c[4], c[2]))
+        found += best_apart(own, lambda c: (-worth(c[4], c[3] - c[2]), -c[4], c[2]))
     return [c[:4] for c in best_apart(found, lambda c: (-c[4], -c[1], c[0], c[2]))]
 
 
+def test_licenses_with_gaps():
+    """A gap of 200 words, three words between any two, other words at the ends: all words are found, at their places."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for name in ("MIT-text", "Apache-2.0-header", "GPL-3.0-header", "BSD-3-Clause"):
+        notice = licenses.words_of(licenses.TEMPLATES[name])
+        size, half = len(notice), len(notice) // 2
+        before = [f"x{k}" for k in range(70)]
+        gap = notice[:half] + [f"y{k}" for k in range(200)] + notice[half:]
+        assert scanner.scan(" ".join([*before, *gap, *before])) == [(name, 1.0, 70, 70 + size + 200)]
+        for between in (1, 3):
+            wide = [w for k, word in enumerate(notice) for w in [word, *(f"z{k}q{n}" for n in range(between))]]
+            assert scanner.scan(" ".join([*before, *wide, *before])) == [(name, 1.0, 70, 70 + (size - 1) * (between + 1) + 1)]
+        far = notice[:half] + [f"y{k}" for k in range(9 * size)] + notice[half:]
+        assert scanner.scan(" ".join(far)) == []
+        assert licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, 9).scan(" ".join(far)) == [(name, 1.0, 0, 10 * size)]
+
+
 def test_licenses_by_every_window(spark):
     rng, names = random.Random(9), list(licenses.TEMPLATES)
     fill = [w for t in list(texts_of(spark).values())[:20] if t for w in t.split()[:60]]
