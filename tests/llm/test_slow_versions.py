@@ -59,7 +59,7 @@ def test_licenses_with_gaps():
             wide = [w for k, word in enumerate(notice) for w in [word, *(f"z{k}q{n}" for n in range(between))]]
             assert scanner.scan(" ".join([*before, *wide, *before])) == [(name, 1.0, 70, 70 + (size - 1) * (between + 1) + 1)]
         far = notice[:half] + [f"y{k}" for k in range(9 * size)] + notice[half:]
-        assert scanner.scan(" ".join(far)) == []
+        assert name not in [f[0] for f in scanner.scan(" ".join(far))]  # a notice within the notice may be found
         assert licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, 9).scan(" ".join(far)) == [(name, 1.0, 0, 10 * size)]
 
 
