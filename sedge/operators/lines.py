@@ -104,17 +104,28 @@ def section_boundaries(lines: DataFrame, deepest: int = 3) -> DataFrame:
     )
 
 
-def remove_toc(lines: DataFrame) -> DataFrame:
-    """Lines outside contents lists: one runs from a contents line to a preface line or a first chapter, else to the end."""
+def contents_state(lines: DataFrame) -> DataFrame:
+    """The lines with their state: toc in a contents list, end behind one, null before the first.
+
+    A list runs from a contents line to a preface line or a first chapter, else to the end.
+    """
     text = stripped(F.col("line"))
     bare = F.regexp_replace(text, "(?U)" + MARKS, "")
     mark = F.when(bare.isin(*CONTENTS), "toc").when((bare.startswith("前") & bare.contains("言")) | text.rlike("(?U)" + CHAPTER_ONE), "end")
     state = F.last(mark, ignorenulls=True).over(by_doc().rowsBetween(W.unboundedPreceding, 0))
-    return lines.withColumn("state", state).where(F.coalesce(F.col("state") != "toc", F.lit(True))).drop("state")
+    return lines.withColumn("state", state)
 
 
-def merge_split_headings(lines: DataFrame) -> DataFrame:
-    """A bare appendix letter or clause number joined to the next line by two spaces, its indent kept; pairs are taken greedily from the top."""
+def remove_toc(lines: DataFrame) -> DataFrame:
+    """Lines outside contents lists."""
+    return contents_state(lines).where(F.coalesce(F.col("state") != "toc", F.lit(True))).drop("state")
+
+
+def split_headings(lines: DataFrame) -> DataFrame:
+    """Bare appendix letters and clause numbers that start a pair with the next line; pairs are taken greedily from the top.
+
+    The lines with starts, taken (the line before starts), then (the next line, stripped) and new, the line after joining.
+    """
     text = stripped(F.col("line"))
     after = F.lead(text).over(by_doc())
     fits = lambda t, p: t.rlike("(?U)" + p)
@@ -123,9 +134,14 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
     # Within a run of lines that could each open a pair, every other one does: what a walk from the top would choose.
     in_run = F.row_number().over(W.partitionBy("doc_id", F.coalesce("run", F.lit(0))).orderBy("pos"))
     paired = flagged.withColumn("starts", F.col("opens") & (in_run % 2 == 1))
-    last = F.lag("starts", 1, False).over(by_doc())
-    joined = F.when(F.col("starts"), F.concat(F.regexp_extract("line", r"(?U)^(\s*)", 1), stripped(F.col("line")), F.lit("  "), stripped(F.lead("line").over(by_doc())))).otherwise(F.col("line"))
-    return paired.withColumn("taken", last).withColumn("line", joined).where(~F.col("taken")).select("doc_id", "pos", "line")
+    paired = paired.withColumn("taken", F.lag("starts", 1, False).over(by_doc())).withColumn("then", after)
+    joined = F.concat(F.regexp_extract("line", r"(?U)^(\s*)", 1), text, F.lit("  "), F.col("then"))
+    return paired.withColumn("new", F.when(F.col("starts"), joined).otherwise(F.col("line")))
+
+
+def merge_split_headings(lines: DataFrame) -> DataFrame:
+    """A bare appendix letter or clause number joined to the next line by two spaces, its indent kept."""
+    return split_headings(lines).where("not taken").select("doc_id", "pos", F.col("new").alias("line"))
 
 
 def line_role(line: Column) -> Column:

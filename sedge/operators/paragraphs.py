@@ -35,10 +35,12 @@ def infer_standard(file_name: Column) -> Column:
     return F.nullif(F.replace(L.stripped(F.regexp_extract(name, r"(?iU)^(GB[/\s]*[TZ]?\s*[\d.]+(?:-\d+)?)", 1)), F.lit("/ "), F.lit("/")), F.lit(""))
 
 
-def merge_date_lines(rows: DataFrame) -> DataFrame:
-    """A line that ends in 发布 joined to the next if that ends in 实施: both without a date before it, or both a date and no more.
+def date_pairs(rows: DataFrame) -> DataFrame:
+    """Lines that end in 发布 before one that ends in 实施: both without a date before it, or both a date and no more.
 
-    No line can end a pair and begin another, so each pair is told by the next line alone.
+    The lines with starts, taken (the line before starts), then (the next line, stripped), both (the pair as one, without
+    indent) and new, the line after joining. No line can end a pair and begin another, so each pair is told by the next
+    line alone.
     """
     line, text = F.col("line"), L.stripped(F.col("line"))
     after = F.lead("line").over(L.by_doc())
@@ -50,7 +52,12 @@ def merge_date_lines(rows: DataFrame) -> DataFrame:
     indent = F.regexp_extract(line, r"(?U)^(\s*)", 1)
     starts = F.coalesce(undated | dated, F.lit(False))
     out = rows.withColumn("starts", starts).withColumn("new", F.when(~starts, line).when(dated, both).otherwise(F.concat(indent, both)))
-    return out.withColumn("taken", F.lag("starts", 1, False).over(L.by_doc())).where("not taken").select("doc_id", "pos", F.col("new").alias("line"))
+    return out.withColumn("both", both).withColumn("then", then).withColumn("taken", F.lag("starts", 1, False).over(L.by_doc()))
+
+
+def merge_date_lines(rows: DataFrame) -> DataFrame:
+    """The lines of date_pairs with each pair as one line."""
+    return date_pairs(rows).where("not taken").select("doc_id", "pos", F.col("new").alias("line"))
 
 
 def fix_heading_spaces(line: Column) -> tuple[Column, Column]:

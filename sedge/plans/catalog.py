@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.operators import batches, cleaning, documents, files, lines, models, paragraphs, records, reports, retrieval, sections, styles
+from sedge.operators import batches, cleaning, documents, files, lines, models, normalizing, paragraphs, records, reports, retrieval, sections, styles
 from sedge.streaming import keyed
 
-MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, sections, records, files, styles, models, keyed)
+MODULES: tuple = (retrieval, reports, lines, cleaning, batches, documents, paragraphs, normalizing, sections, records, files, styles, models, keyed)
 
 
 def queries() -> dict:
