@@ -121,15 +121,19 @@ def remove_toc(lines: DataFrame) -> DataFrame:
     return contents_state(lines).where(F.coalesce(F.col("state") != "toc", F.lit(True))).drop("state")
 
 
-def split_headings(lines: DataFrame) -> DataFrame:
+def split_headings(lines: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
     """Bare appendix letters and clause numbers that start a pair with the next line; pairs are taken greedily from the top.
 
+    A line that begins with one of `stops` ends no pair.
+
     The lines with starts, taken (the line before starts), then (the next line, stripped) and new, the line after joining.
     """
     text = stripped(F.col("line"))
     after = F.lead(text).over(by_doc())
     fits = lambda t, p: t.rlike("(?U)" + p)
     opens = (after != "") & ((fits(text, BARE_APPENDIX) & ~fits(after, AFTER_APPENDIX)) | (fits(text, BARE_NUMBER) & ~fits(after, AFTER_NUMBER)))
+    for stop in stops:
+        opens = opens & ~after.startswith(stop)
     flagged = lines.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("run", F.sum(F.when(~F.col("opens"), 1).otherwise(0)).over(by_doc().rowsBetween(W.unboundedPreceding, -1)))
     # Within a run of lines that could each open a pair, every other one does: what a walk from the top would choose.
     in_run = F.row_number().over(W.partitionBy("doc_id", F.coalesce("run", F.lit(0))).orderBy("pos"))

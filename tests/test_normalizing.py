@@ -43,3 +43,21 @@ def test_merged_logs_and_empty_tables(spark):
     assert [r[0] for r in rows.select(N.merge_change_logs(F.col("x"), F.col("y"))).collect()] == [["a", "b", "c"], ["b"], []]
     none = spark.createDataFrame([], "doc_id long, pos int, line string")
     assert N.changes_of(N.normalize_steps(none)).count() == 0 and N.logs_of(N.normalize_steps(none)).count() == 0
+
+
+def test_word_paragraphs(spark):
+    """The first pair of dates only; contents only before a preface; no heading joined to a preface; spaces behind any number."""
+    texts = [
+        ["目次", " 2022-06-30发布", "2022-12-30实施", "甲发布", "乙实施", "前 言", "3.1", "术语 ", "附录 A", "前言", "1 scope", "2  x", None],
+        ["目次", "5", "参考文献", ""],
+    ]
+    rows = [(d, p, line) for d, lines in enumerate(texts) for p, line in enumerate(lines)]
+    found = N.normalize_word_steps(spark.createDataFrame(rows, "doc_id long, pos int, line string"))
+    left = {}
+    for r in found.orderBy("doc_id", "pos").collect():
+        left.setdefault(r.doc_id, []).append(r.line)
+    assert left == {0: ["前 言", "3.1  术语", "附录 A", "前言", "1  scope", "2  x", None], 1: texts[1]}
+    assert {r.doc_id: r.log for r in N.word_logs(found).collect()} == {
+        0: ["合并日期行: '2022-06-30发布 2022-12-30实施'", "删除 TOC: 4 个段落 (P[0]-P[3])", "合并拆分标题: 1 处", "修正标题双空格: 1 处"],
+        1: [],
+    }
