@@ -13,21 +13,24 @@ from __future__ import annotations
 import math
 import re
 import sys
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sedge.llm.sampling import bounded_sample, id_and_text
-from sedge.workspace import small_batches
+from sedge.llm.sampling import id_and_text
+from sedge.workspace import Scratch, small_batches
 
-#: Labelled documents to learn from at most.
-SAMPLE = 3000
+#: What a word counts in a clean and in a toxic document.
+WEIGHT = {0: 1, 1: 3}
 CUT = 0.7
 KEPT = 400_000
+#: Different sets of telling clues that the driver covers by itself; more are covered by Spark, a clue a job, with the same result.
+SETS = 20_000
 #: Letters that a sign may stand for; keeping the sign is always possible.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou"}
 #: Costs in nats of reading a sign as a letter, of a letter as itself, of dropping a repeated letter, and of ending a word between spaced letters.
@@ -48,17 +51,29 @@ class CharModel:
     """Interpolated character trigrams over words between ends."""
 
     def __init__(self, words: Counter):
-        self.tri: dict[str, Counter] = defaultdict(Counter)
-        self.bi: dict[str, Counter] = defaultdict(Counter)
-        self.uni: Counter = Counter()
+        threes: Counter = Counter()
         for word, n in words.items():
             n = 1 + math.log(n)  # types matter more than how often a few of them occur
             marked = "^^" + word + "$"
             for i in range(2, len(marked)):
-                c = marked[i]
-                self.tri[marked[i - 2 : i]][c] += n
-                self.bi[marked[i - 1]][c] += n
-                self.uni[c] += n
+                threes[marked[i - 2 : i + 1]] += n
+        self._sum(threes)
+
+    @classmethod
+    def of(cls, threes: dict[str, float]) -> CharModel:
+        """The model of trigrams that are summed already."""
+        model = cls.__new__(cls)
+        model._sum(threes)
+        return model
+
+    def _sum(self, threes: dict[str, float]) -> None:
+        self.tri: dict[str, Counter] = defaultdict(Counter)
+        self.bi: dict[str, Counter] = defaultdict(Counter)
+        self.uni: Counter = Counter()
+        for (a, b, c), n in threes.items():
+            self.tri[a + b][c] += n
+            self.bi[b][c] += n
+            self.uni[c] += n
         self.total = sum(self.uni.values()) + 1
         self.memo: dict[str, float] = {}
         self.sums = {k: sum(v.values()) for k, v in self.tri.items()}, {k: sum(v.values()) for k, v in self.bi.items()}
@@ -175,39 +190,59 @@ class Restorer:
 
 
 def learn_evidence(bags: list[set[str]], y: list[int]) -> dict[str, float]:
-    """Clues that cover the toxic documents, the best first: each is taken for documents that none before explains,
-    so a word that only keeps company with toxic ones in copied texts earns no place."""
+    """Clues that cover the toxic documents among some bags of clues; see cover."""
     toxic = [b for b, t in zip(bags, y, strict=True) if t]
     clean = Counter(c for b, t in zip(bags, y, strict=True) if not t for c in b)
-    n_clean = max(1, len(y) - len(toxic))
-    where: dict[str, set[int]] = defaultdict(set)
-    for k, b in enumerate(toxic):
-        for c in b:
-            if clean[c] <= 0.002 * n_clean:
-                where[c].add(k)
-    odds = lambda c, n: math.log((n + 0.1) / (len(toxic) + 1)) - math.log((clean[c] + 0.1) / (n_clean + 1))
-    least = max(2, math.ceil(0.003 * len(toxic)))
+    seen = Counter(c for b in toxic for c in b)
+
+    return cover({c: (n, clean[c]) for c, n in seen.items()}, len(toxic), len(y) - len(toxic), gains_in([(b, 1) for b in toxic]))
+
+
+def gains_in(sets: list[tuple[set[str], int]]) -> Callable[[list[str]], dict[str, int]]:
+    """gains for cover, of sets of clues in hand with their numbers; one more clue is taken at each call."""
+    left = list(sets)
+
+    def gains(taken: list[str]) -> dict[str, int]:
+        if taken:
+            left[:] = [(b, n) for b, n in left if taken[-1] not in b]
+        new: Counter = Counter()
+        for b, n in left:
+            for c in b:
+                new[c] += n
+        return new
+
+    return gains
+
+
+def bounds(n_toxic: int, n_clean: int) -> tuple[int, float]:
+    """Toxic documents that a clue must stand in, and clean ones that it may: so many shares of them leave few clues, however many documents there are."""
+    return max(2, math.ceil(0.003 * n_toxic)), 0.002 * max(1, n_clean)
+
+
+def cover(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, gains: Callable[[list[str]], dict[str, int]]) -> dict[str, float]:
+    """Clues with their odds that cover the toxic documents, the best first: each is taken for documents that none before
+    explains, so a word that only keeps company with toxic ones in copied texts earns no place.
+
+    counts: toxic and clean documents of each clue. gains: toxic documents of each clue in which none of those taken stands.
+    Each clue taken explains a share of the documents of its own, so there are at most as many turns as shares.
+    """
+    least, most = bounds(n_toxic, n_clean)
+    full = {c: n for c, (n, bad) in counts.items() if n >= least and bad <= most}
+    odds = {c: math.log((n + 0.1) / (n_toxic + 1)) - math.log((counts[c][1] + 0.1) / (max(1, n_clean) + 1)) for c, n in full.items()}
+    by_gain = sorted(full, key=lambda c: (-full[c] * max(odds[c], 0), -len(c), c))
+    place = {c: k for k, c in enumerate(by_gain) if odds[c] > 2}
     evidence: dict[str, float] = {}
-    open_docs = set(range(len(toxic)))
-    full = {c: len(d) for c, d in where.items() if len(d) >= least}
-    by_gain = sorted(full, key=lambda c: (-full[c] * max(odds(c, full[c]), 0), -len(c), c))
-    for _ in range(400):
-        best, gain = None, least - 1
-        for c in by_gain:
-            if full[c] <= gain:
-                continue
-            new = len(where[c] & open_docs)
-            # Of clues that explain as many, the one with the fewest clean documents, then the longer.
-            if new > gain and odds(c, full[c]) > 2 and c not in evidence:
-                best, gain = c, new
-        if best is None:
+    while len(evidence) < len(place):
+        # Of clues that explain as many, the one with the fewest clean documents, then the longer.
+        new = [(-n, place[c], c) for c, n in gains(list(evidence)).items() if c in place and c not in evidence and n >= least]
+        if not new:
             break
-        evidence[best] = odds(best, full[best])
-        open_docs -= where[best]
+        best = min(new)[2]
+        evidence[best] = odds[best]
     # Companions of equal strength: clues as telling as the chosen ones that stand with them in many unlike documents.
     for c in by_gain:
-        if full[c] >= max(least, 0.02 * len(toxic)) and odds(c, full[c]) > 3:
-            evidence.setdefault(c, odds(c, full[c]))
+        if full[c] >= max(least, 0.02 * n_toxic) and odds[c] > 3:
+            evidence.setdefault(c, odds[c])
     return evidence
 
 
@@ -217,49 +252,161 @@ def evidence_of(words: list[str], evidence: dict[str, float]) -> float:
     return math.log1p(sum(s / (1 + k) for k, s in enumerate(strengths)))
 
 
+def plain_words(text: str) -> set[str]:
+    """Words of a text that hide nothing."""
+    return {w for w in {_edge.sub("", w).lower() for w in text.split()} if w.isalpha() and not _odd(w)}
+
+
+def in_fit(text: str) -> bool:
+    """Whether a text is one of the three in four that evidence is first learnt from."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % 4 != 1
+
+
+def scaled(x: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Platt scaling: slope and bias of evidence x, label t of n documents each."""
+    a, b = 3.0, -4.0
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, h = n * (p - t), n * (p * (1 - p) + 1e-4)
+        grad = np.array([(g * x).sum() + 0.01 * a, g.sum() + 0.01 * b])
+        hess = np.array([[(h * x**2).sum() + 0.01, (h * x).sum()], [(h * x).sum(), h.sum() + 0.01]])
+        move = np.linalg.solve(hess, grad)
+        a, b = a - np.clip(move[0], -0.5, 0.5), b - np.clip(move[1], -0.5, 0.5)
+    return float(max(a, 0.1)), float(b)
+
+
 def train(texts: list[str], y: list[int]) -> ToxicityModel:
-    """Fit on labelled texts in a fixed order."""
+    """Fit on a few labelled texts in hand; fit_toxicity learns the same from a table of any size."""
     plain: Counter = Counter()
-    weight = {0: 1, 1: 3}
     for t, label in zip(texts, y, strict=True):
-        for w in {_edge.sub("", w).lower() for w in t.split()}:
-            if w.isalpha() and not _odd(w):
-                plain[w] += weight[label]
+        for w in plain_words(t):
+            plain[w] += WEIGHT[label]
     model = ToxicityModel(CharModel(plain))
     if not any(y):
         return model
     restorer = Restorer(model.chars)
     words = [sorted(set(restorer.words(t))) for t in texts]  # evidence counts distinct words
-    rng = np.random.default_rng(3)
-    fit = rng.random(len(y)) < 0.75
+    fit = [in_fit(t) for t in texts]
     bags = [{sys.intern(c) for w in ws if w for c in clues(w)} for ws in words]
     model.evidence = learn_evidence([b for b, f in zip(bags, fit, strict=True) if f], [t for t, f in zip(y, fit, strict=True) if f])
-    x = np.array([evidence_of(ws, model.evidence) for ws in words])
-    t = np.array(y)
-    # Platt scaling on the documents that gave no evidence; on all where they are too few.
-    on = ~fit if (t[~fit] == 1).sum() > 20 else np.ones(len(t), bool)
-    a, b = 3.0, -4.0
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(a * x[on] + b, -30, 30)))
-        g, h = p - t[on], p * (1 - p) + 1e-4
-        grad = np.array([(g * x[on]).sum() + 0.01 * a, g.sum() + 0.01 * b])
-        hess = np.array([[(h * x[on] ** 2).sum() + 0.01, (h * x[on]).sum()], [(h * x[on]).sum(), h.sum() + 0.01]])
-        move = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(move[0], -0.5, 0.5), b - np.clip(move[1], -0.5, 0.5)
-    model.slope, model.bias = float(max(a, 0.1)), float(b)
+    x = np.array([round(evidence_of(ws, model.evidence), 3) for ws in words])
+    t, on = np.array(y), ~np.array(fit)
+    # On the documents that gave no evidence; on all where they are too few.
+    on = on if (t[on] == 1).sum() > 20 else np.ones(len(t), bool)
+    model.slope, model.bias = scaled(x[on], t[on], np.ones(on.sum()))
     model.evidence = learn_evidence(bags, y)
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE) -> ToxicityModel:
-    """Learn from a bounded sample of the labels that may_learn allows; half of it toxic where there are as many."""
-    known = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
-    chosen = bounded_sample(known.where("toxic = 1"), sample // 3).unionByName(bounded_sample(known.where("toxic = 0"), sample - sample // 3))
-    # Long texts teach no more words than their first thousands would, yet they are taken whole; equal texts count once.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    once = texts.groupBy(F.sha2("text", 256).alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = sorted(texts.join(F.broadcast(once), "doc_id").select("doc_id", "text", F.col("toxic").cast("int")).orderBy("doc_id").limit(2 * sample).collect())
-    return train([r[1] for r in rows], [r[2] for r in rows])
+def tallied(rows: DataFrame, make: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
+    """key, toxic, fit, n: documents of each key and class. make() gives, once a task, the function from a text to its distinct keys."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, sums = make(), defaultdict(Counter)
+
+        def told() -> Iterator[pd.DataFrame]:
+            for (toxic, fit), c in sums.items():
+                yield pd.DataFrame({"key": list(c.keys()), "toxic": toxic, "fit": fit, "n": list(c.values())}).astype({"toxic": "int32", "n": "int64"})
+            sums.clear()
+
+        for batch in batches:
+            for text, toxic, fit in zip(batch["text"], batch["toxic"], batch["fit"], strict=True):
+                sums[toxic, fit].update(keys(text))
+            if sum(map(len, sums.values())) > KEPT:
+                yield from told()
+        yield from told()
+
+    return rows.mapInPandas(tally, "key string, toxic int, fit boolean, n long").groupBy("key", "toxic", "fit").agg(F.sum("n").alias("n"))
+
+
+def learnt_texts(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFrame:
+    """text, toxic, fit of every document with a label that may_learn allows; equal texts count once a label."""
+    known = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    # Which rows stay is settled by hashes, so texts move once.
+    hashed = texts.select("doc_id", F.sha2("text", 256).alias("h")).join(known.hint("merge"), "doc_id")
+    once = hashed.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    # Texts of these ids are dear to read, so they are dealt over as many tasks as the documents are.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+    chosen = texts.repartition(parts, "doc_id").join(once.repartition(parts, "doc_id").hint("merge"), "doc_id")
+    fit = F.crc32(F.col("text").cast("binary")) % 4 != 1
+    return chosen.select("text", "toxic", fit.alias("fit"))
+
+
+def char_model(words: DataFrame) -> CharModel:
+    """The character model of words (key, n). Their trigrams are summed in Spark: the driver sees as many as the alphabets make."""
+    weight = F.round(1 + F.log("n"), 6).cast("decimal(20,6)")  # exact sums in any order
+    marked = words.select(weight.alias("n"), F.concat(F.lit("^^"), "key", F.lit("$")).alias("w"))
+    threes = marked.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("three"))
+    return CharModel.of({r[0]: float(r[1]) for r in threes.groupBy("three").agg(F.sum("n")).orderBy("three").collect()})
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sets_in_hand: int = SETS) -> ToxicityModel:
+    """Learn from every label that may_learn allows.
+
+    Words, clues and trigrams are counted in Spark. What comes to the driver are clues that stand in a share of the
+    toxic documents, a histogram of the evidence in thousandths and trigrams, so its size does not follow the table's.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.keep(learnt_texts(docs, labels, may_learn), "texts")
+    size = {(r[0], r[1]): r[2] for r in rows.groupBy("toxic", "fit").count().collect()}
+    count = lambda toxic, *fit: sum(size.get((toxic, f), 0) for f in fit)
+    plain = tallied(rows, lambda: plain_words)
+    model = ToxicityModel(char_model(plain.groupBy("key").agg(F.sum(F.col("n") * F.when(F.col("toxic") == 1, WEIGHT[1]).otherwise(WEIGHT[0])).alias("n"))))
+    if not count(1, True, False):
+        scratch.drop(rows)
+        return model
+    shared = spark.sparkContext.broadcast(model.chars)
+
+    def bag_of() -> Callable[[str], set[str]]:
+        restorer = Restorer(shared.value)
+        return lambda text: {c for w in set(restorer.words(text)) if w for c in clues(w)}
+
+    number = lambda toxic, fit: F.coalesce(F.sum(F.when((F.col("toxic") == toxic) & (F.lit(not fit) | F.col("fit")), F.col("n"))), F.lit(0))
+    sums = tallied(rows, bag_of).groupBy("key").agg(*(number(t, f).alias(f"{n}{k}") for f, k in ((False, "_all"), (True, "_fit")) for t, n in ((1, "toxic"), (0, "clean"))))
+    turns = {"_fit": (count(1, True), count(0, True)), "_all": (count(1, True, False), count(0, True, False))}
+    telling = {k: (F.col(f"toxic{k}") >= least) & (F.col(f"clean{k}") <= most) for k, (least, most) in ((k, bounds(*n)) for k, n in turns.items())}
+    told = sums.where(telling["_fit"] | telling["_all"]).collect()
+    few = spark.sparkContext.broadcast(frozenset(r["key"] for r in told))
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bag = bag_of()
+        for batch in batches:
+            yield pd.DataFrame({"clues": [sorted(bag(t) & few.value) for t in batch["text"]], "fit": batch["fit"]})
+
+    # Toxic documents with the same telling clues are one row with their number.
+    sets = rows.where("toxic = 1").select("text", "fit").mapInPandas(held, "clues array<string>, fit boolean").groupBy("clues", "fit").agg(F.count(F.lit(1)).alias("n"))
+    sets = scratch.keep(sets.where(F.size("clues") > 0).coalesce(spark.sparkContext.defaultParallelism), "sets")
+
+    def evidence(k: str) -> dict[str, float]:
+        mine = sets.where("fit") if k == "_fit" else sets
+
+        def gains(taken: list[str]) -> dict[str, int]:
+            # Where the sets are many, a turn is a job.
+            left = mine.where(~F.arrays_overlap("clues", F.array(*map(F.lit, taken)))) if taken else mine
+            return {r[0]: r[1] for r in left.select("n", F.explode("clues").alias("clue")).groupBy("clue").agg(F.sum("n")).collect()}
+
+        some = mine.select("clues", "n").limit(sets_in_hand + 1).collect()
+        turn = gains if len(some) > sets_in_hand else gains_in([(set(r[0]), r[1]) for r in some])
+        return cover({r["key"]: (r[f"toxic{k}"], r[f"clean{k}"]) for r in told}, *turns[k], turn)
+
+    model.evidence = evidence("_fit")
+    first = spark.sparkContext.broadcast(model.evidence)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer = Restorer(shared.value)
+        for batch in batches:
+            yield pd.DataFrame({"x": [round(evidence_of(restorer.words(t), first.value), 3) for t in batch["text"]], "toxic": batch["toxic"]})
+
+    # Platt scaling on the documents that gave no evidence; on all where they are too few.
+    on = rows.where("not fit") if count(1, False) > 20 else rows
+    steps = on.select("text", "toxic").mapInPandas(weigh, "x double, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+    model.slope, model.bias = scaled(*(np.array([float(r[k]) for r in steps]) for k in range(3)))
+    model.evidence = evidence("_all")
+    scratch.drop(rows, sets)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", restored: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sedge.llm import licenses, quality, toxicity
@@ -143,3 +144,22 @@ def test_toxicity_token_by_token(spark):
         score = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.bias))))
         assert abs(got[i].score - score) < 1e-9 and got[i].predicted == int(got[i].score >= 0.7)
     assert got[-1].score == got[-2].score == min(r.score for r in got.values())
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """More labels than any sample held: words, clues and scale are those of learning from all texts at once."""
+    words = "the a this some one other thing word time place goes comes stays and or".split()
+    kinds = ["stupid", "idiot", "moron"]
+    say = lambda k: " ".join(words[(k * p + k // 7) % len(words)] for p in (1, 3, 5, 7, 11))
+    rows = [(k, f"{say(k)} {kinds[k // 9 % 3] if k % 9 == 0 else ''} x{k}", int(k % 9 == 0)) for k in range(4500)]
+    rows += [(9000, "seldomword seldomword", 0), (9001, rows[0][1], 1), (9002, None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(True))
+    by_jobs = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(True), sets_in_hand=0)
+    assert by_jobs.evidence == model.evidence and by_jobs.slope == model.slope
+    once = sorted({(t, y) for _, t, y in rows if t is not None})
+    want = toxicity.train([t for t, _ in once], [y for _, y in once])
+    assert list(model.evidence) == list(want.evidence) and model.evidence == pytest.approx(want.evidence)
+    assert (model.slope, model.bias) == pytest.approx((want.slope, want.bias), rel=1e-6)
+    assert model.chars.tri.keys() == want.chars.tri.keys() and model.chars.total == pytest.approx(want.chars.total, rel=1e-6)
+    assert model.chars.tri["se"]["l"] > 0
