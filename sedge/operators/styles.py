@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sedge.operators.records import NO_CONTEXT
-from sedge.workspace import Scratch
+from sedge.workspace import Scratch, dealt
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def _bound(x: Column, make: Callable[[Column], Column]) -> Column:
 
 def _kind(x: Column) -> Column:
     """STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, OBJECT, ARRAY or VOID; null where the value is missing."""
-    return F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(x), "<", 1), "(", 1)
 
 
 def _as(x: Column, kind: str) -> Column:
@@ -137,9 +137,12 @@ def _as(x: Column, kind: str) -> Column:
 
 def _number(x: Column) -> Column:
     """A number as it is taken: texts are read, truth values count as 0 and 1."""
-    said = F.trim(_as(x, "string"))
-    one = F.when(_kind(x) == "STRING", said.try_cast("double")).when(_kind(x) == "BOOLEAN", _as(x, "boolean").cast("double"))
-    return one.when(_kind(x).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _as(x, "double"))
+    return _bound(_kind(x), lambda kind: _number_of(x, kind))
+
+
+def _number_of(x: Column, kind: Column) -> Column:
+    one = F.when(kind == "STRING", F.trim(_as(x, "string")).try_cast("double")).when(kind == "BOOLEAN", _as(x, "boolean").cast("double"))
+    return one.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _as(x, "double"))
 
 
 _LEAF = "array<struct<name:string,kind:string,required:boolean,optional:boolean,wrong:string,unread:string,accepts:array<string>,low:double,high:double>>"
@@ -156,10 +159,14 @@ def _specs(rules: dict[str, Rule]) -> Column:
 
 
 def _leaf(r: Column, x: Column) -> Column:
-    """What is wrong with a value under a rule; null where nothing is."""
-    kind, said = _kind(x), _as(x, "string")
+    """What is wrong with a value under a rule; null where nothing is. Its kind is worked out once, and only where it is there."""
+    return F.when(x.isNull(), F.when(r["required"], MISSING)).otherwise(_bound(_kind(x), lambda kind: _leaf_of(r, x, kind)))
+
+
+def _leaf_of(r: Column, x: Column, kind: Column) -> Column:
+    said = _as(x, "string")
     nested = kind.isin("OBJECT", "ARRAY")
-    flag_ok = F.when(kind == "BOOLEAN", True).when(kind == "STRING", F.array_contains(r["accepts"], F.lower(F.trim(said)))).otherwise(F.coalesce(_number(x).isin(0.0, 1.0), F.lit(False)))
+    flag_ok = F.when(kind == "BOOLEAN", True).when(kind == "STRING", F.array_contains(r["accepts"], F.lower(F.trim(said)))).otherwise(F.coalesce(_number_of(x, kind).isin(0.0, 1.0), F.lit(False)))
 
     def number(value: Column) -> Column:
         broken = (r["kind"] == "whole") & (value != F.floor(value))
@@ -168,11 +175,11 @@ def _leaf(r: Column, x: Column) -> Column:
         bad = bad.when(value < r["low"], F.concat(F.lit("Input should be greater than or equal to "), r["low"].cast("long").cast("string")))
         return bad.when(value > r["high"], F.concat(F.lit("Input should be less than or equal to "), r["high"].cast("long").cast("string")))
 
-    said_of = F.when(x.isNull(), F.when(r["required"], MISSING)).when(kind == "VOID", F.when(~r["optional"], r["wrong"]))
+    said_of = F.when(kind == "VOID", F.when(~r["optional"], r["wrong"]))
     said_of = said_of.when(r["kind"] == "text", F.when(kind != "STRING", r["wrong"]))
     said_of = said_of.when(r["kind"] == "choice", F.when(~((kind == "STRING") & F.array_contains(r["accepts"], said)), r["wrong"]))
     said_of = said_of.when(r["kind"] == "flag", F.when(~flag_ok, F.when(nested, r["wrong"]).otherwise(r["unread"])))
-    return said_of.otherwise(_bound(_number(x), number))
+    return said_of.otherwise(_bound(_number_of(x, kind), number))
 
 
 _NONE = "array<struct<path:string,message:string>>"
@@ -214,8 +221,8 @@ def _errors(rule: Rule, x: Column, path: list[Column]) -> Column:
         return _bound(_leaf(F.get(_specs({"": rule}), F.lit(0)), x), lambda message: F.when(message.isNotNull(), _said(path, message)).otherwise(none))
     shape = "OBJECT" if rule.kind == "part" else "ARRAY"
     null = none if rule.optional else _said(path, WRONG[rule.kind])
-    there = F.when(_kind(x) == shape, inside).otherwise(_said(path, WRONG[rule.kind]))
-    return F.when(x.isNull(), _said(path, MISSING) if rule.required else none).when(_kind(x) == "VOID", null).otherwise(there)
+    there = lambda kind: F.when(kind == "VOID", null).when(kind == shape, inside).otherwise(_said(path, WRONG[rule.kind]))
+    return F.when(x.isNull(), _said(path, MISSING) if rule.required else none).otherwise(_bound(_kind(x), there))
 
 
 def _errors_inside(rule: Rule, values: Column, path: list[Column]) -> Column:
@@ -286,18 +293,17 @@ def apply_style_defaults(table: DataFrame, config: str, rule: Rule = STYLE, into
     return read.withColumn(into, filled(replace(rule, default=None), F.col("_v"))).drop("_v")
 
 
-def _shown(x: Column, written: Column) -> Column:
+def _shown(x: Column, kind: Column, written: Column) -> Column:
     """A value as it is shown in a difference: None, True, False, texts, and numbers as they are written."""
-    kind = _kind(x)
     return F.when(x.isNull() | (kind == "VOID"), "None").when(kind == "BOOLEAN", F.initcap(written)).otherwise(written)
 
 
-def _differs(a: Column, b: Column) -> Column:
+def _differs(a: Column, b: Column, ka: Column, kb: Column) -> Column:
     """Null-safe; numbers and truth values are compared as numbers, whatever their form."""
-    there = lambda x: F.coalesce(_kind(x) != "VOID", F.lit(False))
-    plain = lambda x: _kind(x).isin("STRING", "OBJECT", "ARRAY")
-    same = F.when(plain(a) | plain(b), (_kind(a) == _kind(b)) & (F.to_json(a) == F.to_json(b))).otherwise(_number(a) == _number(b))
-    return F.when(there(a) & there(b), ~same).otherwise(there(a) | there(b))
+    there = lambda k: F.coalesce(k != "VOID", F.lit(False))
+    plain = lambda k: k.isin("STRING", "OBJECT", "ARRAY")
+    same = F.when(plain(ka) | plain(kb), (ka == kb) & (F.to_json(a) == F.to_json(b))).otherwise(_number_of(a, ka) == _number_of(b, kb))
+    return F.when(there(ka) & there(kb), ~same).otherwise(there(ka) | there(kb))
 
 
 def style_diff(table: DataFrame, before: str, after: str) -> DataFrame:
@@ -307,14 +313,18 @@ def style_diff(table: DataFrame, before: str, after: str) -> DataFrame:
     """
     read = table.withColumn("_a", F.try_parse_json(before)).withColumn("_b", F.try_parse_json(after))
     there = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT") & (F.schema_of_variant(c) != "OBJECT<>"), F.lit(False))
-    sides = []
-    for group, where, name in COMPARED:
-        values = [F.try_variant_get(c, f"$.{where}.{name}", "variant").alias(n) for c, n in (("_a", "a"), ("_b", "b"))]
-        written = [F.get_json_object(c, f"$.{where}.{name}").alias(n) for c, n in ((before, "x"), (after, "y"))]
-        sides.append(F.struct(F.lit(f"{group}.{name}: ").alias("name"), *values, *written))
-    # One expression over the fields, in order.
-    tell = lambda p: F.when(_differs(p["a"], p["b"]), F.concat(p["name"], _shown(p["a"], p["x"]), F.lit(" → "), _shown(p["b"], p["y"])))
-    changes = F.array_join(F.transform(F.array(*sides), tell), "; ")
+    fields = F.array(*(F.struct(F.lit(f"{group}.{name}: ").alias("name"), F.lit(f"$.{where}.{name}").alias("path")) for group, where, name in COMPARED))
+
+    written = lambda c, p: F.call_function("get_json_object", F.col(c), p["path"])
+
+    def tell(p: Column) -> Column:
+        """One expression over the fields, in order. Texts are read again for how a value is written, only where it differs."""
+        a, b = (F.try_variant_get(F.col(c), p["path"], "variant") for c in ("_a", "_b"))
+        met = F.struct(a.alias("a"), b.alias("b"), _kind(a).alias("ka"), _kind(b).alias("kb"))
+        sides = lambda m: F.concat(p["name"], _shown(m["a"], m["ka"], written(before, p)), F.lit(" → "), _shown(m["b"], m["kb"], written(after, p)))
+        return _bound(met, lambda m: F.when(_differs(m["a"], m["b"], m["ka"], m["kb"]), sides(m)))
+
+    changes = F.array_join(F.transform(fields, tell), "; ")
     both = F.when(there("_a") & there("_b"), F.when(changes == "", SAME).otherwise(changes))
     return read.withColumn("diff", both.when(there("_b"), CREATED).otherwise(DELETED)).drop("_a", "_b")
 
@@ -341,13 +351,18 @@ def merge_json(left: Column, right: Column) -> Column:
     return F.to_json(F.to_variant_object(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)))
 
 
+def newest_of(history: DataFrame, n: int, key: str) -> DataFrame:
+    """The newest n rows of every key with their places `_n`."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("created_at"), "id"))
+    return history.withColumn("_n", place).where(F.col("_n") <= n)
+
+
 def few_shot_texts(wanted: DataFrame, history: DataFrame, n: int = 3, key: str = "standard") -> DataFrame:
     """key and `examples` of every wanted key: its newest n adjustments (source, before, after, diff; created_at, id), the complete ones as one text.
 
     Which are complete is asked after the newest are taken. No adjustment, or no complete one, has a text of its own.
     """
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("created_at"), "id"))
-    newest = history.withColumn("_n", place).where(F.col("_n") <= n)
+    newest = newest_of(history, n, key)
     given = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     # An empty object is no configuration.
     complete = given("diff") & given("before") & (F.col("before") != "{}") & given("after") & (F.col("after") != "{}")
@@ -397,7 +412,11 @@ OTHER_JSON = "(CASE WHEN p_size % 11 = 0 THEN '{}' WHEN p_size % 11 = 1 THEN NUL
 
 
 def _configs(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_brand", F.expr(STYLE_JSON).alias("config"), F.expr(OTHER_JSON).alias("other"))
+    return _as_configs(dealt(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_brand")))
+
+
+def _as_configs(parts: DataFrame) -> DataFrame:
+    return parts.select("p_partkey", "p_size", "p_retailprice", "p_brand", F.expr(STYLE_JSON).alias("config"), F.expr(OTHER_JSON).alias("other"))
 
 
 def _checked(s, d):
@@ -407,7 +426,8 @@ def _checked(s, d):
 def _quarantined(s, d):
     scratch = Scratch(s, "quarantine")
     folder = f"{scratch.root}/faulty"
-    good = scratch.keep(quarantine(_checked(s, d), folder), "sound").select("p_partkey", F.lit("sound").alias("part"), F.lit(0).cast("long").alias("errors"))
+    checked = scratch.keep(_checked(s, d), "checked")  # both parts read it
+    good = scratch.keep(quarantine(checked, folder), "sound").select("p_partkey", F.lit("sound").alias("part"), F.lit(0).cast("long").alias("errors"))
     return good.unionByName(s.read.parquet(folder).select("p_partkey", F.lit("faulty").alias("part"), F.size("errors").cast("long").alias("errors")))
 
 
@@ -423,15 +443,19 @@ def _filled(s, d):
     )
 
 
-def _history(s, d):
-    told = style_diff(_configs(s, d), "config", "other")
+def _history(parts: DataFrame) -> DataFrame:
+    told = style_diff(_as_configs(parts), "config", "other")
     source = F.when(F.col("p_size") % 2 == 0, "chat").otherwise("form")
     return told.select(F.col("p_brand").alias("standard"), source.alias("source"), F.col("config").alias("before"), F.col("other").alias("after"), F.when(F.col("p_size") % 7 > 0, F.col("diff")).alias("diff"), F.col("p_size").alias("created_at"), F.col("p_partkey").alias("id"))
 
 
 def _few(s, d):
+    parts = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_brand")
     more = s.range(1).select(F.lit("no such brand").alias("standard"))
-    return few_shot_texts(_history(s, d).select("standard").unionByName(more), _history(s, d))
+    wanted = parts.select(F.col("p_brand").alias("standard")).unionByName(more)
+    # Configurations are compared after the newest rows are taken: they take no part in which those are.
+    newest = newest_of(parts.withColumns({"created_at": F.col("p_size"), "id": F.col("p_partkey")}), 3, "p_brand")
+    return few_shot_texts(wanted, _history(newest))
 
 
 _TEMPLATE = "T {document_type}; S {detected_standard}; E {special_elements}; C {rag_context}; X {few_shot_examples}"

@@ -58,3 +58,8 @@ def test_quarantine(spark, tmp_path):
     checked = styles.validate_style(texts(spark, [f'{{"body_style": {{"font": {FONT}}}}}', "x"]), "config")
     assert [r.k for r in styles.quarantine(checked, f"{tmp_path}/bad").collect()] == [0]
     assert [(r.k, r.errors) for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [(1, ["[] Input should be a valid dictionary"])]
+
+
+def test_a_small_file_is_dealt_over_all_cores(spark):
+    """A file of few row groups keeps few cores busy, however many splits it has."""
+    assert styles._configs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
