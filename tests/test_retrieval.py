@@ -88,3 +88,16 @@ def test_queries_without_a_vector(spark):
     asked = spark.createDataFrame([(1, "c", None), (2, "c", [2.0])], "query_id long, text string, embedding array<double>")
     got = {(r.query_id, r.chunk_id): r.retrieval_method for r in retrieval.hybrid_search(chunks, asked, 3).collect()}
     assert got[1, 2] == "bm25" and got[2, 3] == "hybrid" and all(m == "bm25" for (q, _), m in got.items() if q == 1)
+
+
+def test_partitions_follow_the_text(spark, monkeypatch):
+    """More text makes more partitions, of the corpus and of the postings, not larger ones."""
+    from sedge import workspace
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(workspace.parts_for, "__defaults__", ("text", 10_000))
+    chars = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    parts = -(-chars // 10_000)
+    assert parts > 8 and retrieval.corpus(spark, sf).rdd.getNumPartitions() == parts
+    terms = retrieval.Keywords(retrieval.corpus(spark, sf)).terms
+    assert len({r[0] for r in terms.select(F.regexp_extract(F.input_file_name(), r"_(\d{5})\.c", 1)).distinct().collect()}) > 8
