@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sedge.functions.tokens import PROTECTED
+from sedge.workspace import small_batches
 
 #: Words of a dictionary; it is broadcast, so there is a bound, and a larger one is refused.
 MOST_WORDS = 2_000_000
@@ -66,6 +67,7 @@ def dictionary_tokenizer(words: DataFrame, protected: Sequence[str] = PROTECTED,
     more than `most` words is refused. Protected terms are found first and never cut; only runs of Han
     characters are segmented, in Python, the rest is cut by one pattern.
     """
+    small_batches(words.sparkSession)
     known = words.where("word is not null and word <> '' and freq > 0").groupBy("word").agg(F.sum("freq").cast("long").alias("freq"))
     rows = known.limit(most + 1).collect()
     if len(rows) > most:

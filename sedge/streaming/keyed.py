@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sedge.functions.tokens import DUCK_PATTERN
 from sedge.operators import batches, documents, retrieval
-from sedge.workspace import Scratch
+from sedge.workspace import Scratch, parts_for
 
 
 #: Microseconds: how far behind the newest event another may come, and how long a job without events is remembered.
@@ -112,7 +112,7 @@ def incremental_index(docs: DataFrame, folder: str, progress: str) -> int:
         documents.chunk_documents(batch).write.mode("overwrite").parquet(f"{folder}/chunks/batch={n}")
         # What was written is read: later steps see the rows that stay.
         chunks = spark.read.parquet(f"{folder}/chunks/batch={n}").select(chunk_id().alias("chunk_id"), "text")
-        terms = Scratch(spark, "terms").keep(retrieval.with_lengths(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "terms")
+        terms = Scratch(spark, "terms").keep(retrieval.with_lengths(chunks, parts_for(chunks)), "terms")
         terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/frequencies/batch={n}")
         sums = chunks.agg(F.count(F.lit(1)).alias("chunks")).join(F.broadcast(terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))))
         sums.write.mode("overwrite").parquet(f"{folder}/sums/batch={n}")

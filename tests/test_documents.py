@@ -73,3 +73,16 @@ def test_vectors_in_blocks(spark):
     want.append((10, 1, 93, 0.0))
     assert sent == dealt == sorted(want)
     assert retrieval.vector_search(chunks.limit(0), asked, 4, query_block=3).count() == retrieval.vector_search(chunks, asked.limit(0)).count() == 0
+
+
+def test_python_gets_few_texts_at_once(spark):
+    """What Arrow hands to a worker at once is bounded, whatever the session says before."""
+    from sedge.functions.segment import dictionary_tokenizer
+    from sedge.operators import paragraphs
+
+    docs = spark.createDataFrame([(1, "a", "one text")], "doc_id long, source string, text string")
+    words = spark.createDataFrame([("一", 1)], "word string, freq long")
+    for make in (lambda: documents.chunk_documents(docs), lambda: paragraphs.review_segments(docs), lambda: dictionary_tokenizer(words)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        make()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
