@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from sedge.workspace import dealt_by
+
 #: Placeholder forms and limits of prompts.
 CONTEXT_TOKENS = 6000
 
@@ -50,7 +52,7 @@ def modal_style(observed: DataFrame, key: str, order: list[str], attributes: lis
 
 def sampled_modal_style(observed: DataFrame, key: str, order: list[str], attributes: list[str], n: int) -> DataFrame:
     """modal_style over the first n observations of each key."""
-    first = observed.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    first = dealt_by(observed, key).withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
     return modal_style(first, key, order, attributes)
 
 
@@ -122,7 +124,7 @@ def extract_tables(docs: DataFrame, key: str = "doc_id", html: str = "html") ->
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = dealt_by(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     row = F.concat(F.lit("<tr><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), F.col("l_suppkey").cast("string"), F.lit("</td></tr>"))
     rows = lines.withColumn("row", row).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "row"))), lambda r: r["row"]), "").alias("rows"))
     return rows.select("doc_id", F.concat(F.lit("<p>x</p><table border=1>"), "rows", F.lit("</table><TABLE><tr><td>1</tr></TABLE>")).alias("html"))

@@ -86,3 +86,16 @@ def test_python_gets_few_texts_at_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         make()
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+def test_grouped_rows_are_dealt_over_all_cores(spark, monkeypatch):
+    """Groups of short rows keep all cores busy, and more rows make more partitions."""
+    from sedge import workspace
+    from sedge.operators import batches
+
+    sf = "/root/testdata/sf0.001"
+    assert batches.html_tables(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(workspace.dealt_by, "__defaults__", (100, 4))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for frame in (batches.html_tables(spark, sf), batches.QUERIES["sampled_modal_style"](spark, sf)):
+        assert frame.rdd.getNumPartitions() == -(-rows // 100) > 16
