@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sedge.llm.sampling import id_and_text
@@ -45,6 +46,54 @@ _single = rf"[\w{''.join(re.escape(c) for c in LOOKS if c not in SPACERS)}]"
 _spaced = re.compile(rf"(?<![\w{_signs}])(?:{_single}[ .\-_*~]){{2,}}{_single}(?![\w@$])")
 _edge = re.compile(r"^[^\w@$]+|[^\w]+$")
 _wide_edge = re.compile(rf"^[^\w{_signs}]+|[^\w{_signs}]+$")
+_run = re.compile(r"(.)\1+", re.DOTALL)
+
+
+#: A sign for any vowel links too many letters to tell anything.
+ANY = "*"
+
+
+def _alike() -> dict[int, str]:
+    """Each sign but ANY, and each letter that it may stand for, to one of those that are linked so."""
+    kinds: list[set[str]] = []
+    for sign, letters in ((k, v) for k, v in LOOKS.items() if k != ANY):
+        near = [k for k in kinds if k & {sign, *letters}]
+        kinds = [k for k in kinds if k not in near] + [set().union({sign, *letters}, *near)]
+    return {ord(c): min(k) for k in kinds for c in k}
+
+
+_ALIKE = _alike()
+#: By ASCII code, and for all other characters at 128: may part the letters of a spaced word, may be such a letter, may stand before its first one.
+_sep, _letter, _open = (np.array([t(chr(c)) for c in range(128)] + [other]) for t, other in (
+    (lambda c: c in SPACERS, False), (lambda c: re.match(_single, c) is not None, True), (lambda c: not re.match(rf"[\w{_signs}]", c), True),
+))
+
+
+def skeleton(word: str) -> str:
+    """What all readings of a word without ANY share: linked signs and letters are one, runs are single."""
+    return _run.sub(r"\1", word.translate(_ALIKE))
+
+
+def spaced_runs(text: str) -> Iterator[re.Match]:
+    """Words written letter by letter, as _spaced finds them; it is tried only where three letters stand parted."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < 5:
+        return
+    codes = np.minimum(codes, 128)
+    sep, letter = _sep[codes], _letter[codes]
+    some = np.flatnonzero(sep[1:-3] & sep[3:-1] & letter[:-4] & letter[2:-2] & letter[4:])
+    end = 0
+    for i in some[(some == 0) | _open[codes[some - 1]]].tolist():
+        if i >= end and (m := _spaced.match(text, i)):
+            end = m.end()
+            yield m
+
+
+def bare_words(token: str) -> tuple[str, str]:
+    """A token in lower case without what stands around it, and with the look-alike signs at its ends."""
+    if token.isalpha():
+        return (low := token.lower()), low
+    return _edge.sub("", token).lower(), _wide_edge.sub("", token).lower()
 
 
 class CharModel:
@@ -98,30 +147,49 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
     done: list[str] = []
     before = previous = ""
     steps = 0
+    memo = model.memo
     for sign in token:
         repeated = sign == previous
         if repeated and before == sign:
             continue
         before, previous = previous, sign
+        if not repeated and not spaced and len(beams) == 1 and sign not in LOOKS:
+            # One reading so far, and one way on.
+            [(state, (cost, out))] = beams.items()
+            known = memo.get(state + sign)
+            beams = {state[1] + sign: (cost + STAY + (model.cost(state, sign) if known is None else known), out + sign)}
+            steps += 1
+            if steps % LAG == 0:
+                beams = _settle(beams, done)
+            continue
         step: dict[str, tuple[float, str]] = {}
         options = [(sign, STAY)] + [(c, SWAP) for c in LOOKS.get(sign, "")]
         for state, (cost, out) in beams.items():
             if repeated:
                 _offer(step, state, cost + DROP, out)
             for c, extra in options:
-                _offer(step, state[1] + c, cost + extra + model.cost(state, c), out + c)
+                known = memo.get(state + c)
+                total = cost + extra + (model.cost(state, c) if known is None else known)
+                if (there := step.get(new := state[1] + c)) is None or (total, out + c) < there:
+                    step[new] = (total, out + c)
                 if spaced and state != "^^":
                     _offer(step, "^" + c, cost + extra + BREAK + model.cost(state, "$") + model.cost("^^", c), out + " " + c)
         beams = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda kv: kv[1])[:BEAM])
         steps += 1
-        if steps % LAG == 0 and len(best := min(beams.values())[1]) > LAG:
-            # What lies further back than the lag is settled by the best reading; those that differ there are given up.
-            settled = best[:-LAG]
-            done.append(settled)
-            beams = {k: (c, o[len(settled) :]) for k, (c, o) in beams.items() if o.startswith(settled)}
+        if steps % LAG == 0:
+            beams = _settle(beams, done)
     return "".join(done) + min((cost + model.cost(state, "$"), out) for state, (cost, out) in beams.items())[1]
 
 
+def _settle(beams: dict[str, tuple[float, str]], done: list[str]) -> dict[str, tuple[float, str]]:
+    """What lies further back than the lag is settled by the best reading; those that differ there are given up."""
+    settled = min(beams.values())[1][:-LAG]
+    if not settled:
+        return beams
+    done.append(settled)
+    return {k: (c, o[len(settled) :]) for k, (c, o) in beams.items() if o.startswith(settled)}
+
+
 def _offer(step: dict, state: str, cost: float, out: str) -> None:
     if state not in step or (cost, out) < step[state]:
         step[state] = (cost, out)
@@ -154,24 +222,24 @@ class Restorer:
         """A token restored; where they differ also as it stands, and with the look-alike signs at its ends read too."""
         found = self.kept.get(token)
         if found is None:
-            bare = _edge.sub("", token).lower()
-            found = (decode(bare, self.chars), bare) if _odd(bare) else (bare,)
-            wide = _wide_edge.sub("", token).lower()
-            if wide != bare and _odd(wide):
-                found += (decode(wide, self.chars),)
-            found = tuple(dict.fromkeys(found))
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            self.kept[token] = found
+            found = self.kept[token] = self.read(*bare_words(token))
         return found
 
+    def read(self, bare: str, wide: str) -> tuple[str, ...]:
+        found = (decode(bare, self.chars), bare) if _odd(bare) else (bare,)
+        if wide != bare and _odd(wide):
+            found += (decode(wide, self.chars),)
+        return tuple(dict.fromkeys(found))
+
     def word(self, token: str) -> str:
         return self.readings(token)[0]
 
     def spaced(self, text: str) -> list[str]:
         """Words written letter by letter: the whole run as words and as one, and what may begin at each of its letters."""
         found = []
-        for m in _spaced.finditer(text):
+        for m in spaced_runs(text):
             joined = "".join(c for c in m[0].lower() if c not in SPACERS)
             one = decode(joined, self.chars)
             found += [*decode(joined, self.chars, spaced=True).split(), one, *(one[i : i + BEGINNINGS[-1]] for i in range(len(one)))]
@@ -185,10 +253,66 @@ class Restorer:
 
     def text(self, text: str | None) -> str:
         """The restored text: its words, then the runs that were spaced out, parted into words."""
-        runs = ["".join(c for c in m[0].lower() if c not in SPACERS) for m in _spaced.finditer(text or "")]
+        runs = ["".join(c for c in m[0].lower() if c not in SPACERS) for m in spaced_runs(text or "")]
         return " ".join([self.word(t) for t in (text or "").split()] + [decode(r, self.chars, spaced=True) for r in runs])
 
 
+class Telling:
+    """Distinct readings of a text that hold any of the wanted clues, or (as_clues) those clues. Each token is looked at once and kept.
+
+    A reading has its token's skeleton, so a token that is no plain word is decoded only if its skeleton begins like a clue's.
+    """
+
+    def __init__(self, restorer: Restorer, wanted: Iterable[str], as_clues: bool = False):
+        self.restorer, self.as_clues = restorer, as_clues
+        self.wanted = {c: c for c in wanted}
+        begins = [c[:-1] for c in self.wanted if c.endswith("*")]
+        self.heads = {b[: BEGINNINGS[0]] for b in begins}
+        self.whole = {skeleton(c) for c in self.wanted if not c.endswith("*")}
+        by_two: dict[str, set[str]] = defaultdict(set)
+        for b in begins:
+            by_two[skeleton(b)[:2]].add(skeleton(b))
+        self.begins = {k: (k,) if k in v else tuple(v) for k, v in by_two.items()}
+        self.silent: set[str] = set()
+        self.told: dict[str, tuple[str, ...]] = {}
+
+    def may_tell(self, word: str) -> bool:
+        """Whether any reading of a word that is not plain may hold a clue."""
+        if ANY in word:
+            return True
+        bones = skeleton(word)
+        return bones in self.whole or bones.startswith(self.begins.get(bones[:2], ())) or bones[:1] in self.begins
+
+    def held(self, words: Iterable[str]) -> Iterator[str]:
+        wanted = self.wanted
+        for w in words:
+            if w and (w in wanted or w[: BEGINNINGS[0]] in self.heads) and (found := [wanted[c] for c in clues(w) if c in wanted]):
+                yield from found if self.as_clues else (w,)
+
+    def _look(self, token: str) -> tuple[str, ...]:
+        bare, wide = bare_words(token)
+        odd = _odd(bare), wide != bare and _odd(wide)
+        may = odd[0] and self.may_tell(bare), odd[1] and self.may_tell(wide)
+        found = tuple(self.held(self.restorer.read(bare, wide) if any(may) else (bare,)))
+        if found:
+            if len(self.told) > KEPT // 4 * 3:
+                self.told.clear()
+            self.told[token] = found
+            return found
+        if len(self.silent) > KEPT:
+            self.silent.clear()
+        self.silent.add(token)
+        return ()
+
+    def __call__(self, text: str | None) -> set[str]:
+        if not text:
+            return set()
+        told = self.told
+        found = set().union(*[told[t] if t in told else self._look(t) for t in set(text.split()) - self.silent])
+        found.update(self.held(set(self.restorer.spaced(text))))
+        return found
+
+
 def learn_evidence(bags: list[set[str]], y: list[int]) -> dict[str, float]:
     """Clues that cover the toxic documents among some bags of clues; see cover."""
     toxic = [b for b, t in zip(bags, y, strict=True) if t]
@@ -246,7 +370,7 @@ def cover(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, gains:
     return evidence
 
 
-def evidence_of(words: list[str], evidence: dict[str, float]) -> float:
+def evidence_of(words: Iterable[str], evidence: dict[str, float]) -> float:
     """Strength of the distinct toxic words of a text: each counts by its best clue, the first most, and the sum by its logarithm."""
     strengths = sorted((max((evidence.get(c, 0.0) for c in clues(w)), default=0.0) for w in set(words)), reverse=True)
     return math.log1p(sum(s / (1 + k) for k, s in enumerate(strengths)))
@@ -257,6 +381,20 @@ def plain_words(text: str) -> set[str]:
     return {w for w in {_edge.sub("", w).lower() for w in text.split()} if w.isalpha() and not _odd(w)}
 
 
+def plain_finder() -> Callable[[str], set[str]]:
+    """plain_words; each token is looked at once and kept."""
+    kept: dict[str, str] = {}
+
+    def look(token: str) -> str:
+        if len(kept) > KEPT:
+            kept.clear()
+        w = bare_words(token)[0]
+        found = kept[token] = w if w.isalpha() and not _odd(w) else ""
+        return found
+
+    return lambda text: {kept[t] if t in kept else look(t) for t in set(text.split())} - {""}
+
+
 def in_fit(text: str) -> bool:
     """Whether a text is one of the three in four that evidence is first learnt from."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % 4 != 1
@@ -353,7 +491,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sets_in_
     rows = scratch.keep(learnt_texts(docs, labels, may_learn), "texts")
     size = {(r[0], r[1]): r[2] for r in rows.groupBy("toxic", "fit").count().collect()}
     count = lambda toxic, *fit: sum(size.get((toxic, f), 0) for f in fit)
-    plain = tallied(rows, lambda: plain_words)
+    plain = tallied(rows, plain_finder)
     model = ToxicityModel(char_model(plain.groupBy("key").agg(F.sum(F.col("n") * F.when(F.col("toxic") == 1, WEIGHT[1]).otherwise(WEIGHT[0])).alias("n"))))
     if not count(1, True, False):
         scratch.drop(rows)
@@ -364,17 +502,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sets_in_
         restorer = Restorer(shared.value)
         return lambda text: {c for w in set(restorer.words(text)) if w for c in clues(w)}
 
-    number = lambda toxic, fit: F.coalesce(F.sum(F.when((F.col("toxic") == toxic) & (F.lit(not fit) | F.col("fit")), F.col("n"))), F.lit(0))
-    sums = tallied(rows, bag_of).groupBy("key").agg(*(number(t, f).alias(f"{n}{k}") for f, k in ((False, "_all"), (True, "_fit")) for t, n in ((1, "toxic"), (0, "clean"))))
+    def counted(toxic: int, make: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
+        number = lambda of: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
+        return tallied(rows.where(F.col("toxic") == toxic), make).groupBy("key").agg(number(F.lit(True)).alias("_all"), number(F.col("fit")).alias("_fit"))
+
+    def telling_of(some: Broadcast, as_clues: bool = False) -> Telling:
+        return Telling(Restorer(shared.value), some.value, as_clues)
+
     turns = {"_fit": (count(1, True), count(0, True)), "_all": (count(1, True, False), count(0, True, False))}
-    telling = {k: (F.col(f"toxic{k}") >= least) & (F.col(f"clean{k}") <= most) for k, (least, most) in ((k, bounds(*n)) for k, n in turns.items())}
-    told = sums.where(telling["_fit"] | telling["_all"]).collect()
-    few = spark.sparkContext.broadcast(frozenset(r["key"] for r in told))
+    limits = {k: bounds(*n) for k, n in turns.items()}
+    # Only clues of enough toxic documents are counted in clean ones: an average text's number of clues over the share, at most.
+    often = {r["key"]: r for r in counted(1, bag_of).where(" or ".join(f"{k} >= {least}" for k, (least, _) in limits.items())).collect()}
+    asked = spark.sparkContext.broadcast(frozenset(often))
+
+    clean = {r["key"]: r for r in counted(0, lambda: telling_of(asked, as_clues=True)).collect()}
+    told = {c: {k: (r[k], clean[c][k] if c in clean else 0) for k in turns} for c, r in often.items()}
+    told = {c: n for c, n in told.items() if any(n[k][0] >= least and n[k][1] <= most for k, (least, most) in limits.items())}
+    few = spark.sparkContext.broadcast(frozenset(told))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bag = bag_of()
+        telling = telling_of(few, as_clues=True)
         for batch in batches:
-            yield pd.DataFrame({"clues": [sorted(bag(t) & few.value) for t in batch["text"]], "fit": batch["fit"]})
+            yield pd.DataFrame({"clues": [sorted(telling(t)) for t in batch["text"]], "fit": batch["fit"]})
 
     # Toxic documents with the same telling clues are one row with their number.
     sets = rows.where("toxic = 1").select("text", "fit").mapInPandas(held, "clues array<string>, fit boolean").groupBy("clues", "fit").agg(F.count(F.lit(1)).alias("n"))
@@ -390,15 +539,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sets_in_
 
         some = mine.select("clues", "n").limit(sets_in_hand + 1).collect()
         turn = gains if len(some) > sets_in_hand else gains_in([(set(r[0]), r[1]) for r in some])
-        return cover({r["key"]: (r[f"toxic{k}"], r[f"clean{k}"]) for r in told}, *turns[k], turn)
+        return cover({c: n[k] for c, n in told.items()}, *turns[k], turn)
 
     model.evidence = evidence("_fit")
     first = spark.sparkContext.broadcast(model.evidence)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(shared.value)
+        telling = telling_of(first)
         for batch in batches:
-            yield pd.DataFrame({"x": [round(evidence_of(restorer.words(t), first.value), 3) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"x": [round(evidence_of(telling(t), first.value), 3) for t in batch["text"]], "toxic": batch["toxic"]})
 
     # Platt scaling on the documents that gave no evidence; on all where they are too few.
     on = rows.where("not fit") if count(1, False) > 20 else rows
@@ -421,21 +570,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         restorer = Restorer(own.chars)
-        strength: dict[str, float] = {}
-
-        def strong(token: str) -> float:
-            s = max((own.evidence.get(c, 0.0) for w in restorer.readings(token) for c in clues(w)), default=0.0)
-            if len(strength) > KEPT:
-                strength.clear()
-            strength[token] = s
-            return s
-
+        telling = Telling(restorer, own.evidence)
         for batch in batches:
             scores, texts = [], []
             for text in batch["_text"]:
-                text = text or ""
-                hits = {w for t in text.split() if (strength[t] if t in strength else strong(t)) for w in restorer.readings(t)} | set(restorer.spaced(text))
-                x = evidence_of(list(hits), own.evidence)
+                x = evidence_of(telling(text), own.evidence)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, own.slope * x + own.bias)))))
                 texts.append(restorer.text(text) if restored else "")
             s = np.array(scores, dtype=float)

@@ -163,3 +163,21 @@ def test_toxicity_learns_from_every_label(spark):
     assert (model.slope, model.bias) == pytest.approx((want.slope, want.bias), rel=1e-6)
     assert model.chars.tri.keys() == want.chars.tri.keys() and model.chars.total == pytest.approx(want.chars.total, rel=1e-6)
     assert model.chars.tri["se"]["l"] > 0
+
+
+def test_toxicity_decodes_only_what_may_tell(monkeypatch):
+    """Tokens that cannot hold a clue are not decoded; those that can give what reading all of a text's words gives."""
+    model = toxicity.train(["the stupid idiot spoke"] * 5 + ["a kind letter was here", "some other words then"] * 30, [1] * 5 + [0] * 60)
+    wanted = {"idiot": 1.0, "idio*": 1.0, "stup*": 1.0}
+    tokens = "1d10t !d|ot$ (stuuup1d) st*pid ididiot $tupefy 5tu letter, b00ks 7all Ünnütz aaa*aa 28bca0e1aeaae1e7 s.t.u.p.i.d".split()
+    text = " ".join([*tokens, "you i d 1 o t", "a-b_c x y z~q"])
+    readings = toxicity.Restorer(model.chars).words(text)
+    want = {w for w in readings if any(c in wanted for c in toxicity.clues(w))}
+    assert len(want) > 3 and toxicity.Telling(toxicity.Restorer(model.chars), wanted)(text) == want
+    clues = toxicity.Telling(toxicity.Restorer(model.chars), wanted, as_clues=True)
+    assert clues(text) == {c for w in readings for c in toxicity.clues(w)} & set(wanted)
+    assert [m.span() for m in toxicity.spaced_runs(text)] == [m.span() for m in toxicity._spaced.finditer(text)] != []
+    decoded = []
+    monkeypatch.setattr(toxicity, "decode", lambda token, chars, spaced=False: decoded.append(token) or token)
+    toxicity.Telling(toxicity.Restorer(model.chars), wanted)("b00ks letter hammer 28bca0e1aeaae1e7 1d10t")
+    assert decoded == ["1d10t"]
