@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 #: Full-width characters and what replaces them (fixed values).
 FULL = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF08, 0xFF09])
 HALF = "".join(chr(c) for c in [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x28, 0x29])
+#: The same as ranges: Java tries the parts of a class one after another on every character.
+FULL_CLASS = r"[\x{FF08}\x{FF09}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]"
 
 #: Role patterns in the order they are tried (fixed values). \s stands for Unicode white space.
 ROLES = (
@@ -77,7 +79,7 @@ def stripped(line: Column) -> Column:
 
 
 def clean_fullwidth(line: Column) -> tuple[Column, Column]:
-    return F.translate(line, FULL, HALF), F.regexp_count(line, F.lit(f"[{FULL}]"))
+    return F.translate(line, FULL, HALF), F.regexp_count(line, F.lit(FULL_CLASS))
 
 
 def clean_garbled(line: Column) -> tuple[Column, Column]:

@@ -52,3 +52,15 @@ def test_documents(spark):
     assert (got[2].text, got[2].n_missing_images, got[2].log) == ("plain", 0, [])
     assert (got[3].text, got[3].n_spaces, got[4].text, got[4].n_spaces) == (None, None, "", 0)
     assert cleaning.clean_documents(docs.limit(0), spark.createDataFrame([("x",)], "path string")).count() == 0
+
+
+def test_fullwidth_counts_every_sign(spark):
+    """The class of signs is that of the replaced ones, in a few ranges: a class of single signs is tried sign by sign on every character."""
+    from sedge.operators import lines
+
+    texts = [lines.FULL, "a" + lines.FULL + "b", "".join(map(chr, range(0xFF00, 0xFFF0))), "plain (9)", "", None]
+    new, n = lines.clean_fullwidth(F.col("text"))
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", new.alias("t"), n.alias("n")).orderBy("id").collect()
+    assert [r.n for r in got] == [64, 64, 64, 0, 0, None]
+    assert (got[0].t, got[1].t, got[3].t, got[5].t) == (lines.HALF, "a" + lines.HALF + "b", "plain (9)", None)
+    assert lines.FULL_CLASS.count("{") <= 8
